@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusledger.llm import exact_dedup, packing
+from corpusledger.llm import chat, exact_dedup, mixing, packing, simhash, winnowing
 from corpusledger.runtime import table
 
 
@@ -14,6 +14,25 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '{said}' AS text UNION ALL SELECT -7L, 1L, 'assistant', '{said}'")
+    return chat.read_back(chat.format_conversations(rows.unionByName(more)))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -23,9 +42,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_winnowing": op2_winnowing,
+    "op3_simhash": op3_simhash,
+    "op4_mixing": op4_mixing,
+    "op6_chat": op6_chat,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
 }
 ORACLES = {
+    "op4_mixing": mixing.ORACLE_SQL,
+    "op6_chat": chat.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
 }
