@@ -22,6 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusledger.llm.common import join_by_id
 from corpusledger.runtime import materialise
 
 WHITE_SPACE = " \t\n\x0b\f\r"
@@ -102,6 +103,18 @@ def exact_dedup(
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, with all their columns. Rows without an id stay."""
+    made = exact_dedup(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).filter("doc_id is not null")
+    rows = made.groupBy(F.col("doc_id").alias("_id")).agg(F.sum(F.col("kept").cast("int")).alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    met = join_by_id(docs, rows.filter("_kept < _rows"), id_col)
+    stay = met.filter("_kept is null").select(*docs.columns)
+    again = rows.filter("_kept > 0 and _kept < _rows")
+    if again.isEmpty():
+        return stay
+    return stay.unionByName(met.filter("_kept > 0").select(*docs.columns).dropDuplicates([id_col]))
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS c FROM documents

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusledger.llm import chat, exact_dedup, mixing, packing, simhash, winnowing
+from corpusledger.llm import chat, exact_dedup, html, language, mixing, packing, simhash, toxicity, winnowing
 from corpusledger.runtime import table
 
 
@@ -14,6 +14,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -41,13 +49,20 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), str(tokenizer_path()))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_language": op1_language,
     "op2_winnowing": op2_winnowing,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_chat": op6_chat,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
+    "op10_html": op10_html,
 }
 ORACLES = {
     "op4_mixing": mixing.ORACLE_SQL,

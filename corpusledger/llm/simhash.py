@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusledger.llm.common import components, join_groups
+from corpusledger.llm.common import components, join_by_id, join_groups
 from corpusledger.runtime import materialise
 
 SEED = 42
@@ -214,3 +214,10 @@ def near_duplicates(
     return join_groups(fps, merged, "fp", "members").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, that with the smallest id, with all its columns. Rows without an id stay."""
+    made = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    gone = made.filter("doc_id != component_id").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_gone")).distinct()
+    return join_by_id(docs, gone, id_col).filter("_gone is null").select(*docs.columns)
