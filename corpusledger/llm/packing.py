@@ -16,6 +16,8 @@ pieces. Further input columns are ignored. Texts of any length are packed whole.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,43 +32,72 @@ END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, fill long"
 
 
+#: A full stop or comma after a letter or digit and before white space is a token of its own.
+_END = re.compile(rb"([.,])(?:(?<=[a-z0-9].)|(?<=\xc3[\xa0-\xb6\xb8-\xbf].))(?=[ \t\n\x0b\f\r])")
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
 class WordEncoder:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins characters across ASCII white space, so each run between white space
-    is encoded once and remembered; ``memory`` bounds how many are kept.
+    The tokenizer lower-cases and never joins characters across ASCII white space, nor letters with
+    what is no letter, so each run between white space is encoded once and remembered; ``memory``
+    bounds how many are kept. Unknown runs of lower-case letters are encoded in one call, past the
+    normaliser and the splitting pattern, which leave them as they are; each ends with the only token
+    of it that is marked as an end of word.
     """
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.memory, self.known = Tokenizer.from_file(path), memory, {}
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """The encoder of this Python worker, kept from task to task."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        made: dict[bytes, bytes] = {}
+        letters, others = [], []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            plain = text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+            (letters if plain else others).append(word)
+        for at in range(0, len(letters), 20_000):
+            part = letters[at : at + 20_000]
+            ids = np.asarray(self.bare.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                others += part
+                continue
+            body, cuts = ids.tobytes(), (4 * cuts).tolist()
+            made.update((word, body[i:j]) for word, i, j in zip(part, [0, *cuts], cuts, strict=False))
+        found = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace") for word in others], add_special_tokens=False) if others else []
+        made.update((word, np.asarray(x.ids, "<u4").tobytes()) for word, x in zip(others, found, strict=True))
+        return made
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        rows = [text.split() for text in texts]
-        fresh = list(set().union(*rows).difference(self.known))
-        seen = self.known
-        if fresh:
-            found = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace") for word in fresh], add_special_tokens=False)
-            made = {word: np.asarray(x.ids, "<u4").tobytes() for word, x in zip(fresh, found, strict=True)}
-            if len(self.known) + len(made) <= self.memory:
-                self.known.update(made)
-            else:
-                short = [word for word in fresh if len(word) <= 12][: max(0, self.memory - len(self.known))]
-                self.known.update((word, made[word]) for word in short)
-                seen = _Chain(made, self.known)
-        for row in rows:
-            yield b"".join(map(seen.__getitem__, row))
-
-
-class _Chain(dict):
-    def __init__(self, first: dict, rest: dict):
-        super().__init__(first)
-        self.rest = rest
-
-    def __missing__(self, key):
-        return self.rest[key]
+        rows = [(text if b"<|" in text else _END.sub(rb" \1", text.lower())).split() for text in texts]
+        found = [list(map(self.known.get, row)) for row in rows]
+        fresh = {word for row, ids in zip(rows, found, strict=True) if None in ids for word, x in zip(row, ids, strict=True) if x is None}
+        made = self._encode(list(fresh)) if fresh else {}
+        for row, ids in zip(rows, found, strict=True):
+            if None in ids:
+                ids = [made[word] if x is None else x for word, x in zip(row, ids, strict=True)]
+            yield b"".join(ids)
+        if len(self.known) + len(made) <= self.memory:
+            self.known.update(made)
 
 
 class SumOfSquares:
@@ -177,7 +208,7 @@ def pack(
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer_path)
+        encode = WordEncoder.of(tokenizer_path)
         base, made, out = TaskContext.get().partitionId() << 36, 0, []
 
         def emit(fill: int, pieces: list) -> None:
