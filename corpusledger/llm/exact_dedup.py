@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusledger.llm.common import join_by_id
+from corpusledger.llm.common import join_by_id, join_groups
 from corpusledger.runtime import materialise
 
 WHITE_SPACE = " \t\n\x0b\f\r"
@@ -89,7 +89,7 @@ def exact_dedup(
     marked = rows.select("doc_id", digest(F.col("content")).alias("digest"), sha256(F.col("content")).alias("text_sha256"), "content")
 
     plain = groups.filter("variants = 1").select("digest", "keep_id", "group_size")
-    joined = marked.select("doc_id", "digest", "text_sha256").join(plain, "digest")
+    joined = join_groups(marked.select("doc_id", "digest", "text_sha256"), plain, "digest", "group_size").filter("group_size is not null")
     shared = groups.filter("variants > 1").select("digest", "content", "keep_id", "group_size")
     if not shared.isEmpty():
         joined = joined.unionByName(marked.join(shared, ["digest", "content"]).drop("content"))
