@@ -50,41 +50,38 @@ def fail_stale_runs(runs: DataFrame, before: Column) -> DataFrame:
     )
 
 
-def fold_documents(sightings: DataFrame, keys: Sequence[str], at: str, kind: str, url: str, order: Sequence[str]) -> DataFrame:
-    """State of each document after its sightings, failures, commits and withdrawals.
+def fold_documents(facts: DataFrame, keys: Sequence[str], at: str, kind: str, url: str, order: Sequence[str]) -> DataFrame:
+    """State of each document after its facts in order; ``kind`` is seen, stored, failed or withdrawn.
 
-    ``kind`` is seen, stored, failed or withdrawn. The last fact decides: a sighting turns a withdrawn
-    document to stored (even if nothing was ever stored) and clears the date; a failure leaves a stored document stored, and
-    turns any other to failed while the date of withdrawal stays; the url is the last one known.
-    The fold looks back only to the last fact of each kind, so it is a partial aggregate.
+    A sighting of a withdrawn document makes it stored, even if nothing was ever stored, and clears
+    the date; a failure leaves a stored document stored, and turns any other to failed while the date
+    of withdrawal stays. The url is the last one known. The machine is a higher-order fold over one
+    document's facts, of which each run adds one.
     """
-    when = lambda *kinds: F.col(kind).isin(*kinds)
-    place = F.struct(*order)
-    last = lambda cond: F.max(F.when(cond, place))
-    folded = sightings.groupBy(*keys).agg(
-        F.min(F.when(~when("withdrawn"), F.col(at))).alias("first_seen"),
-        F.max(F.when(when("seen", "stored"), F.col(at))).alias("last_seen"),
-        F.max_by(F.col(url), F.when(F.col(url).isNotNull(), place)).alias("url"),
-        last(when("seen")).alias("_seen"),
-        last(when("stored")).alias("_stored"),
-        last(when("failed")).alias("_failed"),
-        last(when("withdrawn")).alias("_gone"),
-        F.max(F.when(when("withdrawn"), F.col(at))).alias("_gone_at"),
+    none = F.lit(None).cast(facts.schema[at].dataType)
+    start = F.struct(F.lit(None).cast("string").alias("status"), none.alias("gone"))
+
+    def step(s: Column, x: Column) -> Column:
+        what, now = x[kind], s["status"]
+        status = (
+            F.when(what == "withdrawn", "withdrawn")
+            .when(what == "stored", "stored")
+            .when((what == "failed") & ~now.eqNullSafe("stored"), "failed")
+            .when(what == "failed", now)
+            .when(now == "withdrawn", "stored")
+            .otherwise(F.coalesce(now, F.lit("discovered")))
+        )
+        back = (what == "stored") | ((what == "seen") & now.eqNullSafe("withdrawn"))
+        return F.struct(status.alias("status"), F.when(what == "withdrawn", x[at]).when(~back, s["gone"]).alias("gone"))
+
+    seen, named = list(dict.fromkeys([*order, at, kind])), F.col(url).isNotNull()
+    folded = facts.groupBy(*keys).agg(
+        F.min(F.when(F.col(kind) != "withdrawn", F.col(at))).alias("first_seen"),
+        F.max(F.when(F.col(kind).isin("seen", "stored"), F.col(at))).alias("last_seen"),
+        F.max_by(F.col(url), F.when(named, F.struct(*order))).alias("url"),
+        F.aggregate(F.sort_array(F.collect_list(F.struct(*seen))), start, step).alias("_state"),
     )
-    later = lambda a, b: F.col(a).isNotNull() & (F.col(b).isNull() | (F.col(a) > F.col(b)))
-    back = later("_seen", "_gone") | later("_stored", "_gone")
-    # Stored stands if content came at any time, or a sighting undid a withdrawal.
-    undone = F.col("_gone").isNotNull() & later("_seen", "_gone")
-    failed_last = later("_failed", "_stored") & ~undone & (later("_failed", "_gone"))
-    status = (
-        F.when(F.col("_gone").isNotNull() & ~back & ~later("_failed", "_gone"), "withdrawn")
-        .when(F.col("_stored").isNotNull() & back, "stored")
-        .when(undone, "stored")
-        .when(F.col("_stored").isNotNull() & F.col("_gone").isNull(), "stored")
-        .when(failed_last, "failed")
-        .otherwise("discovered")
-    )
-    return folded.select(*keys, "first_seen", "last_seen", "url", status.alias("status"), F.when(~back, F.col("_gone_at")).alias("withdrawn_at"))
+    return folded.select(*keys, "first_seen", "last_seen", "url", F.col("_state.status").alias("status"), F.col("_state.gone").alias("withdrawn_at"))
 
 
 def commit_versions(facts: DataFrame, hash_col: str = "content_hash", order: Sequence[str] = ("fetched_at",)) -> DataFrame:
