@@ -303,7 +303,7 @@ def upsert_source_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 DISCOVERY_SQL = f"""WITH k AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 'seen' WHEN 'click' THEN 'seen' WHEN 'purchase' THEN 'stored' WHEN 'error' THEN 'failed' ELSE 'withdrawn' END AS kind,
-  CASE WHEN event_id % 4 = 0 THEN 'u' || event_id END AS url FROM events WHERE event_id % 5 < 3),
+  CASE WHEN event_id % 4 = 0 THEN 'u' || event_id END AS url FROM events),
 g AS (SELECT user_id, min(CASE WHEN kind <> 'withdrawn' THEN ts END) AS first_seen, max(CASE WHEN kind IN ('seen', 'stored') THEN ts END) AS last_seen,
   arg_max(url, (ts, event_id)) FILTER (url IS NOT NULL) AS url, list(kind || '@' || {ISO_SQL.format("ts")} ORDER BY ts, event_id) AS facts FROM k GROUP BY 1),
 f AS (SELECT *, list_reduce(list_prepend('@', facts), lambda a, x: CASE split_part(x, '@', 1)
@@ -318,7 +318,7 @@ SELECT user_id, {ISO_SQL.format("first_seen")} AS first_seen, {ISO_SQL.format("l
 def discovery_fold(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type").isin("view", "click"), "seen").when(F.col("event_type") == "purchase", "stored")
     kind = kind.when(F.col("event_type") == "error", "failed").otherwise("withdrawn")
-    facts = table(spark, d, "events").filter("event_id % 5 < 3").select(
+    facts = table(spark, d, "events").select(
         "user_id", "ts", "event_id", kind.alias("kind"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("u"), F.col("event_id").cast("string"))).alias("url")
     )
     found = ledger.fold_documents(facts, ["user_id"], "ts", "kind", "url", ["ts", "event_id"])
@@ -417,11 +417,11 @@ def rebuild_documents(spark: SparkSession, d: str) -> DataFrame:
     return integrity.rebuild_documents(found)
 
 
-@registered(f"""WITH {REFS_SQL}, o AS (SELECT DISTINCT content_hash FROM refs), v AS (SELECT content_hash, count(*) AS n FROM refs WHERE doc_id % 4 <> 0 GROUP BY 1)
+@registered(f"""WITH {REFS_SQL}, o AS (SELECT DISTINCT content_hash FROM refs), v AS (SELECT content_hash, count(*) AS n FROM refs SEMI JOIN labels USING (doc_id) GROUP BY 1)
 SELECT content_hash, coalesce(n, 0) AS ref_count FROM o LEFT JOIN v USING (content_hash)""")
 def ref_recount(spark: SparkSession, d: str) -> DataFrame:
     found = refs(spark, d).select("doc_id", "content_hash")
-    return ledger.recount(found.select("content_hash").distinct(), found.filter("doc_id % 4 != 0"))
+    return ledger.recount(found.select("content_hash").distinct(), found.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"))
 
 
 def _journal(spark: SparkSession, d: str) -> DataFrame:
@@ -553,14 +553,12 @@ def sliding_quota(spark: SparkSession, d: str) -> DataFrame:
     return policy.request_pressure(rows, "host", "ts", "event_id", quota=1, delay_ms=60_000).select("event_id", "in_minute", "over_quota", "wait_ms")
 
 
-@registered("""WITH RECURSIVE s AS (SELECT event_type AS host, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE event_id % 10 = 0),
-f AS (SELECT host, n, x AS fast, x AS base FROM s WHERE n = 1
-  UNION ALL SELECT s.host, s.n, 0.3::DOUBLE * s.x + (1 - 0.3::DOUBLE) * f.fast, CASE WHEN s.x < f.base THEN 0.3::DOUBLE * s.x + (1 - 0.3::DOUBLE) * f.base ELSE 0.01::DOUBLE * s.x + (1 - 0.01::DOUBLE) * f.base END
-  FROM f JOIN s ON s.host = f.host AND s.n = f.n + 1),
-l AS (SELECT host, max(n) AS n, arg_max(fast, n) AS fast, arg_max(base, n) AS base FROM f GROUP BY 1)
-SELECT host, CAST(n AS INTEGER) AS samples, round(fast, 6) AS fast, round(base, 6) AS baseline, round(CASE WHEN n < 5 OR base <= 0 OR fast / base <= 2 THEN 1 ELSE least(fast / base, 8) END, 6) AS factor FROM l""")
+@registered("""WITH s AS (SELECT event_type AS host, list({'n': 1, 'fast': value, 'base': value} ORDER BY ts, event_id) AS x FROM events GROUP BY 1),
+l AS (SELECT host, list_reduce(x, lambda a, v: {'n': a.n + 1, 'fast': 0.3::DOUBLE * v.fast + (1 - 0.3::DOUBLE) * a.fast,
+  'base': CASE WHEN v.fast < a.base THEN 0.3::DOUBLE * v.fast + (1 - 0.3::DOUBLE) * a.base ELSE 0.01::DOUBLE * v.fast + (1 - 0.01::DOUBLE) * a.base END}) AS f FROM s)
+SELECT host, f.n AS samples, round(f.fast, 6) AS fast, round(f.base, 6) AS baseline, round(CASE WHEN f.n < 5 OR f.base <= 0 OR f.fast / f.base <= 2 THEN 1 ELSE least(f.fast / f.base, 8) END, 6) AS factor FROM l""")
 def adaptive_slowdown(spark: SparkSession, d: str) -> DataFrame:
-    samples = table(spark, d, "events").filter("event_id % 10 = 0").select(F.col("event_type").alias("host"), "ts", "event_id", "value")
+    samples = table(spark, d, "events").select(F.col("event_type").alias("host"), "ts", "event_id", "value")
     found = policy.slowdown(samples, "host", ["ts", "event_id"], "value")
     return found.select("host", "samples", F.round("fast", 6).alias("fast"), F.round("baseline", 6).alias("baseline"), F.round("factor", 6).alias("factor"))
 
@@ -624,9 +622,9 @@ def canonical_config_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered(f"""{STREAK_SQL}, {RATIO_SQL} SELECT source_id, 'empty_sweeps' AS reason FROM streaks WHERE streak >= 2
-UNION SELECT user_id, 'failure_ratio' FROM ratio WHERE seen = 10 AND failures / seen > 0.5 UNION SELECT o_custkey, 'error' FROM orders WHERE o_orderkey % 1000 = 0""")
+UNION SELECT user_id, 'failure_ratio' FROM ratio WHERE seen = 10 AND failures / seen > 0.5 UNION SELECT o_custkey, 'error' FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'""")
 def quarantine_candidates(spark: SparkSession, d: str) -> DataFrame:
-    errors = table(spark, d, "orders").filter("o_orderkey % 1000 = 0").select(F.col("o_custkey").alias("source_id"), F.lit("source").alias("scope"))
+    errors = table(spark, d, "orders").filter("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("source_id"), F.lit("source").alias("scope"))
     ratios = _ratios(spark, d).select(F.col("user_id").alias("source_id"), "alarm")
     held = table(spark, d, "orders").select(F.col("o_custkey").alias("source_id"))
     return sweeps.quarantine(errors, ratios, empty_run_streak(spark, d), held, least_empty=2)
@@ -668,11 +666,12 @@ def mode_promotion(spark: SparkSession, d: str) -> DataFrame:
     return sweeps.promote(sources, sweeps.last_full_sweep(_swept(spark, d)), F.lit(AS_OF).cast("timestamp_ntz"), 300).select("source_id", "next_mode")
 
 
-@registered(f"""WITH {REFS_SQL}, cur AS (SELECT doc_id, content_hash AS h FROM refs WHERE doc_id % 3 <> 0) SELECT doc_id, CASE WHEN h IS NULL THEN 'new_document' WHEN doc_id % 5 = 0 THEN 'skip'
+@registered(f"""WITH {REFS_SQL}, cur AS (SELECT doc_id, content_hash AS h FROM refs SEMI JOIN labels USING (doc_id)) SELECT doc_id, CASE WHEN h IS NULL THEN 'new_document' WHEN doc_id % 5 = 0 THEN 'skip'
 WHEN doc_id % 7 = 0 THEN 'new_version' ELSE 'identical' END AS decision FROM refs LEFT JOIN cur USING (doc_id)""")
 def collection_ladder(spark: SparkSession, d: str) -> DataFrame:
     found = refs(spark, d).select("doc_id", "content_hash")
-    known = found.filter("doc_id % 3 != 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit("sha256:old")).otherwise(F.col("content_hash")).alias("current_hash"))
+    indexed = found.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    known = indexed.select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit("sha256:old")).otherwise(F.col("content_hash")).alias("current_hash"))
     fresh = F.when(F.col("doc_id") % 5 == 0, "etag_match").otherwise("changed")
     return sweeps.collection_decision(found, known, fresh, ["doc_id"]).select("doc_id", "decision")
 
