@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusledger.llm import chat, exact_dedup, html, language, mixing, packing, simhash, toxicity, winnowing
+from corpusledger.llm import chat, exact_dedup, html, language, line_dedup, mixing, packing, simhash, toxicity, winnowing
 from corpusledger.runtime import table
 
 
@@ -49,6 +49,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), str(tokenizer_path()))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.match_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op6_chat": op6_chat,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_html": op10_html,
 }
 ORACLES = {
