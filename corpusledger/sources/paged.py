@@ -37,7 +37,7 @@ class PagedReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         first = int(self.options.get("resume", "page:0").removeprefix("page:"))
-        return [Page(p) for p in range(first, min(_count(self.options), int(self.options.get("maxPages", 1000))))]
+        return [Page(p) for p in range(first, min(_count(self.options), int(self.options.get("maxpages", 1000))))]
 
     def read(self, partition: Page) -> Iterator[tuple]:
         return _load(self.options, partition.page)
@@ -62,7 +62,7 @@ class PagedStreamReader(DataSourceStreamReader):
 
 
 class PagedIndex(DataSource):
-    """``spark.read.format("paged_index").option("path", folder)``."""
+    """``spark.read.format("paged_index").option("path", folder)``; also base, resume (``page:N``) and maxPages. Keys come lower-cased."""
 
     @classmethod
     def name(cls) -> str:
