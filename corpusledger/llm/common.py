@@ -29,13 +29,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_row
 
 
 def join_by_id(docs: DataFrame, decisions: DataFrame, id_col: str, most: int = 500_000) -> DataFrame:
-    """Left join of whole documents to decisions, unique by ``_id``; a null id meets a null id.
+    """Left join of whole documents to decisions, unique by ``_cl_id``; a null id meets a null id.
 
     ``decisions`` is broadcast while it has at most ``most`` rows, and shuffled beyond.
     """
     decisions = materialise(decisions, "decisions")
     small = decisions.count() <= most
-    return docs.join(F.broadcast(decisions) if small else decisions, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    return docs.join(F.broadcast(decisions) if small else decisions, F.col(id_col).eqNullSafe(F.col("_cl_id")), "left").drop("_cl_id")
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:

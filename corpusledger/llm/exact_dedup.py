@@ -106,13 +106,13 @@ def exact_dedup(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Rows without an id stay."""
     made = exact_dedup(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).filter("doc_id is not null")
-    rows = made.groupBy(F.col("doc_id").alias("_id")).agg(F.sum(F.col("kept").cast("int")).alias("_kept"), F.count(F.lit(1)).alias("_rows"))
-    met = join_by_id(docs, rows.filter("_kept < _rows"), id_col)
-    stay = met.filter("_kept is null").select(*docs.columns)
-    again = rows.filter("_kept > 0 and _kept < _rows")
+    rows = made.groupBy(F.col("doc_id").alias("_cl_id")).agg(F.sum(F.col("kept").cast("int")).alias("_cl_kept"), F.count(F.lit(1)).alias("_cl_rows"))
+    met = join_by_id(docs, rows.filter("_cl_kept < _cl_rows"), id_col)
+    stay = met.filter("_cl_kept is null").select(*docs.columns)
+    again = rows.filter("_cl_kept > 0 and _cl_kept < _cl_rows")
     if again.isEmpty():
         return stay
-    return stay.unionByName(met.filter("_kept > 0").select(*docs.columns).dropDuplicates([id_col]))
+    return stay.unionByName(met.filter("_cl_kept > 0").select(*docs.columns).dropDuplicates([id_col]))
 
 
 ORACLE_SQL = r"""

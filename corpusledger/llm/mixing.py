@@ -146,9 +146,9 @@ def mix(
 def take(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every document as many times as it is taken, whole, with all its columns."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    made = mix(rows, quality, cut_last=False).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    met = join_by_id(docs, made.filter("_copies > 0"), id_col).filter("_copies > 0")
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    made = mix(rows, quality, cut_last=False).groupBy(F.col("doc_id").alias("_cl_id")).agg(F.max("copies").cast("int").alias("_cl_copies"))
+    met = join_by_id(docs, made.filter("_cl_copies > 0"), id_col).filter("_cl_copies > 0")
+    return met.withColumn("_cl_copy", F.explode(F.sequence(F.lit(1), F.col("_cl_copies")))).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

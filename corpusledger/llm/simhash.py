@@ -219,5 +219,5 @@ def near_duplicates(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns. Rows without an id stay."""
     made = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    gone = made.filter("doc_id != component_id").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_gone")).distinct()
-    return join_by_id(docs, gone, id_col).filter("_gone is null").select(*docs.columns)
+    gone = made.filter("doc_id != component_id").select(F.col("doc_id").alias("_cl_id"), F.lit(True).alias("_cl_gone")).distinct()
+    return join_by_id(docs, gone, id_col).filter("_cl_gone is null").select(*docs.columns)

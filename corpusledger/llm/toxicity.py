@@ -210,8 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     # Twice as many ids as rows are wanted, as some have no text or a longer one.
     some = [marked.filter(f"_y = {y}").orderBy(F.xxhash64("_id"), "_id").limit(2 * n) for y, n in ((1, positives), (0, negatives))]
     ids = F.broadcast(some[0].unionByName(some[1]))
-    rows = docs.filter(F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).join(ids, F.col(id_col) == F.col("_id"))
-    rows = rows.select("_y", "_id", F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).filter(F.length("_text") <= longest)
+    rows = rows.join(ids, F.col("_doc") == F.col("_id")).select("_y", "_id", "_text")
     found = []
     for y, n in ((1, positives), (0, negatives)):
         found += rows.filter(f"_y = {y}").orderBy(F.xxhash64("_id"), "_id", "_text").limit(n).collect()
