@@ -268,7 +268,7 @@ def verify(rows: DataFrame, sets: DataFrame, seed: int, tile: int) -> DataFrame:
     """
     first = materialise(sets, "lines-sets")
     wanted = first.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "set", "component", "held")).alias("wanted"))
-    met = join_by_id(rows, wanted.withColumnRenamed("doc_id", "_id"), "doc_id", 200_000).filter("wanted is not null")
+    met = join_by_id(rows, wanted.withColumnRenamed("doc_id", "_cl_id"), "doc_id", 200_000).filter("wanted is not null")
     lines = met.select("doc_id", F.explode("wanted").alias("w"), "text").select(
         "doc_id", F.col("w.line_no").alias("line_no"), F.col("w.set").alias("set"), F.col("w.component").alias("component"), F.col("w.held").alias("held"),
         F.get(F.split(F.col("text").cast("string"), "\n"), F.col("w.line_no").cast("int")).cast("binary").alias("text"),
@@ -295,7 +295,7 @@ def verify(rows: DataFrame, sets: DataFrame, seed: int, tile: int) -> DataFrame:
         # Sets of other tiles wait for the pair of tiles that brings both together.
         mine = np.ones(m, bool) if low[0] == high[0] else own == low[0]
         rows_, cols_ = np.flatnonzero(mine), np.arange(m) if low[0] == high[0] else np.flatnonzero(~mine)
-        if not len(cols_):
+        if not len(rows_) or not len(cols_):
             return out
         shared = holds[rows_] @ holds[cols_].T
         ok = DOWN * shared >= UP * (n[rows_][:, None] + n[cols_][None] - shared)
@@ -379,7 +379,7 @@ def match_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, without the lines that go. Rows without an id keep all lines."""
     gone = match_lines(docs, id_col, text_col).filter("not kept and doc_id is not null")
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = gone.groupBy(F.col("doc_id").alias("_cl_id")).agg(F.collect_set("line_no").alias("_cl_gone"))
     met = join_by_id(docs, gone, id_col)
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_gone", i.cast("long"))), "\n")
-    return met.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_cl_gone", i.cast("long"))), "\n")
+    return met.withColumn(text_col, F.when(F.col("_cl_gone").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
