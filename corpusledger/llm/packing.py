@@ -49,7 +49,7 @@ class WordEncoder:
     of it that is marked as an end of word.
     """
 
-    def __init__(self, path: str, memory: int = 1_000_000):
+    def __init__(self, path: str, memory: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
