@@ -6,7 +6,7 @@ the same for DuckDB.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusledger.functions import content, decisions, identity, text
@@ -689,3 +689,103 @@ WHEN o_orderkey * 977 >= 60000 THEN printf('%d min %02d s', o_orderkey * 977 //
 def size_duration_format(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey")
     return table(spark, d, "orders").select("o_orderkey", content.format_bytes(key).alias("size"), content.format_duration(key * 977).alias("duration"))
+
+
+@registered(f"""WITH {SITE_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS page FROM marked),
+flagged AS (SELECT *, CASE WHEN found = 0 THEN 1 ELSE 0 END AS none, CASE WHEN found > 0 AND fresh <= 3 THEN 1 ELSE 0 END AS old FROM numbered),
+islands AS (SELECT *, sum(1 - none) OVER (PARTITION BY site ORDER BY page) AS a, sum(1 - old) OVER (PARTITION BY site ORDER BY page) AS b FROM flagged),
+streaked AS (SELECT *, sum(none) OVER (PARTITION BY site, a ORDER BY page) AS empties, sum(old) OVER (PARTITION BY site, b ORDER BY page) AS stales FROM islands),
+stopped AS (SELECT *, min(CASE WHEN repeated OR empties >= 2 OR stales >= 4 THEN page END) OVER (PARTITION BY site) AS stop, max(page) OVER (PARTITION BY site) AS last FROM streaked)
+SELECT site, page, coalesce(stop, last + 1) > 20 AS truncated FROM stopped WHERE (stop IS NULL OR page < stop) AND page < 20""")
+def page_enumeration(spark: SparkSession, d: str) -> DataFrame:
+    numbered = _site_pages(spark, d).withColumn("page", F.row_number().over(Window.partitionBy("site").orderBy("page_id")) - 1)
+    numbered = numbered.withColumn("fresh", F.greatest(F.col("fresh") - 3, F.lit(0)))
+    found = pages.enumeration(numbered, "page", "found", "fresh", "repeated", "site", stale=4, most=20)
+    return found.select("site", F.col("page").cast("long").alias("page"), "truncated")
+
+
+@registered(f"""WITH {RUN_SQL}, held AS (SELECT o_custkey AS source_id, count(DISTINCT l_partkey) AS documents,
+  count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_partkey END) AS failed_documents FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT (SELECT count(*) FROM customer) AS sources, CAST(sum(documents) AS BIGINT) AS documents, CAST(sum(failed_documents) AS BIGINT) AS failed_documents,
+  (SELECT count(*) FROM runs WHERE status = 'failed' AND started_at > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS failed_runs_7d FROM held""")
+def dashboard_totals(spark: SparkSession, d: str) -> DataFrame:
+    return views.dashboard_totals(source_health(spark, d))
+
+
+@registered("""SELECT c_custkey AS source_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'quarantined' ELSE 'active' END AS state,
+CASE WHEN c_mktsegment = 'BUILDING' THEN CASE WHEN c_acctbal > 0 THEN c_name ELSE 'non precise' END END AS reason, CASE WHEN c_mktsegment = 'BUILDING' THEN c_nationkey END AS at FROM customer""")
+def source_states(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("source_id"), F.when(F.col("c_mktsegment") == "BUILDING", "quarantined").otherwise("active").alias("state"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("reason"), F.col("c_nationkey").alias("at"),
+    )
+    return ledger.source_state(rows)
+
+
+@registered(f"""WITH {RUN_SQL} SELECT source_id, {ISO_SQL.format("max(started_at)")} AS last_run_at, {ISO_SQL.format("max(CASE WHEN status = 'completed' THEN started_at END)")} AS last_success_at FROM runs GROUP BY 1""")
+def run_marks(spark: SparkSession, d: str) -> DataFrame:
+    found = ledger.run_marks(runs(spark, d).withColumn("ended_at", F.col("started_at")))
+    return found.select("source_id", identity.iso(F.col("last_run_at")).alias("last_run_at"), identity.iso(F.col("last_success_at")).alias("last_success_at"))
+
+
+@registered(f"""WITH {REFS_SQL} SELECT content_hash, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM refs
+WHERE content_hash NOT IN (SELECT content_hash FROM refs JOIN labels USING (doc_id)) GROUP BY 1""")
+def insert_new_objects(spark: SparkSession, d: str) -> DataFrame:
+    found = refs(spark, d).select("doc_id", "content_hash", "source")
+    existing = found.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    return ledger.new_objects(found, existing, "content_hash", ["doc_id"]).select("content_hash", "doc_id", "source")
+
+
+@registered(f"""WITH {REFS_SQL} SELECT content_hash, string_agg(document_id || ':' || source, ',' ORDER BY document_id) AS refs FROM refs GROUP BY 1""")
+def descriptor_references(spark: SparkSession, d: str) -> DataFrame:
+    rows = refs(spark, d).select("content_hash", "document_id", F.lit(1).alias("version_no"), F.col("source").alias("source_id"), F.col("doc_id").alias("native_id"), F.col("doc_id").alias("fetched_at"))
+    joined = F.array_join(F.transform("references", lambda r: F.concat(r["document_id"], F.lit(":"), r["source_id"])), ",")
+    return ledger.attach_references(rows).select("content_hash", joined.alias("refs"))
+
+
+@registered(f"""WITH {REFS_SQL}, bad AS (SELECT DISTINCT content_hash FROM refs JOIN labels USING (doc_id) WHERE toxic = 1)
+SELECT content_hash, content_hash IN (SELECT content_hash FROM bad) AS tombstone FROM (SELECT DISTINCT content_hash FROM refs)""")
+def purge_objects(spark: SparkSession, d: str) -> DataFrame:
+    found = refs(spark, d).select("doc_id", "content_hash")
+    bad = found.join(table(spark, d, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("content_hash").distinct()
+    stay, gone = ledger.purge(found.select("content_hash").distinct(), bad)
+    return stay.withColumn("tombstone", F.lit(False)).unionByName(gone.withColumn("tombstone", F.lit(True)))
+
+
+@registered(f"""SELECT user_id AS content_hash, {ISO_SQL.format("max(ts)")} AS checked_at, arg_max(event_type, (ts, event_type)) AS result FROM events GROUP BY 1""")
+def latest_checks(spark: SparkSession, d: str) -> DataFrame:
+    checks = table(spark, d, "events").select(F.col("user_id").alias("content_hash"), F.col("ts").alias("checked_at"), F.col("event_type").alias("result"))
+    return ledger.verify_state(checks).select("content_hash", identity.iso(F.col("checked_at")).alias("checked_at"), "result")
+
+
+@registered(f"""WITH {REFS_SQL}, o AS (SELECT content_hash, count(*) AS ref_count FROM refs GROUP BY 1) SELECT content_hash, ref_count FROM o WHERE content_hash > 'sha256:8' ORDER BY content_hash LIMIT 100""")
+def content_batch(spark: SparkSession, d: str) -> DataFrame:
+    found = refs(spark, d).groupBy("content_hash").agg(F.count(F.lit(1)).alias("ref_count"))
+    return query.content_batch(found, "sha256:8", 100)
+
+
+@registered("""SELECT l_orderkey, l_linenumber, 400 + l_suppkey % 110 AS status, 400 + l_suppkey % 110 IN (408, 425, 429, 500, 502, 503, 504) AS retryable FROM lineitem""")
+def status_routing(spark: SparkSession, d: str) -> DataFrame:
+    status = F.lit(400) + F.col("l_suppkey") % 110
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", status.alias("status"), decisions.retryable_status(status).alias("retryable"))
+
+
+@registered("""SELECT o_orderkey, array_to_string(list_transform([9, 8, 7, 6, 5, 4, 3, 2, 1, 0], lambda i: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', CAST((epoch_ms(o_orderdate) >> (5 * i)) % 32 AS INTEGER) + 1, 1)), '') AS ulid_time FROM orders""")
+def ulid_times(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", identity.ulid_time(F.unix_millis(F.col("o_orderdate").cast("timestamp"))).alias("ulid_time"))
+
+
+@registered("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
+def json_fields(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", text.json_path(F.col("props"), "$.k").alias("k"))
+
+
+@registered("""SELECT doc_id, CASE WHEN n_chars < 300 THEN 300 ELSE 100 END AS min_bytes, CASE WHEN n_chars < 300 THEN 4000 ELSE 5000 END AS max_bytes,
+CASE WHEN n_chars < 300 THEN 'text/plain' ELSE 'text/html,text/plain' END AS mime_types FROM documents""")
+def expectation_intersection(spark: SparkSession, d: str) -> DataFrame:
+    short = F.col("n_chars") < 300
+    kinds = F.array(F.lit("text/html"), F.lit("text/plain"))
+    source = {"min_bytes": F.lit(100), "max_bytes": F.lit(5000), "mime_types": kinds}
+    plan = {"min_bytes": F.when(short, 300).otherwise(50), "max_bytes": F.when(short, 4000).otherwise(9000), "mime_types": F.when(short, F.array(F.lit("text/plain"))).otherwise(kinds)}
+    met = content.intersect_expectations(source, plan)
+    return table(spark, d, "documents").select("doc_id", met["min_bytes"].alias("min_bytes"), met["max_bytes"].alias("max_bytes"), F.array_join(met["mime_types"], ",").alias("mime_types"))
