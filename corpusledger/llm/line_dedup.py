@@ -4,9 +4,9 @@ A line is the set of its words (runs of anything but ASCII white space). Two lin
 Jaccard of their sets is at least ``4/5``; a line goes when an earlier one, by document id and line number,
 matches it.
 
-Words are ordered by rarity: document frequency is counted over all lines, the ``ranked`` most
-frequent words are broadcast with their rank (a bounded table), and all others, rarer than those,
-come before them by hash. Any order that all lines share keeps the filters exact. Then
+Words are ordered by rarity: document frequency is counted over all lines, at most ``ranked`` of the
+most frequent words are broadcast with their rank (a bounded table), and all others, rarer than
+those, come before them by hash. Any order that all lines share keeps the filters exact. Then
 
 * prefix filter: sets with Jaccard t share one of the first n - ceil(t n) + 1 words of each, so a line is posted under those words only;
 * length filter: sizes may differ by the factor t at most;
@@ -29,6 +29,8 @@ gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,7 @@ from corpusledger.runtime import materialise
 #: Jaccard threshold as a fraction.
 UP, DOWN = 4, 5
 LEAST_WORDS = 4  # smaller sets match only equal ones at 4/5
-FREQUENT = np.uint64(1 << 63)
+FREQUENT, RANK = np.uint64(1 << 63), np.uint64(40)
 LAST = 2**63 - 1
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -55,56 +57,51 @@ def _mix(x: np.ndarray, mult: np.uint64) -> np.ndarray:
 class Reader:
     """Texts to the distinct words of their lines, as numbers in the common order."""
 
-    def __init__(self, top: np.ndarray | None = None, seed: int = 0, memory: int = 500_000):
-        """``top``: hashes of the frequent words, rarest first."""
+    def __init__(self, top: np.ndarray | None = None, seed: int = 0):
+        """``top``: hashes of the frequent words, rarest first; found by a table over the low bits of a hash."""
         self.top = np.empty(0, np.uint64) if top is None else top
+        self.seed = seed
         self.by_hash = np.argsort(self.top)
-        self.ordered, self.seed, self.memory, self.known = self.top[self.by_hash], seed, memory, {}
+        self.ordered = self.top[self.by_hash]
+        self.low = np.uint64((1 << max(1, (8 * len(self.top)).bit_length())) - 1)
+        slot = (self.top & self.low).astype(np.int64)
+        self.slots = np.zeros(int(self.low) + 1, np.int32)
+        self.slots[slot] = np.arange(len(self.top))
+        self.crowded = np.bincount(slot, minlength=int(self.low) + 1) > 1
+
+    def rank(self, plain: np.ndarray) -> np.ndarray:
+        """Hashes of words to their place in the order: frequent words after all others, by rank."""
+        if not len(self.top) or not len(plain):
+            return plain
+        slot = (plain & self.low).astype(np.int64)
+        at = self.slots[slot]
+        hit = self.top[at] == plain
+        if len(again := np.flatnonzero(self.crowded[slot] & ~hit)):
+            found = np.minimum(np.searchsorted(self.ordered, plain[again]), len(self.ordered) - 1)
+            hit[again] = self.ordered[found] == plain[again]
+            at = at.copy()
+            at[again] = self.by_hash[found]
+        return np.where(hit, FREQUENT | at.astype(np.uint64) << RANK, plain)
 
-    def _numbers(self, words: list[bytes]) -> np.ndarray:
+    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, line number) of each line; (line, hash) of each distinct word, lines in order."""
         from xxhash import xxh64_intdigest
 
-        known = self.known
-        found = list(map(known.get, words))
-        fresh = list({w for w, x in zip(words, found, strict=True) if x is None})
-        if fresh:
-            numbers = np.fromiter((xxh64_intdigest(w, self.seed) >> 1 for w in fresh), np.uint64, len(fresh))
-            if len(self.ordered):
-                at = np.minimum(np.searchsorted(self.ordered, numbers), len(self.ordered) - 1)
-                numbers = np.where(self.ordered[at] == numbers, FREQUENT | self.by_hash[at].astype(np.uint64), numbers)
-            made = dict(zip(fresh, numbers.tolist(), strict=True))
-            found = [made[w] if x is None else x for w, x in zip(words, found, strict=True)]
-            if len(known) + len(made) <= self.memory:
-                known.update(made)
-        return np.array(found, np.uint64)
-
-    def hashes(self, numbers: np.ndarray) -> np.ndarray:
-        """The plain hashes of words, whatever their rank."""
-        frequent = numbers >= FREQUENT
-        if not frequent.any():
-            return numbers
-        return np.where(frequent, self.top[np.where(frequent, numbers ^ FREQUENT, 0).astype(np.int64)], numbers)
-
-    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document, line number) of each line; (line, number) of each distinct word, in order."""
         words, sizes, document, place = [], [], [], []
+        gc.disable()  # so many short-lived sets would set it off again and again
         for d, text in enumerate(texts):
             for k, line in enumerate((text or b"").split(b"\n")):
-                found = line.split()
+                found = set(line.split())
                 words += found
                 sizes.append(len(found))
                 document.append(d)
                 place.append(k)
-        number, line = self._numbers(words), np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((number, line))
-        number, line = number[order], line[order]
-        new = np.ones(len(line), bool)
-        new[1:] = (number[1:] != number[:-1]) | (line[1:] != line[:-1])
-        return np.array(document), np.array(place), line[new], number[new]
-
-    def set_hashes(self, lines: int, line: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each line's set that do not hang on the order."""
-        plain = self.hashes(number)
+        gc.enable()
+        plain = np.fromiter(map(xxh64_intdigest, words, itertools.repeat(self.seed)), np.uint64, len(words)) >> np.uint64(1)
+        return np.array(document), np.array(place), np.repeat(np.arange(len(sizes)), sizes), plain
+
+    def set_hashes(self, lines: int, line: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each line's set that do not hang on an order."""
         one, two = np.zeros(lines, np.uint64), np.zeros(lines, np.uint64)
         if len(line):
             starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
@@ -113,6 +110,16 @@ class Reader:
         return _mix(one, M2), two
 
 
+def _by_line(line: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each line in order. One sort by line and the upper bits of the number; if two words of a line agree in those, a full one."""
+    key = (line.astype(np.uint64) << np.uint64(44)) | (number >> np.uint64(20))
+    order = np.argsort(key)
+    key = key[order]
+    if len(line) and (line[-1] >= 1 << 20 or (key[1:] == key[:-1]).any()):
+        order = np.lexsort((number, line))
+    return line[order], number[order]
+
+
 def _batches(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple[np.ndarray, list]]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -141,12 +148,12 @@ def survey(rows: DataFrame, seed: int) -> DataFrame:
             return _rows(names, zero + 1, words, n.astype(np.int64), zero, zero, zero)
 
         for ids, texts in _batches(batches):
-            document, place, line, number = reader.read(texts)
-            one, two = reader.set_hashes(len(document), line, number)
+            document, place, line, plain = reader.read(texts)
+            one, two = reader.set_hashes(len(document), line, plain)
             n = np.bincount(line, minlength=len(document)).astype(np.int64)
             yield _rows(names, np.zeros(len(document), np.int64), ids[document].astype(np.int64), place.astype(np.int64), one, two, n)
-            held.append(number)
-            size += len(number)
+            held.append(plain)
+            size += len(plain)
             if size > 4_000_000:
                 yield counts()
                 held, size = [], 0
@@ -158,16 +165,21 @@ def survey(rows: DataFrame, seed: int) -> DataFrame:
 
 def postings(rows: DataFrame, top: np.ndarray, frequency: np.ndarray, seed: int, tile: int) -> DataFrame:
     """word, low, high (the pair of tiles), own, set, place (words << 32 | position), s1, s2."""
-    names = ["word", "tiles", "own", "set", "place", "s1", "s2"]
+    names = ["word", "pair", "own", "set", "place", "s1", "s2"]
     most = np.minimum(-(-frequency // tile), 64).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen = Reader(top, seed), set()
         for _, texts in _batches(batches):
-            document, _, line, number = reader.read(texts)
-            sets, _ = reader.set_hashes(len(document), line, number)
+            document, _, line, plain = reader.read(texts)
+            sets, _ = reader.set_hashes(len(document), line, plain)
             # A set that this task has posted is not posted again.
             fresh = np.array([s not in seen and (len(seen) > 1_000_000 or not seen.add(s)) for s in sets.tolist()], bool)
+            fresh &= np.bincount(line, minlength=len(document)) >= LEAST_WORDS
+            chosen = fresh[line]
+            line, plain = line[chosen], plain[chosen]
+            number = reader.rank(plain)
+            line, number = _by_line(line, number)
             count = np.bincount(line, minlength=len(document))
             starts = np.r_[0, np.cumsum(count)[:-1]]
             position = np.arange(len(line)) - starts[line]
@@ -179,20 +191,21 @@ def postings(rows: DataFrame, top: np.ndarray, frequency: np.ndarray, seed: int,
                 s1[line[firsts]] = np.bitwise_xor.reduceat(np.where(bit < 64, flag, np.uint64(0)), firsts)
                 s2[line[firsts]] = np.bitwise_xor.reduceat(np.where(bit >= 64, flag, np.uint64(0)), firsts)
             n = count[line]
-            keep = (position < n + (-UP * n // DOWN) + 1) & (n >= LEAST_WORDS) & fresh[line]
+            keep = (position < n + (-UP * n // DOWN) + 1) & (n >= LEAST_WORDS)
             line, number, position, n = line[keep], number[keep], position[keep], n[keep]
             frequent = number >= FREQUENT
             tiles = np.ones(len(line), np.int64)
             if len(most):
-                tiles = np.where(frequent, most[np.where(frequent, number ^ FREQUENT, 0).astype(np.int64)], 1)
+                tiles = np.where(frequent, most[np.where(frequent, (number ^ FREQUENT) >> RANK, 0).astype(np.int64)], 1)
             own = (sets[line] % tiles.astype(np.uint64)).astype(np.int64)
-            yield _rows(names, number, tiles, own, sets[line], (n << 32 | position).astype(np.int64), s1[line], s2[line])
+            # A row goes to every pair of tiles that its own is in.
+            row = np.repeat(np.arange(len(line)), tiles)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+            own, line = own[row], line[row]
+            pair = np.minimum(own, other) * 64 + np.maximum(own, other)
+            yield _rows(names, number[row], pair, own, sets[line], (n << 32 | position).astype(np.int64)[row], s1[line], s2[line])
 
-    posted = rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
-    other = F.when(F.col("tiles") > 1, F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).otherwise(F.array(F.lit(0).cast("long")))
-    return posted.withColumn("other", F.explode(other)).select(
-        "word", (F.least("own", "other") * 64 + F.greatest("own", "other")).alias("pair"), "own", "set", "place", "s1", "s2"
-    )
+    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def _passes(n1, p1, n2, p2, differ) -> np.ndarray:
@@ -333,6 +346,22 @@ def verify(rows: DataFrame, sets: DataFrame, seed: int, tile: int) -> DataFrame:
     return found.groupBy("set").agg(F.sum("links").alias("links"), before)
 
 
+def frequent_words(counts: DataFrame, ranked: int) -> list:
+    """All words above the document frequency that leaves at most ``ranked`` of them, rarest first.
+
+    The frequency is found on the histogram of frequencies, so no task sends or sorts more than it keeps.
+    """
+    counts = materialise(counts.filter("df > 1"), "lines-words")
+    left, least = ranked, None
+    for row in counts.groupBy("df").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("df")).limit(1 << 20).toLocalIterator():
+        if row["n"] > left:
+            break
+        left, least = left - row["n"], row["df"]
+    if least is None:
+        return []
+    return sorted(counts.filter(F.col("df") >= least).collect(), key=lambda r: (r["df"], r["a"]))
+
+
 def match_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranked: int = 200_000, tile: int = 1024, seed: int = 0) -> DataFrame:
     """doc_id, line_no, n_words, class_doc_id, class_line_no, members, links, kept for every line.
 
@@ -341,8 +370,7 @@ def match_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = _texts(docs, id_col, text_col)
     seen = materialise(survey(rows, seed), "lines-survey")
     lines = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("line_no"), F.col("c").alias("set"), F.col("d").alias("check"), "n")
-    words = seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("df")).orderBy(F.desc("df"), "a").limit(ranked).collect()
-    words.reverse()
+    words = frequent_words(seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("df")), ranked)
     top, frequency = np.array([w["a"] for w in words], np.int64).view(np.uint64), np.array([w["df"] for w in words], np.int64)
 
     classes = lines.filter("n > 0").groupBy("set").agg(
