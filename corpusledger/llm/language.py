@@ -197,13 +197,18 @@ def classify(net: Network, texts: list[str | None], lockstep: int = 4096) -> lis
 def training_windows(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, per_language: int, windows: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Labels, windows and targets of the bounded sample; at most 64 languages, the most frequent."""
     known = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    labels = sorted(r[0] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64).collect())
+    known = known.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
+    labels = sorted(counts)
     if not labels:
         return [], np.empty((0, WIDTH), np.uint8), np.empty(0, np.int64)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.filter(F.col(lang_col).isin(labels)).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
+    # A hash slice of about four times the sample first: no task ranks all rows of a language.
+    share = F.element_at(F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, 4 * per_language / counts[k]))]), F.col("lang"))
+    sliced = F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(1 << 30)) / (1 << 30) < share
+    ids = known.filter(F.col("lang").isin(labels)).filter(sliced).select("doc_id", "lang")
     ids = ids.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).select(F.col("doc_id").alias("_id"))
-    picked = known.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col("_id"), "left_semi")
+    picked = known.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +221,7 @@ def training_windows(docs: DataFrame, learn: Column, id_col: str, text_col: str,
                         parts.append(found[k].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["lang", "part"])
 
-    rows = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, part binary").orderBy("lang", "part").collect()
+    rows = picked.select("lang", "text").mapInArrow(run, "lang string, part binary").orderBy("lang", "part").collect()
     labels = sorted({r[0] for r in rows})
     data = np.array([np.frombuffer(r[1], np.uint8) for r in rows], np.uint8).reshape(-1, WIDTH)
     return labels, data, np.array([labels.index(r[0]) for r in rows], np.int64)
