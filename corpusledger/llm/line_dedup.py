@@ -163,13 +163,13 @@ def survey(rows: DataFrame, seed: int) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def postings(rows: DataFrame, top: np.ndarray, frequency: np.ndarray, seed: int, tile: int) -> DataFrame:
+def postings(rows: DataFrame, top: np.ndarray, frequency: np.ndarray, seed: int, tile: int, kind: type[Reader] = Reader) -> DataFrame:
     """word, low, high (the pair of tiles), own, set, place (words << 32 | position), s1, s2."""
     names = ["word", "pair", "own", "set", "place", "s1", "s2"]
     most = np.minimum(-(-frequency // tile), 64).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, seen = Reader(top, seed), set()
+        reader, seen = kind(top, seed), set()
         for _, texts in _batches(batches):
             document, _, line, plain = reader.read(texts)
             sets, _ = reader.set_hashes(len(document), line, plain)
