@@ -30,14 +30,31 @@ BUCKETS = 1 << 18
 LONGEST_WORD = 24
 THRESHOLD = 0.7
 WORD = re.compile(rb"[a-z\x80-\xff]+")
-SENTENCE_END = re.compile(rb"[.!?\n]+")
+#: ASCII ends, and in UTF-8 the ideographic and full-width full stop, exclamation and question mark.
+SENTENCE_END = re.compile(rb"(?:[.!?\n]|\xe3\x80\x82|\xef\xbc[\x81\x8e\x9f]|\xef\xbd\xa1)+")
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """A word; if it is longer than ``LONGEST_WORD``, parts that together have every feature of the whole word, each once.
+
+    ``W`` is followed by the first 6 bytes, the last 4 and a hash of the word, ``I`` by a part of it that counts
+    for its inner 4 bytes only. No word has capitals.
+    """
+    if len(word) <= LONGEST_WORD:
+        return [word]
+    from xxhash import xxh64_digest
+
+    inner = [b"I" + word[at : at + LONGEST_WORD] for at in range(0, len(word) - 3, LONGEST_WORD - 3)]
+    return [b"W" + word[:6] + word[-4:] + xxh64_digest(word), *inner]
 
 
 def features(words: list[bytes]) -> np.ndarray:
-    """(words, kinds) bucket numbers; -1 where a word is too short for a kind. Words count up to 24 bytes."""
+    """(words, kinds) bucket numbers of words or :func:`pieces`; -1 where a word is too short for a kind or a piece has it not."""
     width = LONGEST_WORD
-    chars = np.frombuffer(b"".join(w[:width].ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width).astype(np.uint64)
-    lengths = np.minimum(np.char.str_len(np.array(words, dtype=object).astype(bytes)) if len(words) else np.empty(0, int), width)
+    mark = np.array([b"WI".find(w[:1]) if w else -1 for w in words], np.int64)
+    bodies = [w if k < 0 else w[1:11] if k == 0 else w[1:] for w, k in zip(words, mark.tolist(), strict=True)]
+    chars = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in bodies), np.uint8).reshape(-1, width).astype(np.uint64)
+    lengths = np.array([len(w) for w in bodies], np.int64)
     mult = np.uint64(0x9E3779B97F4A7C15)
 
     def bucket(salt: int, columns: list[np.ndarray]) -> np.ndarray:
@@ -47,16 +64,19 @@ def features(words: list[bytes]) -> np.ndarray:
             h ^= h >> np.uint64(29)
         return (h >> np.uint64(64 - 18)).astype(np.int64)
 
-    out = []
+    out, ends = [], mark != 1
     for size in (3, 4, 5, 6):
-        out.append(np.where(lengths >= size, bucket(size, [chars[:, i] for i in range(size)]), -1))
+        out.append(np.where(ends & (lengths >= size), bucket(size, [chars[:, i] for i in range(size)]), -1))
     last = np.maximum(lengths - 4, 0)
     row = np.arange(len(chars))
-    out.append(np.where(lengths >= 4, bucket(7, [chars[row, np.minimum(last + i, width - 1)] for i in range(4)]), -1))
-    out.append(bucket(8, [chars[:, i] for i in range(width)]))
+    out.append(np.where(ends & (lengths >= 4), bucket(7, [chars[row, np.minimum(last + i, width - 1)] for i in range(4)]), -1))
+    whole = np.where(ends, bucket(8, [chars[:, i] for i in range(width)]), -1)
+    for i in np.flatnonzero(mark == 0):
+        whole[i] = int.from_bytes(words[i][11:], "big") >> (64 - 18)
+    out.append(whole)
     for at in range(width - 3):
         inner = bucket(9, [chars[:, at + i] for i in range(4)])
-        out.append(np.where(lengths >= at + 4, inner, -1))
+        out.append(np.where((mark != 0) & (lengths >= at + 4), inner, -1))
     return np.stack(out, axis=1)
 
 
@@ -84,6 +104,8 @@ class Bags:
             doc_sizes.append(len(parts))
             for part in parts:
                 found = WORD.findall(part)
+                if max(map(len, found), default=0) > LONGEST_WORD:
+                    found = [x for w in found for x in pieces(w)]
                 self.words += found
                 sentence_sizes.append(len(found))
         self.sentence = np.repeat(np.arange(len(sentence_sizes)), sentence_sizes)
