@@ -5,8 +5,8 @@ a potential from its features (tag, words of class and id, text and link shares,
 its parent's variable, by the kind of tag. Sum-product messages, upward from the leaves and then
 downward from the root, give each element's exact marginal. Weights are trained by the exact
 gradient of the likelihood of labelled pages, which :mod:`html_pages` makes. An element's own text is
-kept when its marginal is at least one half; what is never text (scripts, styles, form controls, comments of
-the markup) is not in the tree.
+kept when its marginal is at least one half; what is never text (scripts, styles, form controls, drawings, comments
+of the markup) is not in the tree.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 joined by one space in page order. Inline elements join without a space; a line break is a space.
@@ -30,7 +30,12 @@ from pyspark.sql import functions as F
 
 from corpusledger.llm import html_pages
 
-RAW = ("script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "select", "button", "title", "option", "label", "object", "canvas")
+#: Their content is raw text: without an end tag they end with the page.
+RAW = ("script", "style", "textarea", "noscript", "iframe", "title")
+#: Never text, whatever is in them; they end with their parent, or where a block starts.
+DROPPED = frozenset("template svg select datalist button option optgroup label".split())
+#: May close themselves.
+FOREIGN = ("svg", "math")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp".split())
 #: A start tag of the first ends an open element of the second.
@@ -61,9 +66,12 @@ class Tree:
         self.pieces: list[tuple[int, str]] = []
         self.own, self.links = [0], [0]
         stack, anchors = [0], 0
+        lost: list[str] = []  # open elements from a dropped one on
         for m in TOKEN.finditer(page):
             text = m[5]
             if text is not None:
+                if lost:
+                    continue
                 node = stack[-1]
                 size = len(text)
                 self.own[node] += size
@@ -75,6 +83,21 @@ class Tree:
             if tag is None:
                 continue
             tag = tag.lower()
+            closed = bool(m[4]) and m[4].endswith("/")
+            if lost:
+                if m[2]:
+                    if tag in lost:
+                        del lost[len(lost) - 1 - lost[::-1].index(tag) :]
+                        continue
+                    if not any(self.tags[x] == tag for x in stack[1:]):
+                        continue
+                elif tag not in ENDS_P and (tag not in CLOSES or tag == "option") or "template" in lost or "foreignobject" in lost:
+                    if tag == "option" == lost[-1]:
+                        lost.pop()
+                    if tag not in VOID and not (closed and any(x in FOREIGN for x in [*lost, tag])):
+                        lost.append(tag)
+                    continue
+                lost.clear()
             if m[2]:
                 for depth in range(len(stack) - 1, 0, -1):
                     if self.tags[stack[depth]] == tag:
@@ -84,6 +107,11 @@ class Tree:
                             self.pieces.append((stack[-1], " "))
                         break
                 continue
+            if closed and tag in FOREIGN:
+                continue
+            if tag in DROPPED:
+                lost.append(tag)
+                continue
             closes = CLOSES.get(tag, ())
             for depth in range(len(stack) - 1, 0, -1):
                 up = self.tags[stack[depth]]
