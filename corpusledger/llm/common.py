@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusledger.runtime import materialise
@@ -28,14 +28,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_row
     return met.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in columns])
 
 
-def join_by_id(docs: DataFrame, decisions: DataFrame, id_col: str, most: int = 500_000) -> DataFrame:
+def row_key(doc_id: Column, text_hash: Column) -> Column:
+    """A row by its id and a hash of its text: ids may be null or repeat with different texts."""
+    return F.struct(doc_id.cast("long").alias("doc_id"), text_hash.alias("key"))
+
+
+def join_by_id(docs: DataFrame, decisions: DataFrame, id_col: str, most: int = 500_000, weight: str | None = None) -> DataFrame:
     """Left join of whole documents to decisions, unique by ``_cl_id``; a null id meets a null id.
 
-    ``decisions`` is broadcast while it has at most ``most`` rows, and shuffled beyond.
+    ``decisions`` is broadcast while it has at most ``most`` rows, or ``weight`` summed over them, and shuffled beyond.
     """
     decisions = materialise(decisions, "decisions")
-    small = decisions.count() <= most
-    return docs.join(F.broadcast(decisions) if small else decisions, F.col(id_col).eqNullSafe(F.col("_cl_id")), "left").drop("_cl_id")
+    size = decisions.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0] or 0
+    decisions = decisions.drop(weight) if weight else decisions
+    met = docs.join(F.broadcast(decisions) if size <= most else decisions, F.col(id_col).eqNullSafe(F.col("_cl_id")), "left")
+    return met.drop("_cl_id")
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:

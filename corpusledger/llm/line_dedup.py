@@ -9,28 +9,29 @@ most frequent words are broadcast with their rank (a bounded table), and all oth
 those, come before them by hash. Any order that all lines share keeps the filters exact. Then
 
 * prefix filter: sets with Jaccard t share one of the first n - ceil(t n) + 1 words of each, so a line is posted under those words only;
+* shared words: a word of one line alone makes no pair; a bitmap of ``2^bits`` bits of the words of two lines or more keeps most others from being posted;
 * length filter: sizes may differ by the factor t at most;
 * positional filter: what can still be shared after the two positions must suffice;
 * bitmap filter: a 128-bit parity sketch differs in at most as many bits as the sets differ in words.
 
-What passes is linked, as a spanning forest for each word, never as all pairs. The connected groups of
+What passes is linked, as a spanning forest for each task, never as all pairs. The connected groups of
 these candidates fetch their words, and in pairs of tiles of ``tile / 2`` sets every pair is verified by exact
 intersection counts; only per-set counts and minima leave a tile. Words of which more than ``tile``
 lines hold one are tiled too.
 
-Sets are known by a 64-bit hash; a second one is compared everywhere, and should two sets ever share
-the first, the join stops and asks for another ``seed``.
+A row is known by its id and a hash of its text, so that rows without an id, and texts that share one, are
+judged apart. Sets are known by two 64-bit hashes, 128 bits; candidates are grouped by the first alone, where
+a meeting of two sets only adds a pair to verify.
 
 Defined cases: a null text is one empty line. Lines without words match nothing and stay. Lines with equal
 sets are one class: the first stays unless an earlier class matches it, the others go. Rows that
-repeat a document's id and text stay or go alike. A null id comes after all others. An empty table
-gives an empty result. Other columns are ignored.
+repeat a document's id and text stay or go alike; of different texts with one id, that with the smaller
+hash is the earlier. A null id comes after all others. An empty table gives an empty result. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import gc
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusledger.llm.common import components, join_by_id, join_groups
+from corpusledger.llm.common import components, join_by_id, join_groups, row_key
+from corpusledger.llm.words import M1, M2, Words, by_line, distinct, mix
 from corpusledger.runtime import materialise
 
 #: Jaccard threshold as a fraction.
@@ -46,21 +48,18 @@ UP, DOWN = 4, 5
 LEAST_WORDS = 4  # smaller sets match only equal ones at 4/5
 FREQUENT, RANK = np.uint64(1 << 63), np.uint64(40)
 LAST = 2**63 - 1
-M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _mix(x: np.ndarray, mult: np.uint64) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * mult
-    return x ^ (x >> np.uint64(29))
+TEXT_SEED = 42  # of Spark's xxhash64
+#: Tiles of one word's lines, and words of the sets that meet in one pair of tiles.
+MOST_TILES, TILE_WORDS = 1 << 12, 1 << 23
 
 
 class Reader:
     """Texts to the distinct words of their lines, as numbers in the common order."""
 
-    def __init__(self, top: np.ndarray | None = None, seed: int = 0):
-        """``top``: hashes of the frequent words, rarest first; found by a table over the low bits of a hash."""
+    def __init__(self, top: np.ndarray | None = None, shared: np.ndarray | None = None, seed: int = 0):
+        """``top``: hashes of the frequent words, rarest first; found by a table over the low bits of a hash. ``shared``: bitmap of words that two lines have."""
         self.top = np.empty(0, np.uint64) if top is None else top
-        self.seed = seed
+        self.shared, self.seed = shared, seed
         self.by_hash = np.argsort(self.top)
         self.ordered = self.top[self.by_hash]
         self.low = np.uint64((1 << max(1, (8 * len(self.top)).bit_length())) - 1)
@@ -83,41 +82,34 @@ class Reader:
             at[again] = self.by_hash[found]
         return np.where(hit, FREQUENT | at.astype(np.uint64) << RANK, plain)
 
+    def is_shared(self, number: np.ndarray) -> np.ndarray:
+        """False only for words that no second line has."""
+        if self.shared is None:
+            return np.ones(len(number), bool)
+        bit = number & np.uint64(64 * len(self.shared) - 1)
+        held = self.shared[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)
+        return (number >= FREQUENT) | (held == 1)
+
     def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document, line number) of each line; (line, hash) of each distinct word, lines in order."""
-        from xxhash import xxh64_intdigest
-
-        words, sizes, document, place = [], [], [], []
-        gc.disable()  # so many short-lived sets would set it off again and again
-        for d, text in enumerate(texts):
-            for k, line in enumerate((text or b"").split(b"\n")):
-                found = set(line.split())
-                words += found
-                sizes.append(len(found))
-                document.append(d)
-                place.append(k)
-        gc.enable()
-        plain = np.fromiter(map(xxh64_intdigest, words, itertools.repeat(self.seed)), np.uint64, len(words)) >> np.uint64(1)
-        return np.array(document), np.array(place), np.repeat(np.arange(len(sizes)), sizes), plain
+        """(document, line number) of each line; (line, hash) of each distinct word, sorted by both."""
+        found = Words(texts, self.seed)
+        return found.document, found.place, *distinct(found.line, found.hash >> np.uint64(1))
 
     def set_hashes(self, lines: int, line: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of each line's set that do not hang on an order."""
         one, two = np.zeros(lines, np.uint64), np.zeros(lines, np.uint64)
         if len(line):
             starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-            one[line[starts]] = np.add.reduceat(_mix(plain, M1), starts)
-            two[line[starts]] = np.bitwise_xor.reduceat(_mix(plain, M2), starts) ^ np.add.reduceat(plain, starts)
-        return _mix(one, M2), two
+            one[line[starts]] = np.add.reduceat(mix(plain, M1), starts)
+            two[line[starts]] = np.bitwise_xor.reduceat(mix(plain, M2), starts) ^ np.add.reduceat(plain, starts)
+        return mix(one, M2), two
 
 
-def _by_line(line: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each line in order. One sort by line and the upper bits of the number; if two words of a line agree in those, a full one."""
-    key = (line.astype(np.uint64) << np.uint64(44)) | (number >> np.uint64(20))
-    order = np.argsort(key)
-    key = key[order]
-    if len(line) and (line[-1] >= 1 << 20 or (key[1:] == key[:-1]).any()):
-        order = np.lexsort((number, line))
-    return line[order], number[order]
+def text_key(text: bytes | None) -> int:
+    """Spark's xxhash64 of a text, unsigned."""
+    from xxhash import xxh64_intdigest
+
+    return TEXT_SEED if text is None else xxh64_intdigest(text, TEXT_SEED)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple[np.ndarray, list]]:
@@ -136,8 +128,8 @@ def _rows(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def survey(rows: DataFrame, seed: int) -> DataFrame:
-    """One pass: a row per line (kind 0: doc_id, line_no, set, check, words), and partial counts of words (kind 1: word, count)."""
-    names = ["kind", "a", "b", "c", "d", "n"]
+    """One pass: a row per line (kind 0: doc_id, line_no, set, check, words, key of the text), and partial counts of words (kind 1: word, count)."""
+    names = ["kind", "a", "b", "c", "d", "n", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, held, size = Reader(seed=seed), [], 0
@@ -145,13 +137,14 @@ def survey(rows: DataFrame, seed: int) -> DataFrame:
         def counts() -> pa.RecordBatch:
             words, n = np.unique(np.concatenate(held), return_counts=True)
             zero = np.zeros(len(words), np.int64)
-            return _rows(names, zero + 1, words, n.astype(np.int64), zero, zero, zero)
+            return _rows(names, zero + 1, words, n.astype(np.int64), zero, zero, zero, zero)
 
         for ids, texts in _batches(batches):
             document, place, line, plain = reader.read(texts)
             one, two = reader.set_hashes(len(document), line, plain)
             n = np.bincount(line, minlength=len(document)).astype(np.int64)
-            yield _rows(names, np.zeros(len(document), np.int64), ids[document].astype(np.int64), place.astype(np.int64), one, two, n)
+            keys = np.array([text_key(t) for t in texts], np.uint64)[document]
+            yield _rows(names, np.zeros(len(document), np.int64), ids[document].astype(np.int64), place.astype(np.int64), one, two, n, keys)
             held.append(plain)
             size += len(plain)
             if size > 4_000_000:
@@ -163,27 +156,28 @@ def survey(rows: DataFrame, seed: int) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def postings(rows: DataFrame, top: np.ndarray, frequency: np.ndarray, seed: int, tile: int, kind: type[Reader] = Reader) -> DataFrame:
-    """word, low, high (the pair of tiles), own, set, place (words << 32 | position), s1, s2."""
+def postings(rows: DataFrame, top: np.ndarray, frequency: np.ndarray, shared: np.ndarray | None, seed: int, tile: int, kind: type[Reader] = Reader) -> DataFrame:
+    """word, pair (of tiles), own (tile), set, place (words << 32 | position), s1, s2."""
     names = ["word", "pair", "own", "set", "place", "s1", "s2"]
-    most = np.minimum(-(-frequency // tile), 64).astype(np.int64)
+    most = np.minimum(-(-frequency // tile), MOST_TILES).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, seen = kind(top, seed), set()
+        reader, seen = kind(top, shared, seed), set()
         for _, texts in _batches(batches):
             document, _, line, plain = reader.read(texts)
-            sets, _ = reader.set_hashes(len(document), line, plain)
+            sets, checks = reader.set_hashes(len(document), line, plain)
             # A set that this task has posted is not posted again.
-            fresh = np.array([s not in seen and (len(seen) > 1_000_000 or not seen.add(s)) for s in sets.tolist()], bool)
+            both = zip(sets.tolist(), checks.tolist(), strict=True)
+            fresh = np.array([s not in seen and (len(seen) > 500_000 or not seen.add(s)) for s in both], bool)
             fresh &= np.bincount(line, minlength=len(document)) >= LEAST_WORDS
             chosen = fresh[line]
             line, plain = line[chosen], plain[chosen]
             number = reader.rank(plain)
-            line, number = _by_line(line, number)
+            line, number = by_line(line, number)
             count = np.bincount(line, minlength=len(document))
             starts = np.r_[0, np.cumsum(count)[:-1]]
             position = np.arange(len(line)) - starts[line]
-            bit = _mix(number, M2) >> np.uint64(57)
+            bit = mix(number, M2) >> np.uint64(57)
             flag = np.uint64(1) << (bit & np.uint64(63))
             firsts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.empty(0, np.int64)
             s1, s2 = np.zeros(len(document), np.uint64), np.zeros(len(document), np.uint64)
@@ -191,7 +185,7 @@ def postings(rows: DataFrame, top: np.ndarray, frequency: np.ndarray, seed: int,
                 s1[line[firsts]] = np.bitwise_xor.reduceat(np.where(bit < 64, flag, np.uint64(0)), firsts)
                 s2[line[firsts]] = np.bitwise_xor.reduceat(np.where(bit >= 64, flag, np.uint64(0)), firsts)
             n = count[line]
-            keep = (position < n + (-UP * n // DOWN) + 1) & (n >= LEAST_WORDS)
+            keep = (position < n + (-UP * n // DOWN) + 1) & reader.is_shared(number)
             line, number, position, n = line[keep], number[keep], position[keep], n[keep]
             frequent = number >= FREQUENT
             tiles = np.ones(len(line), np.int64)
@@ -202,7 +196,7 @@ def postings(rows: DataFrame, top: np.ndarray, frequency: np.ndarray, seed: int,
             row = np.repeat(np.arange(len(line)), tiles)
             other = np.arange(len(row)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
             own, line = own[row], line[row]
-            pair = np.minimum(own, other) * 64 + np.maximum(own, other)
+            pair = np.minimum(own, other) * MOST_TILES + np.maximum(own, other)
             yield _rows(names, number[row], pair, own, sets[line], (n << 32 | position).astype(np.int64)[row], s1[line], s2[line])
 
     return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
@@ -216,11 +210,11 @@ def _passes(n1, p1, n2, p2, differ) -> np.ndarray:
 
 
 def candidates(posted: DataFrame) -> DataFrame:
-    """Edges (u, v) of sets that pass the filters: a spanning forest per word and pair of tiles."""
+    """Edges (u, v) of sets that pass the filters: a spanning forest of what each task meets."""
     dealt = posted.repartition("word", "pair").sortWithinPartitions("word", "pair", "place", "set")
 
-    def forest(word, pair, own, sets, place, s1, s2) -> tuple[np.ndarray, np.ndarray]:
-        """Of whole groups, sorted; rows are compared with the s-th after them until lengths part."""
+    def near(word, pair, own, sets, place, s1, s2) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that pass, in whole groups, sorted; rows are compared with the s-th after them until lengths part."""
         n, p = place >> 32, place & 0xFFFFFFFF
         at, s, heads, tails = np.arange(len(word)), 0, [], []
         while len(at):
@@ -230,111 +224,147 @@ def candidates(posted: DataFrame) -> DataFrame:
             on = (word[at] == word[to]) & (pair[at] == pair[to]) & (UP * n[to] <= DOWN * n[at])
             at, to = at[on], to[on]
             differ = (np.bitwise_count(s1[at] ^ s1[to]).astype(np.int64) + np.bitwise_count(s2[at] ^ s2[to])).astype(np.int64)
-            split = (pair[at] >> 6) != (pair[at] & 63)
+            split = pair[at] // MOST_TILES != pair[at] % MOST_TILES
             ok = _passes(n[at], p[at], n[to], p[to], differ) & (sets[at] != sets[to]) & (~split | (own[at] != own[to]))
             heads.append(at[ok])
             tails.append(to[ok])
-        heads, tails = np.concatenate(heads or [np.empty(0, np.int64)]), np.concatenate(tails or [np.empty(0, np.int64)])
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (y := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(y, y)
-            return x
-
-        kept = []
-        for k, (a, b) in enumerate(zip(heads.tolist(), tails.tolist(), strict=True)):
-            x, y = find(a), find(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                kept.append(k)
-        return sets[heads[kept]], sets[tails[kept]]
+        return np.concatenate(heads or [np.empty(0, np.int64)]), np.concatenate(tails or [np.empty(0, np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, known = None, set()
+        rest, parent = None, {}
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             last = np.flatnonzero((rest[0] != rest[0][-1]) | (rest[1] != rest[1][-1]))
             if len(last):
-                yield from settle([x[: last[-1] + 1] for x in rest], known)
+                yield settle([x[: last[-1] + 1] for x in rest], parent)
                 rest = [x[last[-1] + 1 :] for x in rest]
         if rest is not None and len(rest[0]):
-            yield from settle(rest, known)
+            yield settle(rest, parent)
 
-    def settle(cols: list[np.ndarray], known: set) -> Iterator[pa.RecordBatch]:
+    def settle(cols: list[np.ndarray], parent: dict[int, int]) -> pa.RecordBatch:
         word, pair, own, sets, place, s1, s2 = cols
-        again = np.r_[False, (word[1:] == word[:-1]) & (pair[1:] == pair[:-1]) & (sets[1:] == sets[:-1])]
-        group = np.cumsum(np.r_[True, (word[1:] != word[:-1]) | (pair[1:] != pair[:-1])]) - 1
+        same = (word[1:] == word[:-1]) & (pair[1:] == pair[:-1])
+        again = np.r_[False, same & (sets[1:] == sets[:-1]) & (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])]
+        group = np.cumsum(np.r_[True, ~same]) - 1
         keep = ~again & (np.bincount(group, ~again)[group] > 1)
-        u, v = forest(*(x[keep] for x in (word, pair, own, sets, place)), s1[keep].view(np.uint64), s2[keep].view(np.uint64))
-        new = [k for k, e in enumerate(zip(u.tolist(), v.tolist(), strict=True)) if e not in known and (len(known) > 500_000 or not known.add(e))]
-        yield _rows(["u", "v"], u[new], v[new])
+        sets = sets[keep]
+        heads, tails = near(word[keep], pair[keep], own[keep], sets, place[keep], s1[keep].view(np.uint64), s2[keep].view(np.uint64))
+        if len(parent) > 500_000:
+            parent.clear()  # only costs edges
+
+        def find(x: int) -> int:
+            while (y := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(y, y)
+            return x
+
+        kept = []
+        for edge in zip(sets[heads].tolist(), sets[tails].tolist(), strict=True):
+            x, y = find(edge[0]), find(edge[1])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                kept.append(edge)
+        ends = np.array(kept, np.int64).reshape(-1, 2)
+        return _rows(["u", "v"], ends[:, 0], ends[:, 1])
 
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def verify(rows: DataFrame, sets: DataFrame, seed: int, tile: int) -> DataFrame:
-    """set, links, before (struct doc_id, line_no of the earliest match) of every set that matches another.
+def fetch(rows: DataFrame, sets: DataFrame, seed: int, most: int = 400_000) -> DataFrame:
+    """The first line of each set: tiles, component, set, check, doc_id, line_no, key, text.
 
-    ``sets``: set, doc_id, line_no of the set's first line, component, held (sets of the component).
+    ``sets``: set, check, doc_id, line_no and key of the first line, component, tiles. They are broadcast while there are
+    at most ``most`` of them, some 60 bytes each, and shuffled beyond.
     """
-    first = materialise(sets, "lines-sets")
-    wanted = first.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "set", "component", "held")).alias("wanted"))
-    met = join_by_id(rows, wanted.withColumnRenamed("doc_id", "_cl_id"), "doc_id", 200_000).filter("wanted is not null")
-    lines = met.select("doc_id", F.explode("wanted").alias("w"), "text").select(
-        "doc_id", F.col("w.line_no").alias("line_no"), F.col("w.set").alias("set"), F.col("w.component").alias("component"), F.col("w.held").alias("held"),
-        F.get(F.split(F.col("text").cast("string"), "\n"), F.col("w.line_no").cast("int")).cast("binary").alias("text"),
-    ).dropDuplicates(["set"])
-    tiles = F.ceil(2 * F.col("held") / tile).cast("long")
-    own = F.pmod(F.xxhash64("set"), tiles)
+    columns = ["line_no", "set", "check", "component", "tiles"]
+    wanted = sets.groupBy(F.struct("doc_id", "key").alias("_cl_id")).agg(F.collect_list(F.struct(*columns)).alias("wanted"), F.count(F.lit(1)).alias("_cl_n"))
+    keyed = rows.withColumn("_cl_key", F.struct("doc_id", F.xxhash64("text").alias("key")))
+    met = join_by_id(keyed, wanted, "_cl_key", most, "_cl_n").filter("wanted is not null").select("_cl_key.*", "text", *[f"wanted.{c}" for c in columns])
+    schema = "component long, tiles long, set long, check long, doc_id long, line_no long, key long, text binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, names = Reader(seed=seed), ["component", "tiles", "set", "check", "doc_id", "line_no", "key", "text"]
+        for batch in batches:
+            for at in range(batch.num_rows):
+                doc, key, text, *arrays = (c[at] for c in batch.columns)
+                place, sets, checks, component, tiles = (x.values.to_numpy(zero_copy_only=False) for x in arrays)
+                lines = (text.as_py() or b"").split(b"\n")
+                lines = [lines[i] if i < len(lines) else b"" for i in place.tolist()]
+                _, _, line, plain = reader.read(lines)
+                one, two = reader.set_hashes(len(lines), line, plain)
+                # Should two texts of one id share a hash, each is asked for the lines of both.
+                real = np.flatnonzero((one.view(np.int64) == sets) & (two.view(np.int64) == checks))
+                known = [component, tiles, sets, checks, np.full(len(lines), doc.as_py()), place, np.full(len(lines), key.as_py())]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[real], pa.int64()) for x in known], pa.array([lines[i] for i in real], pa.binary())], names)
+
+    return met.mapInArrow(run, schema)
+
+
+def shared_counts(line: np.ndarray, word: np.ndarray, m: int, a: np.ndarray, b: np.ndarray, span: int = 4096) -> np.ndarray:
+    """How many words each set of ``a`` shares with each of ``b``: exact products over ``span`` words at a time."""
+    _, word, often = np.unique(word, return_inverse=True, return_counts=True)
+    common = often[word] > 1  # a word of one set alone is shared by no pair
+    _, word = np.unique(word[common], return_inverse=True)
+    line = line[common]
+    order = np.argsort(word, kind="stable")
+    line, word = line[order], word[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, int(word[-1]) + 1 if len(word) else 0, span):
+        low, high = np.searchsorted(word, (first, first + span))
+        holds = np.zeros((m, span), np.float32)
+        holds[line[low:high], word[low:high] - first] = 1
+        out += holds[a] @ holds[b].T
+    return out
+
+
+def verify(rows: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
+    """set, check, links, before (struct doc_id, line_no, key of the earliest match) of every set that matches another; ``sets`` as in :func:`fetch`."""
+    lines = fetch(rows, sets, seed)
+    own = F.pmod(F.xxhash64("set"), "tiles")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    dealt = lines.withColumn("tiles", tiles).withColumn("own", own).withColumn("other", other).select(
-        "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "set", "doc_id", "line_no", "text"
+    dealt = lines.withColumn("own", own).withColumn("other", other).select(
+        "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "set", "check", "doc_id", "line_no", "key", "text"
     )
-    dealt = dealt.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
-    names = ["set", "links", "before_doc", "before_line"]
+    dealt = dealt.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "set", "check")
+    names = ["set", "check", "links", "before_doc", "before_line", "before_key"]
 
     def pairs(cols: list[np.ndarray], reader: Reader) -> list[tuple]:
-        _, low, high, own, sets, doc, place, text = cols
+        _, low, high, own, sets, check, doc, place, key, text = cols
         out, m = [], len(sets)
         _, _, line, number = reader.read([t.replace(b"\n", b" ") for t in text])
         n = np.bincount(line, minlength=m)
-        _, word, often = np.unique(number, return_inverse=True, return_counts=True)
-        common = often[word] > 1  # a word of one set alone is shared by no pair
-        _, word = np.unique(word[common], return_inverse=True)
-        holds = np.zeros((m, int(word.max()) + 1 if len(word) else 1), np.float32)
-        holds[line[common], word] = 1
         # Sets of other tiles wait for the pair of tiles that brings both together.
         mine = np.ones(m, bool) if low[0] == high[0] else own == low[0]
         rows_, cols_ = np.flatnonzero(mine), np.arange(m) if low[0] == high[0] else np.flatnonzero(~mine)
         if not len(rows_) or not len(cols_):
             return out
-        shared = holds[rows_] @ holds[cols_].T
+        shared = shared_counts(line, number, m, rows_, cols_)
         ok = DOWN * shared >= UP * (n[rows_][:, None] + n[cols_][None] - shared)
-        ok &= sets[rows_][:, None] != sets[cols_][None]
+        ok &= (sets[rows_][:, None] != sets[cols_][None]) | (check[rows_][:, None] != check[cols_][None])
         rank = np.empty(m, np.int64)
-        rank[np.lexsort((place, doc))] = np.arange(m)
+        rank[np.lexsort((key, place, doc))] = np.arange(m)
         by_rank = np.argsort(rank)
         for a, b, hit in ((rows_, cols_, ok), (cols_, rows_, ok.T))[: 1 + (low[0] != high[0])]:
             links, best = hit.sum(1), np.where(hit, rank[b][None], m).min(1)
             for i in np.flatnonzero(links):
                 j = by_rank[best[i]]
-                out.append((int(sets[a[i]]), int(links[i]), int(doc[j]), int(place[j])))
+                out.append((int(sets[a[i]]), int(check[a[i]]), int(links[i]), int(doc[j]), int(place[j]), int(key[j])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, rest = Reader(seed=seed), None
 
         def settle(cols: list[np.ndarray]) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1]), True])
+            once = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in (*cols[:3], *cols[4:6])])]  # a repeated row brings its lines twice
+            cols = [c[once] for c in cols]
+            cuts = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]]), True])
             found = [row for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for row in pairs([c[a:b] for c in cols], reader)]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(4)], names)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(len(names))], names)
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            last = np.flatnonzero((rest[0] != rest[0][-1]) | (rest[1] != rest[1][-1]) | (rest[2] != rest[2][-1]))
+            last = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in rest[:3]]))
             if len(last):
                 yield settle([x[: last[-1] + 1] for x in rest])
                 rest = [x[last[-1] + 1 :] for x in rest]
@@ -342,16 +372,15 @@ def verify(rows: DataFrame, sets: DataFrame, seed: int, tile: int) -> DataFrame:
             yield settle(rest)
 
     found = dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
-    before = F.min(F.struct(F.col("before_doc").alias("doc_id"), F.col("before_line").alias("line_no"))).alias("before")
-    return found.groupBy("set").agg(F.sum("links").alias("links"), before)
+    before = F.min(F.struct(F.col("before_doc").alias("doc_id"), F.col("before_line").alias("line_no"), F.col("before_key").alias("key"))).alias("before")
+    return found.groupBy("set", "check").agg(F.sum("links").alias("links"), before)
 
 
 def frequent_words(counts: DataFrame, ranked: int) -> list:
-    """All words above the document frequency that leaves at most ``ranked`` of them, rarest first.
+    """Of ``counts`` (a, df), all words above the document frequency that leaves at most ``ranked`` of them, rarest first.
 
     The frequency is found on the histogram of frequencies, so no task sends or sorts more than it keeps.
     """
-    counts = materialise(counts.filter("df > 1"), "lines-words")
     left, least = ranked, None
     for row in counts.groupBy("df").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("df")).limit(1 << 20).toLocalIterator():
         if row["n"] > left:
@@ -362,39 +391,61 @@ def frequent_words(counts: DataFrame, ranked: int) -> list:
     return sorted(counts.filter(F.col("df") >= least).collect(), key=lambda r: (r["df"], r["a"]))
 
 
-def match_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranked: int = 200_000, tile: int = 1024, seed: int = 0) -> DataFrame:
+def shared_words(counts: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of ``2^bits`` bits with that of each counted word set: 2^(bits - 3) bytes, whatever the corpus."""
+    bit = F.col("a").bitwiseAND(F.lit((1 << bits) - 1))
+    flag = F.expr("bit_or(shiftleft(1L, cast(a & 63 AS int)))")
+    found = counts.groupBy(F.shiftright(bit, 6).alias("slot")).agg(flag.alias("flag")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found["slot"].to_numpy()] = found["flag"].to_numpy().view(np.uint64)
+    return out
+
+
+def word_table(seen: DataFrame, ranked: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the survey's counts: hashes and frequencies of the frequent words, and the bitmap of words that two lines have."""
+    counts = materialise(seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("df")).filter("df > 1"), "lines-words")
+    words = frequent_words(counts, ranked)
+    return np.array([w["a"] for w in words], np.int64).view(np.uint64), np.array([w["df"] for w in words], np.int64), shared_words(counts, bits)
+
+
+def match_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, line_no, n_words, class_doc_id, class_line_no, members, links, kept for every line.
 
-    The class is named by its first line; ``links`` counts the other classes that match it.
+    The class is named by its first line; ``links`` counts the other classes that match it. ``options`` as in :func:`judged_lines`.
     """
+    return judged_lines(docs, id_col, text_col, **options).drop("key")
+
+
+def judged_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranked: int = 200_000, bits: int = 26, tile: int = 1024, verify_tile: int = 512, seed: int = 0
+) -> DataFrame:
+    """What :func:`match_lines` says, with ``key`` (xxhash64 of the text), which tells rows with one id apart."""
     rows = _texts(docs, id_col, text_col)
     seen = materialise(survey(rows, seed), "lines-survey")
-    lines = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("line_no"), F.col("c").alias("set"), F.col("d").alias("check"), "n")
-    words = frequent_words(seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("df")), ranked)
-    top, frequency = np.array([w["a"] for w in words], np.int64).view(np.uint64), np.array([w["df"] for w in words], np.int64)
+    lines = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("line_no"), F.col("c").alias("set"), F.col("d").alias("check"), "n", "key")
+    top, frequency, shared = word_table(seen, ranked, bits)
 
-    classes = lines.filter("n > 0").groupBy("set").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("members"), F.min("check").alias("least"), F.max("check").alias("most")
+    classes = lines.filter("n > 0").groupBy("set", "check").agg(
+        F.min(F.struct("doc_id", "line_no", "key")).alias("first"), F.count(F.lit(1)).alias("members"), F.max("n").alias("n")
     )
     classes = materialise(classes, "lines-classes")
-    if not classes.filter("least != most").isEmpty():
-        raise ValueError("two sets of words share a hash: take another seed")
-
-    linked = components(candidates(postings(rows, top, frequency, seed, tile)), "lines")
-    held = linked.groupBy("component").agg(F.count(F.lit(1)).alias("held"))
-    grouped = join_groups(linked, materialise(held, "lines-held"), "component", "held").withColumnRenamed("node", "set")
-    sets = grouped.join(classes, "set").select("set", "first.doc_id", "first.line_no", "component", "held")
-    matches = verify(rows, sets, seed, tile)
-    known = classes.join(matches, "set", "left").select("set", "first", "members", F.coalesce("links", F.lit(0)).alias("links"), "before")
-    known = materialise(known, "lines-known")
-
-    met = join_groups(lines.select("doc_id", "line_no", "n", "set"), known, "set", "members")
-    here, first = F.struct("doc_id", "line_no"), F.col("first")
+
+    linked = components(candidates(postings(rows, top, frequency, shared, seed, tile)), "lines").withColumnRenamed("node", "set")
+    sets = materialise(linked.join(classes, "set").select("set", "check", "first.*", "component", "n"), "lines-sets")
+    held = sets.groupBy("component").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("words"))
+    held = held.select("component", "held", F.greatest(F.ceil(2 * F.col("held") / verify_tile), F.ceil(2 * F.col("words") / TILE_WORDS)).cast("long").alias("tiles"))
+    sets = materialise(join_groups(sets.drop("n"), materialise(held, "lines-held"), "component", "held"), "lines-grouped")
+    known = classes.join(verify(rows, sets, seed), ["set", "check"], "left").select("set", "check", "first", "members", F.coalesce("links", F.lit(0)).alias("links"), "before")
+    known = materialise(known.withColumn("set", F.struct("set", "check")).drop("check"), "lines-known")
+
+    met = join_groups(lines.select("doc_id", "line_no", "key", "n", F.struct("set", "check").alias("set")), known, "set", "members")
+    here, first = F.struct("doc_id", "line_no", "key"), F.col("first")
     kept = first.isNull() | ((here == first) & (F.col("before").isNull() | (F.col("before") > first)))
     known_id = lambda c: F.when(c != LAST, c)
     return met.select(
         known_id(F.col("doc_id")).alias("doc_id"),
         "line_no",
+        "key",
         F.col("n").alias("n_words"),
         known_id(F.when(F.col("n") > 0, first["doc_id"])).alias("class_doc_id"),
         F.when(F.col("n") > 0, first["line_no"]).alias("class_line_no"),
@@ -405,9 +456,9 @@ def match_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, without the lines that go. Rows without an id keep all lines."""
-    gone = match_lines(docs, id_col, text_col).filter("not kept and doc_id is not null")
-    gone = gone.groupBy(F.col("doc_id").alias("_cl_id")).agg(F.collect_set("line_no").alias("_cl_gone"))
-    met = join_by_id(docs, gone, id_col)
+    """The documents, all columns, without the lines that go. Rows without an id keep all lines; texts that share an id are judged apart."""
+    gone = judged_lines(docs, id_col, text_col).filter("not kept and doc_id is not null")
+    gone = gone.groupBy(row_key(F.col("doc_id"), F.col("key")).alias("_cl_id")).agg(F.collect_set("line_no").alias("_cl_gone"), F.count(F.lit(1)).alias("_cl_n"))
+    met = join_by_id(docs.withColumn("_cl_key", row_key(F.col(id_col), F.xxhash64(F.col(text_col).cast("binary")))), gone, "_cl_key", 2_000_000, "_cl_n")
     left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_cl_gone", i.cast("long"))), "\n")
     return met.withColumn(text_col, F.when(F.col("_cl_gone").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
