@@ -104,15 +104,25 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. Rows without an id stay."""
+    """The documents that stay, with all their columns. Rows without an id stay.
+
+    An id that is on several rows is judged text by text: of each text that it keeps one row stays, that
+    with the most code points, then the last by text and by the row's hash.
+    """
     made = exact_dedup(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).filter("doc_id is not null")
-    rows = made.groupBy(F.col("doc_id").alias("_cl_id")).agg(F.sum(F.col("kept").cast("int")).alias("_cl_kept"), F.count(F.lit(1)).alias("_cl_rows"))
-    met = join_by_id(docs, rows.filter("_cl_kept < _cl_rows"), id_col)
-    stay = met.filter("_cl_kept is null").select(*docs.columns)
-    again = rows.filter("_cl_kept > 0 and _cl_kept < _cl_rows")
-    if again.isEmpty():
+    made = materialise(made.select("doc_id", "kept", "text_sha256"), "exact-decisions")
+    rows = made.groupBy(F.col("doc_id").alias("_cl_id")).agg(F.max("kept").alias("_cl_kept"), (F.count(F.lit(1)) > 1).alias("_cl_many"))
+    marked = join_by_id(docs, rows.filter("_cl_many or not _cl_kept").drop("_cl_kept"), id_col)
+    stay = marked.filter("_cl_many is null").select(*docs.columns)
+    many = rows.filter("_cl_many").select(F.col("_cl_id").alias("doc_id"))
+    if many.isEmpty():
         return stay
-    return stay.unionByName(met.filter("_cl_kept > 0").select(*docs.columns).dropDuplicates([id_col]))
+    key = F.struct(F.col(id_col).cast("long").alias("doc_id"), sha256(normalised(F.col(text_col))).alias("sha"))
+    kept = made.filter("kept").join(many, "doc_id").select(F.struct("doc_id", F.col("text_sha256").alias("sha")).alias("_cl_id"), F.lit(True).alias("_cl_stays"))
+    met = join_by_id(marked.filter("_cl_many").drop("_cl_many").withColumn("_cl_key", key), kept, "_cl_key").filter("_cl_stays")
+    size = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    first = F.max_by(F.struct(*docs.columns), F.struct(size, F.col(text_col), F.xxhash64(*docs.columns))).alias("_cl_row")
+    return stay.unionByName(met.groupBy("_cl_key").agg(first).select("_cl_row.*"))
 
 
 ORACLE_SQL = r"""

@@ -20,7 +20,7 @@ Quality rows that repeat an id count with their highest quality. Other columns a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,37 +66,14 @@ def targets(rows: DataFrame, weights: Sequence[float], budget: float, cap: float
     return shared.select("source", "n", "source_size", F.coalesce(target, F.col("most")).alias("target"))
 
 
-def mix(
-    docs: DataFrame,
-    quality: DataFrame | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: Sequence[float] = WEIGHTS,
-    budget: float = 1.5,
-    cap: float = 2.0,
-    cut_last: bool = True,
-    bucket_rows: int = 4096,
-    broadcast_sources: int = 100_000,
-) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for every row.
+def _plan(
+    rows: DataFrame, weights: Sequence[float], budget: float, cap: float, bucket_rows: int, broadcast_sources: int
+) -> tuple[Callable[[DataFrame], DataFrame], Callable[..., DataFrame]]:
+    """From ``rows`` (source, size, key): the plan of each source and where in it its budget ends, as functions.
 
-    ``quality`` has doc_id and quality. ``copies`` counts the passes that take the document, the last
-    maybe in part. With ``cut_last`` false the document in which the budget ends is taken whole if at
-    least half of it fits, and else not.
+    The first joins the plan to rows by ``source``. The second marks rows so joined with ``extra`` (words of the last, incomplete
+    pass) and ``pass`` (1 if that pass takes the row).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
-    if quality is not None:
-        graded = quality.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("grade"))
-        rows = rows.join(graded, "doc_id", "left")
-        weight = F.lit(1.0)
-        for grade, value in QUALITY_WEIGHTS.items():
-            weight = F.when(F.col("grade") == grade, F.lit(value)).otherwise(weight)
-    else:
-        weight = F.lit(1.0)
-    rows = rows.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), weight).alias("key"))
-    rows = materialise(rows, "mix-rows")
-
     plan = targets(rows, weights, budget, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(F.lit(0)).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn(
@@ -105,12 +82,14 @@ def mix(
     plan = materialise(plan.withColumn("buckets", F.ceil(F.col("n") / bucket_rows).cast("long")), "mix-plan")
     small = plan.count() <= broadcast_sources
 
-    def with_source(left: DataFrame, right: DataFrame) -> DataFrame:
+    def with_source(left: DataFrame, right: DataFrame, source: str = "source") -> DataFrame:
         right = right.withColumnRenamed("source", "of")
-        return left.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        return left.join(F.broadcast(right) if small else right, F.col(source).eqNullSafe(F.col("of"))).drop("of")
+
+    def bucket(key: str) -> Column:
+        return F.least(F.floor((1 - F.exp(-F.col(key))) * F.col("buckets")), F.col("buckets") - 1)
 
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")), F.col("buckets") - 1).alias("bucket")
-    sums = with_source(rows, plan.select("source", "buckets", "rest")).groupBy("source", "rest", bucket).agg(F.sum("size").alias("held"))
+    sums = with_source(rows, plan.select("source", "buckets", "rest")).groupBy("source", "rest", bucket("key").alias("bucket")).agg(F.sum("size").alias("held"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
         sums.withColumn("before", F.coalesce(F.sum("held").over(ahead), F.lit(0)))
@@ -120,35 +99,92 @@ def mix(
         .withColumnRenamed("source", "ended")
     )
     plan = plan.join(ends, F.col("source").eqNullSafe(F.col("ended")), "left").drop("ended")
-    plan = materialise(plan.fillna({"last": -1, "before": 0}), "mix-ends")
-
-    placed = with_source(rows, plan).select("*", bucket)
-    whole = placed.filter("bucket != last").withColumn("extra", F.when(F.col("bucket") < F.col("last"), F.col("size")).otherwise(F.lit(0)))
-    whole = whole.withColumn("pass", (F.col("bucket") < F.col("last")).cast("long"))
-    order = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0))
-    edge = placed.filter("bucket = last").withColumn("left", left)
-    if cut_last:
-        edge = edge.withColumn("extra", F.greatest(F.lit(0), F.least("size", "left"))).withColumn("pass", (F.col("left") > 0).cast("long"))
-    else:
-        fits = (F.col("left") > 0) & (2 * F.col("left") >= F.col("size"))
-        edge = edge.withColumn("extra", F.when(fits, F.col("size")).otherwise(F.lit(0))).withColumn("pass", fits.cast("long"))
-    return whole.unionByName(edge.drop("left")).select(
-        "doc_id",
-        "size",
-        "source_size",
-        F.round("target", 3).alias("target"),
-        (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
-        (F.col("epochs") + F.col("pass")).alias("copies"),
+    plan = plan.fillna({"last": -1, "before": 0}).select("source", *[F.col(c).alias(f"_mx_{c}") for c in ("source_size", "target", "epochs", "rest", "buckets", "last", "before")])
+    plan = materialise(plan, "mix-ends")
+
+    def placed(df: DataFrame) -> DataFrame:
+        met = with_source(df, plan, "_mx_source").withColumnRenamed("_mx_buckets", "buckets")
+        return met.withColumn("_mx_bucket", bucket("_mx_key")).drop("buckets")
+
+    def filled(df: DataFrame, cut_last: bool) -> DataFrame:
+        early = F.col("_mx_bucket") < F.col("_mx_last")
+        whole = df.filter("_mx_bucket != _mx_last").withColumn("_mx_extra", F.when(early, F.col("_mx_size")).otherwise(F.lit(0))).withColumn("_mx_pass", early.cast("long"))
+        order = Window.partitionBy("_mx_source", "_mx_bucket").orderBy("_mx_key", "_mx_id", "_mx_size").rowsBetween(Window.unboundedPreceding, -1)
+        left = F.col("_mx_rest") - F.col("_mx_before") - F.coalesce(F.sum("_mx_size").over(order), F.lit(0))
+        edge = df.filter("_mx_bucket = _mx_last").withColumn("_mx_left", left)
+        if cut_last:
+            edge = edge.withColumn("_mx_extra", F.greatest(F.lit(0), F.least("_mx_size", "_mx_left"))).withColumn("_mx_pass", (F.col("_mx_left") > 0).cast("long"))
+        else:
+            fits = (F.col("_mx_left") > 0) & (2 * F.col("_mx_left") >= F.col("_mx_size"))
+            edge = edge.withColumn("_mx_extra", F.when(fits, F.col("_mx_size")).otherwise(F.lit(0))).withColumn("_mx_pass", fits.cast("long"))
+        return whole.unionByName(edge.drop("_mx_left"))
+
+    return placed, filled
+
+
+def _graded(rows: DataFrame, quality: DataFrame | None, id_col: str) -> DataFrame:
+    """Adds ``_mx_weight``: one for rows that no label grades."""
+    if quality is None:
+        return rows.withColumn("_mx_weight", F.lit(1.0))
+    weight = F.lit(1.0)
+    for grade, value in QUALITY_WEIGHTS.items():
+        weight = F.when(F.col("grade") == grade, F.lit(value)).otherwise(weight)
+    graded = quality.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_cl_id")).agg(F.max("quality").alias("grade"))
+    graded = graded.select("_cl_id", weight.alias("_mx_weight")).filter("_mx_weight != 1.0")
+    return join_by_id(rows, graded, id_col).withColumn("_mx_weight", F.coalesce("_mx_weight", F.lit(1.0)))
+
+
+def _keyed(docs: DataFrame, quality: DataFrame | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The rows with their id, source, size and key beside."""
+    docs = docs.withColumn("_mx_id", F.col(id_col).cast("long")).withColumn("_mx_source", F.col(source_col).cast("string"))
+    docs = _graded(docs.withColumn("_mx_size", words(F.col(text_col))), quality, "_mx_id")
+    return docs.withColumn("_mx_key", sampling_key(F.col("_mx_id"), F.col("_mx_weight"))).drop("_mx_weight")
+
+
+def mix(
+    docs: DataFrame,
+    quality: DataFrame | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = WEIGHTS,
+    budget: float = 1.5,
+    cap: float = 2.0,
+    cut_last: bool = True,
+    bucket_rows: int = 4096,
+    broadcast_sources: int = 100_000,
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies for every row.
+
+    ``quality`` has doc_id and quality. ``copies`` counts the passes that take the document, the last
+    maybe in part. With ``cut_last`` false the document in which the budget ends is taken whole if at
+    least half of it fits, and else not.
+    """
+    rows = materialise(_keyed(docs, quality, id_col, text_col, source_col).select("_mx_id", "_mx_source", "_mx_size", "_mx_key"), "mix-rows")
+    narrow = rows.select(F.col("_mx_source").alias("source"), F.col("_mx_size").alias("size"), F.col("_mx_key").alias("key"))
+    placed, filled = _plan(narrow, weights, budget, cap, bucket_rows, broadcast_sources)
+    return filled(placed(rows), cut_last).select(
+        F.col("_mx_id").alias("doc_id"),
+        F.col("_mx_size").alias("size"),
+        F.col("_mx_source_size").alias("source_size"),
+        F.round("_mx_target", 3).alias("target"),
+        (F.col("_mx_epochs") * F.col("_mx_size") + F.col("_mx_extra")).cast("long").alias("taken"),
+        (F.col("_mx_epochs") + F.col("_mx_pass")).alias("copies"),
     )
 
 
 def take(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every document as many times as it is taken, whole, with all its columns."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    made = mix(rows, quality, cut_last=False).groupBy(F.col("doc_id").alias("_cl_id")).agg(F.max("copies").cast("int").alias("_cl_copies"))
-    met = join_by_id(docs, made.filter("_cl_copies > 0"), id_col).filter("_cl_copies > 0")
-    return met.withColumn("_cl_copy", F.explode(F.sequence(F.lit(1), F.col("_cl_copies")))).select(*docs.columns)
+    """The mix itself: every row as many times as it is taken, whole, with all its columns.
+
+    Rows carry their columns through the plan, so that texts that share an id are each taken by themselves; only
+    the bucket in which a source's budget ends is shuffled.
+    """
+    keyed = _keyed(docs, quality, id_col, text_col, source_col)
+    narrow = keyed.select(F.col("_mx_source").alias("source"), F.col("_mx_size").alias("size"), F.col("_mx_key").alias("key"))
+    placed, filled = _plan(materialise(narrow, "mix-rows"), WEIGHTS, 1.5, 2.0, 4096, 100_000)
+    copies = (F.col("_mx_epochs") + F.col("_mx_pass")).cast("int")
+    met = filled(placed(keyed), cut_last=False).withColumn("_mx_copies", copies).filter("_mx_copies > 0")
+    return met.withColumn("_mx_copy", F.explode(F.sequence(F.lit(1), F.col("_mx_copies")))).select(*docs.columns)
 
 
 ORACLE_SQL = r"""
