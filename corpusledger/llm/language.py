@@ -194,19 +194,20 @@ def classify(net: Network, texts: list[str | None], lockstep: int = 4096) -> lis
     return out
 
 
-def training_windows(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, per_language: int, windows: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Labels, windows and targets of the bounded sample; at most 64 languages, the most frequent."""
+def training_windows(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, per_language: int, windows: int, sample: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Labels, windows and targets of a sample of every language: ``per_language`` documents each, fewer where that makes more than ``sample`` in all."""
     known = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
-    labels = sorted(counts)
-    if not labels:
+    # A language is a row here and a column of the network: ``sample`` of them at most.
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
+    if not counts:
         return [], np.empty((0, WIDTH), np.uint8), np.empty(0, np.int64)
+    per_language = max(1, min(per_language, sample // len(counts)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # A hash slice of about four times the sample first: no task ranks all rows of a language.
-    share = F.element_at(F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, 4 * per_language / counts[k]))]), F.col("lang"))
-    sliced = F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(1 << 30)) / (1 << 30) < share
-    ids = known.filter(F.col("lang").isin(labels)).filter(sliced).select("doc_id", "lang")
+    shares = docs.sparkSession.createDataFrame([(r[0], min(1.0, 4 * per_language / r[1])) for r in counts], "_lang string, _share double")
+    sliced = F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(1 << 30)) / (1 << 30) < F.col("_share")
+    ids = known.select("doc_id", "lang").join(F.broadcast(shares), F.col("lang") == F.col("_lang")).filter(sliced).drop("_lang", "_share")
     ids = ids.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).select(F.col("doc_id").alias("_id"))
     picked = known.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
 
@@ -227,8 +228,10 @@ def training_windows(docs: DataFrame, learn: Column, id_col: str, text_col: str,
     return labels, data, np.array([labels.index(r[0]) for r in rows], np.int64)
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, windows: int = 24, steps: int = 300) -> Network | None:
-    labels, data, target = training_windows(docs, learn, id_col, text_col, lang_col, per_language, windows)
+def train(
+    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, windows: int = 24, steps: int = 300, sample: int = 20_000
+) -> Network | None:
+    labels, data, target = training_windows(docs, learn, id_col, text_col, lang_col, per_language, windows, sample)
     if not labels:
         return None
     net = Network(labels)
