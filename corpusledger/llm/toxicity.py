@@ -226,7 +226,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 200, rate: float = 0.0
     return Model(weights, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = 1500, negatives: int = 2500, longest: int = 50_000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = 1500, negatives: int = 2500, longest: int = 20_000) -> Model | None:
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn).groupBy(F.col(id_col).cast("long").alias("_id"))
     marked = marked.agg(F.max(label_col).cast("int").alias("_y"))
     # Twice as many ids as rows are wanted, as some have no text or a longer one.
