@@ -5,14 +5,15 @@ a potential from its features (tag, words of class and id, text and link shares,
 its parent's variable, by the kind of tag. Sum-product messages, upward from the leaves and then
 downward from the root, give each element's exact marginal. Weights are trained by the exact
 gradient of the likelihood of labelled pages, which :mod:`html_pages` makes. An element's own text is
-kept when its marginal is at least one half; what is never text (scripts, styles, form controls, drawings, comments
-of the markup) is not in the tree.
+kept when its marginal is at least one half; what is never text (scripts, styles, templates, frames, form controls,
+drawings, comments of the markup) is not in the tree.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 joined by one space in page order. Inline elements join without a space; a line break is a space.
 
 Defined cases: a null page is empty; a page without content gives the empty text. Unclosed elements
-end with their parent, stray end tags are ignored, markup that is cut off ends with the page.
+end with their parent, stray end tags are ignored, markup that is cut off ends with the page. Quotes count only where the value of an
+attribute begins.
 Repeated rows get equal texts. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import functools
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from corpusledger.llm import html_pages
 
 #: Their content is raw text: without an end tag they end with the page.
-RAW = ("script", "style", "textarea", "noscript", "iframe", "title")
+RAW = ("script", "style", "textarea", "iframe", "title")
 #: Never text, whatever is in them; they end with their parent, or where a block starts.
 DROPPED = frozenset("template svg select datalist button option optgroup label".split())
 #: May close themselves.
@@ -43,9 +45,13 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 ENDS_P = frozenset(
     "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+PARAGRAPH = frozenset({"p"})
+#: What is open above them is not closed by a start tag inside.
+HOLDS = frozenset("ul ol table div article section main aside body".split())
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)",
+    # A quote counts only where a value begins; one that is never closed ends with its tag.
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -66,7 +72,22 @@ class Tree:
         self.pieces: list[tuple[int, str]] = []
         self.own, self.links = [0], [0]
         stack, anchors = [0], 0
+        opened: Counter[str] = Counter()  # tags on the stack: an end tag without one is known at once
         lost: list[str] = []  # open elements from a dropped one on
+        buried: Counter[str] = Counter()  # and their tags
+
+        def cut(depth: int) -> None:
+            nonlocal anchors
+            for node in stack[depth:]:
+                opened[self.tags[node]] -= 1
+                anchors -= self.tags[node] == "a"
+            del stack[depth:]
+
+        def unbury(tag: str) -> None:
+            while (last := lost.pop()) != tag:
+                buried[last] -= 1
+            buried[tag] -= 1
+
         for m in TOKEN.finditer(page):
             text = m[5]
             if text is not None:
@@ -86,41 +107,41 @@ class Tree:
             closed = bool(m[4]) and m[4].endswith("/")
             if lost:
                 if m[2]:
-                    if tag in lost:
-                        del lost[len(lost) - 1 - lost[::-1].index(tag) :]
+                    if buried[tag]:
+                        unbury(tag)
                         continue
-                    if not any(self.tags[x] == tag for x in stack[1:]):
+                    if not opened[tag]:
                         continue
-                elif tag not in ENDS_P and (tag not in CLOSES or tag == "option") or "template" in lost or "foreignobject" in lost:
+                elif tag not in ENDS_P and (tag not in CLOSES or tag == "option") or buried["template"] or buried["foreignobject"]:
                     if tag == "option" == lost[-1]:
-                        lost.pop()
-                    if tag not in VOID and not (closed and any(x in FOREIGN for x in [*lost, tag])):
+                        unbury(tag)
+                    if tag not in VOID and not (closed and (tag in FOREIGN or any(buried[x] for x in FOREIGN))):
                         lost.append(tag)
+                        buried[tag] += 1
                     continue
                 lost.clear()
+                buried.clear()
             if m[2]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[depth]] == tag:
-                        anchors -= sum(self.tags[x] == "a" for x in stack[depth:])
-                        del stack[depth:]
-                        if tag not in INLINE:
-                            self.pieces.append((stack[-1], " "))
-                        break
+                if opened[tag]:
+                    cut(next(d for d in range(len(stack) - 1, 0, -1) if self.tags[stack[d]] == tag))
+                    if tag not in INLINE:
+                        self.pieces.append((stack[-1], " "))
                 continue
             if closed and tag in FOREIGN:
                 continue
             if tag in DROPPED:
                 lost.append(tag)
+                buried[tag] += 1
                 continue
-            closes = CLOSES.get(tag, ())
-            for depth in range(len(stack) - 1, 0, -1):
-                up = self.tags[stack[depth]]
-                if up in closes or (up == "p" and tag in ENDS_P):
-                    anchors -= sum(self.tags[x] == "a" for x in stack[depth:])
-                    del stack[depth:]
-                    break
-                if up in ("ul", "ol", "table", "div", "article", "section", "main", "aside", "body"):
-                    break
+            closes = CLOSES.get(tag, frozenset()) | (PARAGRAPH if tag in ENDS_P else frozenset())
+            if any(opened[x] for x in closes):
+                for depth in range(len(stack) - 1, 0, -1):
+                    up = self.tags[stack[depth]]
+                    if up in closes:
+                        cut(depth)
+                        break
+                    if up in HOLDS:
+                        break
             if tag not in INLINE:
                 self.pieces.append((stack[-1], " "))
             if tag in VOID:
@@ -136,6 +157,7 @@ class Tree:
             self.own.append(0)
             self.links.append(0)
             stack.append(len(self.tags) - 1)
+            opened[tag] += 1
             anchors += tag == "a"
 
     def text(self, keep: np.ndarray) -> str:
@@ -215,49 +237,81 @@ class Model:
     def __init__(self):
         self.weights, self.pairs = np.zeros(FEATURES), np.zeros((KINDS, 2, 2))
 
-    def marginals(self, parent: list[int], kinds: list[int], unary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def marginals(self, parent, kinds, unary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(content) of every node, and the pairwise marginals of every child with its parent.
 
-        Parents come before children, so one backward pass sends the messages up and one forward pass sends them down.
+        Any number of trees, each root with the parent -1 and parents before children. Messages go up level by level,
+        then down.
         """
+        parent, kinds = np.asarray(parent, np.int64), np.asarray(kinds, np.int64)
         n = len(parent)
-        table = np.exp(self.pairs).tolist()
-        up1, up0 = np.exp(np.clip(unary, -30, 30)).tolist(), [1.0] * n
-        m1, m0 = [1.0] * n, [1.0] * n
-        for i in range(n - 1, 0, -1):
-            t, a, b = table[kinds[i]], up1[i], up0[i]
-            y1, y0 = t[1][1] * a + t[1][0] * b, t[0][1] * a + t[0][0] * b
-            s = y1 + y0
-            y1, y0 = y1 / s, y0 / s
-            m1[i], m0[i] = y1, y0
-            p = parent[i]
-            c, d = up1[p] * y1, up0[p] * y0
-            s = c + d
-            up1[p], up0[p] = c / s, d / s
-        out = [0.0] * n
-        out[0] = up1[0] / (up1[0] + up0[0])
+        levels = _levels(parent)
+        table = np.exp(self.pairs)[kinds]
+        # Weights of both states, kept in proportion: logarithms of messages are summed in the parent.
+        log1, log0 = np.clip(unary, -30, 30).astype(float), np.zeros(n)
+        up, down, message = np.empty((n, 2)), np.empty((n, 2)), np.ones((n, 2))
+        for at in reversed(levels):
+            high = np.maximum(log1[at], log0[at])
+            up[at, 0], up[at, 1] = np.exp(log0[at] - high), np.exp(log1[at] - high)
+            if parent[at[0]] < 0:
+                break
+            sent = np.einsum("nps,ns->np", table[at], up[at])
+            sent /= sent.sum(1, keepdims=True)
+            message[at] = sent
+            np.add.at(log0, parent[at], np.log(sent[:, 0]))
+            np.add.at(log1, parent[at], np.log(sent[:, 1]))
         pair = np.empty((n, 2, 2))
-        for i in range(1, n):
-            p, t = parent[i], table[kinds[i]]
+        roots = levels[0]
+        down[roots] = up[roots] / up[roots].sum(1, keepdims=True)
+        for at in levels[1:]:
             # The parent's belief without this child's message.
-            c1, c0 = out[p] / m1[i], (1 - out[p]) / m0[i]
-            j11, j10, j01, j00 = c1 * t[1][1] * up1[i], c1 * t[1][0] * up0[i], c0 * t[0][1] * up1[i], c0 * t[0][0] * up0[i]
-            s = j11 + j10 + j01 + j00
-            out[i] = min(max((j11 + j01) / s, 1e-12), 1 - 1e-12)
-            pair[i] = ((j00 / s, j01 / s), (j10 / s, j11 / s))
-        return np.array(out), pair
+            rest = down[parent[at]] / message[at]
+            joint = rest[:, :, None] * table[at] * up[at][:, None]
+            joint /= joint.sum((1, 2), keepdims=True)
+            pair[at] = joint
+            belief = np.clip(joint[:, :, 1].sum(1), 1e-12, 1 - 1e-12)
+            down[at, 0], down[at, 1] = 1 - belief, belief
+        return down[:, 1].copy(), pair
 
     def keep(self, tree: Tree) -> np.ndarray:
-        nodes, found = describe(tree)
-        unary = np.bincount(nodes, self.weights[found], len(tree.tags))
-        return self.marginals(tree.parent, [_kind(t) for t in tree.tags], unary)[0] >= 0.5
+        return self.keep_all([tree])[0]
+
+    def keep_all(self, trees: list[Tree]) -> list[np.ndarray]:
+        """The elements of each tree whose text is kept."""
+        if not trees:
+            return []
+        parent, kinds, nodes, found, cuts = _forest([_arrays(t) for t in trees])
+        belief, _ = self.marginals(parent, kinds, np.bincount(nodes, self.weights[found], len(parent)))
+        return np.split(belief >= 0.5, cuts[1:-1])
+
+
+def _levels(parent: np.ndarray) -> list[np.ndarray]:
+    """The nodes of a forest by depth, roots first."""
+    depth = [0] * len(parent)
+    for i, p in enumerate(parent.tolist()):
+        if p >= 0:
+            depth[i] = depth[p] + 1
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(depth))[:-1])
+
+
+def _arrays(tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parents, kinds and indicator pairs of a tree."""
+    return np.array(tree.parent), np.array([_kind(t) for t in tree.tags]), *describe(tree)
+
+
+def _forest(trees: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Trees side by side: parent, kinds, nodes, found, and where each begins."""
+    cuts = np.r_[0, np.cumsum([len(t[0]) for t in trees])]
+    parent = np.concatenate([np.where(t[0] < 0, -1, t[0] + c) for t, c in zip(trees, cuts, strict=False)])
+    return parent, np.concatenate([t[1] for t in trees]), np.concatenate([t[2] + c for t, c in zip(trees, cuts, strict=False)]), np.concatenate([t[3] for t in trees]), cuts
 
 
 def labelled(seed: int) -> tuple[Tree, np.ndarray]:
     """A training page with each element's label: whether most of the text in it is content."""
     open_, close = "\x01", "\x02"
-    page = "".join(re.sub(r"(?<=>)([^<]+)|^([^<]+)", lambda m: (open_ if good else close) + m[0], part) for part, good in html_pages.page(seed))
-    tree = Tree(page)
+    parts = html_pages.page(seed)
+    tree = Tree("".join(re.sub(r"(?<=>)([^<]+)|^([^<]+)", lambda m: (open_ if good else close) + m[0], part) for part, good in parts))
     score = np.zeros(len(tree.tags))
     for node, text in tree.pieces:
         size = len(text.strip(" \x01\x02"))
@@ -266,31 +320,38 @@ def labelled(seed: int) -> tuple[Tree, np.ndarray]:
     for i in range(len(score) - 1, 0, -1):
         score[tree.parent[i]] += score[i]
     label = np.where(own != 0, own > 0, score > 0)
-    clean = "".join(part for part, _ in html_pages.page(seed))
-    return Tree(clean), label
+    return Tree("".join(part for part, _ in parts)), label
+
+
+def gradient(model: Model, forest: tuple, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log-likelihood of labelled trees, by weights and by tables."""
+    parent, kinds, nodes, found, _ = forest
+    belief, pair = model.marginals(parent, kinds, np.bincount(nodes, model.weights[found], len(parent)))
+    g = np.bincount(found, (label - belief)[nodes], FEATURES)
+    child = np.flatnonzero(parent >= 0)
+    pg = np.zeros((KINDS, 2, 2))
+    np.add.at(pg, (kinds[child], label[parent[child]], label[child]), 1)
+    np.subtract.at(pg, kinds[child], pair[child])
+    return g, pg
 
 
 @functools.lru_cache(4)
-def fit(pages: int = 2000, rounds: int = 12, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Adagrad on the log-likelihood of the labelled pages, one page at a time."""
+def fit(pages: int = 2000, rounds: int = 12, batch: int = 20, rate: float = 0.1, decay: float = 1e-4) -> Model:
+    """Adagrad on the log-likelihood of the labelled pages, ``batch`` of them at a time."""
     model = Model()
     data = []
     for seed in range(pages):
         tree, label = labelled(seed)
         if len(label) == len(tree.tags):
-            data.append((tree.parent, np.array([_kind(t) for t in tree.tags]), *describe(tree), label.astype(int)))
+            data.append((*_arrays(tree), label.astype(int)))
+    batches = [(_forest(part), np.concatenate([x[4] for x in part])) for part in (data[i : i + batch] for i in range(0, len(data), batch))]
     squares, pair_squares = np.full(FEATURES, 1e-3), np.full((KINDS, 2, 2), 1e-3)
     for _ in range(rounds):
-        for parent, kinds, nodes, found, label in data:
-            unary = np.bincount(nodes, model.weights[found], len(parent))
-            belief, pair = model.marginals(parent, kinds.tolist(), unary)
-            g = np.bincount(found, (label - belief)[nodes], FEATURES) - decay * model.weights
+        for forest, label in batches:
+            g, pg = gradient(model, forest, label)
+            g -= decay * batch * model.weights
             squares += g * g
             model.weights += rate * g / np.sqrt(squares)
-            pg = np.zeros((KINDS, 2, 2))
-            if len(parent) > 1:
-                np.add.at(pg, (kinds[1:], label[np.array(parent[1:])], label[1:]), 1)
-                np.subtract.at(pg, kinds[1:], pair[1:])
             pair_squares += pg * pg
             model.pairs += rate * pg / np.sqrt(pair_squares)
     return model
@@ -305,10 +366,9 @@ def extract(pages: DataFrame, model: Model | None = None, id_col: str = "page_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for at in range(0, batch.num_rows, 256):
-                for page in batch.column(2).slice(at, 256).to_pylist():
-                    tree = Tree(page or "")
-                    texts.append(tree.text(model.keep(tree)))
+            for at in range(0, batch.num_rows, 64):
+                trees = [Tree(page or "") for page in batch.column(2).slice(at, 64).to_pylist()]
+                texts += [tree.text(keep) for tree, keep in zip(trees, model.keep_all(trees), strict=True)]
             columns = [*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
