@@ -6,15 +6,17 @@ more than half of the hashes. Texts with fewer words have one shingle, texts wit
 fingerprint zero, which links like any other.
 
 Two fingerprints link when they differ in at most ``radius`` = 3 bits. The 64 bits are cut into
-``blocks``; each has its own tree over the Hamming distance within the block, a pseudo-metric. Of
-two linked fingerprints at least one block differs in at most rho = radius // blocks bits, so a ball of
+``blocks`` = 2; each has its own tree over the Hamming distance within the block, a pseudo-metric. Of
+two linked fingerprints at least one block differs in at most rho = radius // blocks = 1 bit, so a ball of
 that radius in the tree of that block meets the other one. A node keeps one vantage point, drawn
 from a bounded sample of ``pool`` fingerprints, and one branch per distance to it. By the triangle
-bound a ball reaches only the branches from d - rho to d + rho; a fingerprint lives in one leaf and is
-sent as a query to every other leaf, that is shard, that its ball overlaps. With one block this is the
-plain tree over whole fingerprints with rho = 3, which prunes little because distances of unrelated
-fingerprints crowd around 32; with four blocks rho is 0, balls overlap no boundary, and work stays
-near-linear. All choices give the same pairs.
+bound a ball reaches only the branches from d - rho to d + rho, three of 33: the others are pruned. A fingerprint
+lives in one leaf, that is shard, and is sent as a query to the shards across each boundary that its ball overlaps.
+Of two linked fingerprints in different shards one query is enough, so only shards after the own one, in the order of
+their distances, are queried: (3^depth - 1) / 2 queries a tree. The depth follows the number of fingerprints, a level for
+each factor of about ten beyond ``tile``. One block is the plain tree over whole fingerprints with rho = 3, which prunes
+less, as distances of unrelated fingerprints crowd around 32; with four blocks rho is 0 and no ball overlaps a
+boundary. All choices give the same pairs.
 
 Inside a leaf all pairs are compared on whole fingerprints; only a spanning forest of the links is
 emitted. A leaf of more than ``tile`` fingerprints is cut into tiles, and pairs of tiles are dealt
@@ -33,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusledger.llm.common import components, join_by_id, join_groups
 from corpusledger.runtime import materialise
@@ -83,7 +86,7 @@ class Forest:
         self.rho, self.depth = radius // blocks, depth
 
     def route(self, fps: np.ndarray, tree: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, leaf, home): each fingerprint's own leaf, then every other leaf that its ball overlaps."""
+        """(row, leaf, home): each fingerprint's own leaf, then every later leaf that its ball overlaps."""
         mask = self.masks[tree]
         rows, leaves, home = np.arange(len(fps)), np.full(len(fps), tree, np.uint64), np.ones(len(fps), bool)
         for level in range(self.depth):
@@ -93,7 +96,8 @@ class Forest:
             parts = []
             for step in range(-self.rho, self.rho + 1):
                 at = distance + step
-                ok = (at >= 0) & (at <= 64)
+                # Before its first step off the own path a query goes only to greater distances.
+                ok = (at >= 0) & (at <= 64) & ~(home & (step < 0))
                 parts.append((rows[ok], leaves[ok] * np.uint64(65) + at[ok].astype(np.uint64), home[ok] & (step == 0)))
             rows, leaves, home = (np.concatenate(x) for x in zip(*parts, strict=True))
         return rows, leaves, home
@@ -144,10 +148,18 @@ def _small_links(leaf: np.ndarray, fps: np.ndarray, home: np.ndarray, side: np.n
     return out
 
 
-def links(distinct: DataFrame, radius: int = 3, blocks: int = 4, depth: int = 8, pool: int = 1024, tile: int = 4096) -> DataFrame:
+def levels(fingerprints: int, tile: int) -> int:
+    """Depth of the trees: a level parts unrelated fingerprints about tenfold."""
+    depth = 1
+    while fingerprints > tile * 10**depth:
+        depth += 1
+    return depth
+
+
+def links(distinct: DataFrame, radius: int = 3, blocks: int = 2, depth: int | None = None, pool: int = 1024, tile: int = 4096) -> DataFrame:
     """Edges (u, v) between the ``rep`` ids of linked fingerprints: a forest per leaf, none lost."""
     sample = [r[0] for r in distinct.orderBy(F.xxhash64("fp")).limit(pool).select("fp").collect()]
-    forest = Forest(sample, blocks, radius, depth)
+    forest = Forest(sample, blocks, radius, depth or levels(distinct.count(), tile))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,24 +212,57 @@ def links(distinct: DataFrame, radius: int = 3, blocks: int = 4, depth: int = 8,
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, blocks: int = 4, depth: int = 8, tile: int = 4096
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, blocks: int = 2, depth: int | None = None, tile: int = 4096
 ) -> DataFrame:
     """doc_id, fingerprint, component_id for every row."""
+    return _judged(docs, id_col, text_col, radius, blocks, depth, tile).drop("component_fingerprint")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, radius: int = 3, blocks: int = 2, depth: int | None = None, tile: int = 4096) -> DataFrame:
+    """With the smallest fingerprint that the component's document has."""
     fps = materialise(fingerprints(docs, id_col, text_col), "simhash-fps")
-    groups = fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    groups = fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members"))
     groups = materialise(groups, "simhash-groups")
-    linked = components(links(groups, radius, blocks, depth, tile=tile), "simhash")
-    merged = groups.join(linked, F.col("rep") == F.col("node"), "left").select(
-        "fp", "members", F.coalesce("component", "rep").alias("component_id")
-    )
-    merged = materialise(merged, "simhash-merged")
-    return join_groups(fps, merged, "fp", "members").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    # Fingerprints are the nodes: an id may have several.
+    linked = components(links(groups.select("fp", F.col("fp").alias("rep")), radius, blocks, depth, tile=tile), "simhash").withColumnRenamed("node", "fp")
+    linked = materialise(groups.join(linked, "fp"), "simhash-linked")
+    best = linked.groupBy("component").agg(F.min(F.struct("first", "fp")).alias("best"), F.count(F.lit(1)).alias("held"))
+    met = join_groups(linked.select("fp", "component"), materialise(best, "simhash-best"), "component", "held").select("fp", "best")
+    merged = groups.join(met, "fp", "left").select("fp", "members", F.coalesce("best", F.struct("first", "fp")).alias("best"))
+    shown = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return join_groups(fps, materialise(merged, "simhash-merged"), "fp", "members").select(
+        "doc_id", shown("fp").alias("fingerprint"), F.col("best.first").alias("component_id"), shown("best.fp").alias("component_fingerprint")
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id, with all its columns. Rows without an id stay."""
-    made = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    gone = made.filter("doc_id != component_id").select(F.col("doc_id").alias("_cl_id"), F.lit(True).alias("_cl_gone")).distinct()
-    return join_by_id(docs, gone, id_col).filter("_cl_gone is null").select(*docs.columns)
+    """One document of each component, that with the smallest id, with all its columns. Rows without an id stay.
+
+    An id that has several fingerprints is judged by each: of a component stay the rows of its smallest id that have its
+    smallest fingerprint there.
+    """
+    made = _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text").filter("doc_id is not null")
+    made = made.withColumn("stays", F.expr("doc_id = component_id and fingerprint = component_fingerprint"))
+    made = materialise(made.groupBy("doc_id", "fingerprint").agg(F.max("stays").alias("stays")), "simhash-decisions")
+    rows = made.groupBy(F.col("doc_id").alias("_cl_id")).agg(F.max("stays").alias("_cl_stays"), (F.count(F.lit(1)) > 1).alias("_cl_many"))
+    marked = join_by_id(docs, rows.filter("_cl_many or not _cl_stays").drop("_cl_stays"), id_col)
+    stay = marked.filter("_cl_many is null").select(*docs.columns)
+    many = rows.filter("_cl_many").select(F.col("_cl_id").alias("doc_id"))
+    if many.isEmpty():
+        return stay
+    kept = made.filter("stays").join(many, "doc_id").select(F.struct("doc_id", "fingerprint").alias("_cl_id"), F.col("stays").alias("_cl_stays"))
+    again = with_fingerprints(marked.filter("_cl_many").drop("_cl_many"), text_col)
+    key = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.lpad(F.hex("_cl_fp"), 16, "0")).alias("fingerprint"))
+    return stay.unionByName(join_by_id(again.withColumn("_cl_key", key), kept, "_cl_key").filter("_cl_stays").select(*docs.columns))
+
+
+def with_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows with their fingerprint beside, as ``_cl_fp``."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([simhash(x.encode() if x else b"") for x in batch.column(place).to_pylist()], np.uint64).view(np.int64)
+            yield batch.append_column("_cl_fp", pa.array(fps))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_cl_fp", LongType())]))
