@@ -10,6 +10,8 @@ share a chosen hash. Positions are kept in the fingerprint, ``hash@position`` in
 Hashes and minima over longer spans are made by doubling (pairs, then fours), each pass linear in
 the tokens. Everything is DataFrame functions.
 
+Tokens are made of what Java's regular expressions take for letters, marks and digits.
+
 Defined cases: a null text is empty. A text without tokens has the empty fingerprint; one with fewer
 than k tokens has the one hash of all of them; one with fewer than w hashes has their minimum. Two
 empty fingerprints are alike (1), an empty and another one are not (0). For the order of documents,
@@ -20,6 +22,8 @@ ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,34 +81,46 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_fingerprint(rows, "text", "chosen").select("doc_id", as_text("chosen").alias("fingerprint"), "chosen")
 
 
-def next_blocks(blocks: DataFrame, fan: int) -> DataFrame:
-    """block, after: the next lower block that holds a document; the highest follows the lowest.
+def cuts(ids: DataFrame, per_block: int, most: int, drawn: int = 16) -> list[list[int]]:
+    """Bounds that cut the ids into blocks of about ``per_block`` rows, ``most`` blocks at most, as a table of two levels.
 
-    Neighbours are found inside groups of ``fan`` blocks, and between groups on one row a group.
+    They are quantiles of ``drawn`` ids a block, drawn by hash; any bounds give the same result, good ones even blocks.
     """
-    grouped = blocks.withColumn("grp", F.floor(F.col("block") / fan))
-    inside = grouped.withColumn("after", F.lead("block").over(Window.partitionBy("grp").orderBy(F.desc("block"))))
-    tops = grouped.groupBy("grp").agg(F.max("block").alias("top"))
-    down = Window.orderBy(F.desc("grp"))
-    tops = tops.select("grp", F.coalesce(F.lead("top").over(down), F.max("top").over(Window.partitionBy())).alias("jump"))
-    return inside.join(tops, "grp").select("block", F.coalesce("after", "jump").alias("after"))
+    blocks = max(1, min(most, ids.count() // per_block))
+    sample = ids.filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(blocks * drawn).collect()
+    bounds = sorted({r[0] for r in sample})[drawn::drawn]
+    width = max(1, round(len(bounds) ** 0.5))
+    return [bounds[i : i + width] for i in range(0, len(bounds), width)]
+
+
+def block_of(doc_id: Column, table: list[list[int]]) -> Column:
+    """How many bounds lie at or below the id: the part of the table first, then the place in it."""
+    if not table:
+        return F.lit(0)
+    under = lambda bounds: F.size(F.filter(bounds, lambda x: x <= doc_id))
+    heads = F.from_json(F.lit(json.dumps([part[0] for part in table])), "array<bigint>")
+    parts = F.from_json(F.lit(json.dumps(table)), "array<array<bigint>>")
+    before = under(heads)
+    return F.when(before == 0, F.lit(0)).otherwise((before - 1) * len(table[0]) + under(F.element_at(parts, F.greatest(before, F.lit(1)))))
 
 
-def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 64, fan: int = 4096) -> DataFrame:
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_block: int = 64, most_blocks: int = 16_384) -> DataFrame:
     """Fingerprints of each text and of its edit, and their likeness.
 
-    The next document is the one with the next lower id. Texts are shuffled once, by blocks of
-    ``block_ids`` consecutive ids, so a group is small whatever the data; the first document of a
-    block, one text in up to ``block_ids``, is sent on to the block above it.
+    The next document is the one with the next lower id. Texts are shuffled once, by blocks of about ``per_block``
+    documents that follow each other, wherever their ids lie; the first document of a block is sent on to the block above it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    table = cuts(rows.select("doc_id"), per_block, most_blocks)
     outside = F.pmod(F.xxhash64("text"), F.lit(1 << 20)).cast("string")
-    block = F.coalesce(F.floor(F.col("doc_id") / block_ids).cast("string"), F.concat(F.lit("n"), outside))
+    block = F.when(F.col("doc_id").isNotNull(), block_of(F.col("doc_id"), table).cast("string")).otherwise(F.concat(F.lit("n"), outside))
     dealt = rows.withColumn("block", block).repartition("block")
     order = Window.partitionBy("block").orderBy(F.desc("doc_id"), "text")
 
-    numbered = docs.select(F.floor(F.col(id_col).cast("long") / block_ids).alias("block")).filter("block is not null").distinct()
-    follow = next_blocks(numbered, fan).select(F.col("block").cast("string").alias("to"), F.col("after").cast("string").alias("from"))
+    # A row a block, ``most_blocks`` at most, meet in one task; the highest block follows the lowest.
+    down = Window.orderBy(F.desc("at"))
+    held = rows.filter("doc_id is not null").select(block_of(F.col("doc_id"), table).alias("at")).distinct()
+    follow = held.select(F.col("at").cast("string").alias("to"), F.coalesce(F.lead("at").over(down), F.max("at").over(Window.partitionBy())).cast("string").alias("from"))
     firsts = dealt.withColumn("nth", F.row_number().over(order)).filter("nth = 1 and doc_id is not null").select(F.col("block").alias("from"), F.col("text").alias("sent"))
     firsts = with_fingerprint(firsts.join(follow, "from").select(F.col("to").alias("block"), "sent"), "sent", "sent_chosen")
 
