@@ -41,11 +41,12 @@ def run_marks(runs: DataFrame, source: str = "source_id") -> DataFrame:
     return runs.groupBy(source).agg(F.max("started_at").alias("last_run_at"), F.max(done).alias("last_success_at"))
 
 
-def fail_stale_runs(runs: DataFrame, before: Column) -> DataFrame:
+def fail_stale_runs(runs: DataFrame, before: Column, ended_at: Column) -> DataFrame:
+    """Runs that began before ``before`` and still run have failed; ``ended_at`` is when that is found."""
     stale = (F.col("status") == "running") & (F.col("started_at") < before)
     return (
         runs.withColumn("error_summary", F.when(stale, F.lit(STALE_REASON)).otherwise(F.col("error_summary")))
-        .withColumn("ended_at", F.when(stale, before).otherwise(F.col("ended_at")))
+        .withColumn("ended_at", F.when(stale, ended_at).otherwise(F.col("ended_at")))
         .withColumn("status", F.when(stale, F.lit("failed")).otherwise(F.col("status")))
     )
 

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
+import itertools
 import re
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the adaptive slowdown.
 WARM_UP, RATIO, MOST, FAST, SLOW = 5, 2.0, 8.0, 0.3, 0.01
+#: Names of days, and the range of each field of a cron expression.
 DAYS = ("sun", "mon", "tue", "wed", "thu", "fri", "sat")
+CRON_FIELDS = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 6))
+DAY_NUMBER = {name: number for number, name in enumerate(DAYS)}
+DAY, WEEK = 1440, 7 * 1440
+CRON_ITEM = re.compile(r"(?:(?P<all>\*)|(?P<first>\d+)(?:-(?P<last>\d+))?)(?:/(?P<step>\d+))?")
+CLOCK = re.compile(r"([01]?\d|2[0-3]):([0-5]\d)")
+ROBOTS_LINE = re.compile(r"(?m)^[ \t]*([^:#\r\n]+?)[ \t]*:([^#\r\n]*)")
 
 
 def request_pressure(requests: DataFrame, host: str, at: str, key: str, quota: int = 60, delay_ms: int = 1000) -> DataFrame:
@@ -55,29 +66,30 @@ def slowdown(samples: DataFrame, host: str, order: Sequence[str], latency: str)
 def breaker(outcomes: DataFrame, host: str, at_ms: str, failed: str, key: str, threshold: int = 5, cooldown_ms: int = 60_000) -> DataFrame:
     """State of the host's circuit breaker as each request meets it, and whether the request is let through.
 
-    Refused requests have no outcome, so each state hangs on the one before: an ordered fold by host.
+    Refused requests have no outcome, so each state hangs on the one before. A host's requests stream past in order, batch
+    by batch, with two numbers kept between them: the failures in a row and the time of opening.
     """
-    schema = f"{host} {dict(outcomes.dtypes)[host]}, {at_ms} long, {key} {dict(outcomes.dtypes)[key]}, state string, allowed boolean"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at_ms, key])
-        failures, opened, state, rows = 0, 0, "closed", []
-        for now, bad in zip(pdf[at_ms], pdf[failed], strict=True):
-            if state == "open" and now - opened >= cooldown_ms:
-                state = "half-open"
-            rows.append((state, state != "open"))
-            if state == "open":
-                continue
-            failures = failures + 1 if bad else 0
-            if not bad:
-                state = "closed"
-            elif failures >= threshold:
-                state, opened = "open", now
-        out = pdf[[host, at_ms, key]].copy()
-        out["state"], out["allowed"] = zip(*rows, strict=True)
-        return out
-
-    return outcomes.select(host, at_ms, failed, key).groupBy(host).applyInPandas(fold, schema)
+    types = dict(outcomes.dtypes)
+    schema = f"{host} {types[host]}, {at_ms} long, {key} {types[key]}, state string, allowed boolean"
+    rows = outcomes.select(host, F.col(at_ms).cast("long").alias(at_ms), key, F.coalesce(F.col(failed), F.lit(False)).cast("boolean").alias("_failed"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, in_a_row, opened = object(), 0, None
+        for batch in batches:
+            states = []
+            hosts, times, bad = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            for name, now, is_bad in zip(hosts, times, bad, strict=True):
+                if name != current:
+                    current, in_a_row, opened = name, 0, None
+                waits = opened is not None and now - opened < cooldown_ms
+                states.append("open" if waits else "closed" if opened is None else "half-open")
+                if not waits:
+                    in_a_row = in_a_row + 1 if is_bad else 0
+                    opened = now if in_a_row >= threshold else None
+            named = [*batch.columns[:3], pa.array(states, pa.string()), pa.array([s != "open" for s in states], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(named, [host, at_ms, key, "state", "allowed"])
+
+    return rows.repartition(host).sortWithinPartitions(host, at_ms, key).mapInArrow(run, schema)
 
 
 def within_budget(steps: DataFrame, run: str, order: Sequence[str], size: str, elapsed_ms: str | None = None, requests: int = 10_000, most_bytes: int = 10 * 2**30, duration_ms: int = 6 * 3_600_000) -> DataFrame:
@@ -90,137 +102,163 @@ def within_budget(steps: DataFrame, run: str, order: Sequence[str], size: str, e
     return out.filter(ok)
 
 
-def parse_robots(text: str) -> list[dict]:
-    """Groups of a robots file: agents, allow and disallow patterns."""
-    groups: list[dict] = []
-    after_agent = False
-    for line in re.split(r"\r?\n", text):
-        field, sep, value = line.split("#")[0].strip().partition(":")
-        if not sep:
-            continue
-        field, value = field.strip().lower(), value.strip()
-        if field == "user-agent":
-            if not after_agent:
-                groups.append({"agents": [], "allow": [], "disallow": []})
-            groups[-1]["agents"].append(value.lower())
-        elif groups and field in ("allow", "disallow"):
-            groups[-1][field].append(value)
-        after_agent = field == "user-agent"
-    return groups
+class Rule(NamedTuple):
+    """One line of a robots file: the agents of its group, whether it allows, and its pattern."""
+
+    group: int
+    agents: tuple[str, ...]
+    allows: bool
+    pattern: str
+
+
+def parse_robots(text: str) -> list[Rule]:
+    """The rule table. A group begins where an agent follows something else; a group without rules has one empty Allow."""
+    lines = [m.groups() for m in ROBOTS_LINE.finditer(text)]
+    fields = [(name.strip().lower(), value.strip()) for name, value in lines]
+    is_agent = [name == "user-agent" for name, _ in fields]
+    group = list(itertools.accumulate(now and not before for before, now in zip([False, *is_agent], is_agent, strict=False)))
+    agents: dict[int, list[str]] = {}
+    for number, (_, value) in itertools.compress(zip(group, fields, strict=True), is_agent):
+        agents.setdefault(number, []).append(value.lower())
+    rules = [Rule(n, tuple(agents[n]), name == "allow", value) for n, (name, value) in zip(group, fields, strict=True) if n and name in ("allow", "disallow")]
+    bare = [Rule(n, tuple(names), True, "") for n, names in agents.items() if n not in {r.group for r in rules}]
+    return sorted([*rules, *bare], key=lambda r: r.group)
+
 
+def path_pattern(pattern: str) -> str:
+    """A pattern of a robots file as a regular expression: pieces between stars are found from left to right and not sought again."""
+    body, end = (pattern[:-1], r"\z") if pattern.endswith("$") else (pattern, "")
+    first, *others = (re.escape(piece) for piece in body.split("*"))
+    return f"(?s)^{first}{''.join(f'(?>.*?{piece})' for piece in others if piece)}{end}"
 
-def _path_pattern(rule: str) -> str:
-    anchored = rule.endswith("$")
-    body = ".*".join(re.escape(part) for part in (rule[:-1] if anchored else rule).split("*"))
-    return f"(?s)^{body}{'$' if anchored else ''}"
 
+def robots_allowed(path: Column, rules: Sequence[Rule], agent: str) -> Column:
+    """The longest rule that matches decides, an Allow among equals: one maximum over the rules of the agent's group.
 
-def robots_allowed(path: Column, groups: list[dict], agent: str) -> Column:
-    """The longest rule that matches decides, an Allow among equals; an empty Disallow allows all."""
+    The group is the first that names a part of the agent, else the first for all; an empty Disallow allows all.
+    """
     agent = agent.lower()
-    own = next((g for g in groups if any(a != "*" and a in agent for a in g["agents"])), None)
-    group = own or next((g for g in groups if "*" in g["agents"]), None)
-    if group is None or "" in group["disallow"]:
+    named = [r.group for r in rules if any(a != "*" and a in agent for a in r.agents)] or [r.group for r in rules if "*" in r.agents]
+    own = [r for r in rules if named and r.group == named[0]]
+    if any(not r.allows and not r.pattern for r in own):
         return F.lit(True)
+    matched = [F.when(path.rlike(path_pattern(r.pattern)), F.struct(F.lit(len(r.pattern)), F.lit(r.allows).alias("allows"))) for r in own if r.pattern]
+    return F.coalesce(F.array_max(F.array(*matched))["allows"], F.lit(True)) if matched else F.lit(True)
+
 
-    def longest(rules: list[str]) -> Column:
-        found = [F.when(path.rlike(_path_pattern(r)), F.lit(len(r))) for r in rules if r]
-        return F.coalesce(F.greatest(*found, F.lit(-1)) if found else F.lit(-1), F.lit(-1))
-
-    disallow = longest(group["disallow"])
-    return (disallow == -1) | (longest(group["allow"]) >= disallow)
-
-
-def _field(spec: str, low: int, high: int) -> list[int]:
-    out: set[int] = set()
-    for part in spec.split(","):
-        span, _, step = part.partition("/")
-        if span == "*":
-            first, last = low, high
-        elif "-" in span:
-            first, last = (int(x) for x in span.split("-"))
-        else:
-            first = int(span)
-            last = high if step else first
-        by = int(step) if step else 1
-        if not (low <= first <= last <= high and by >= 1):
-            raise ValueError(f"cron field out of range: {part!r}")
-        out.update(range(first, last + 1, by))
-    return sorted(out)
-
-
-def parse_cron(expression: str) -> list[list[int]]:
-    """Minutes, hours, days of month, months, days of week (0 is Sunday)."""
+def parse_cron(expression: str) -> list[int]:
+    """Bit sets of the minutes, hours, days of month, months and days of week (0 is Sunday) that are due."""
     parts = expression.split()
-    if len(parts) != 5:
+    if len(parts) != len(CRON_FIELDS):
         raise ValueError("cron needs five fields")
-    return [_field(p, low, high) for p, (low, high) in zip(parts, ((0, 59), (0, 23), (1, 31), (1, 12), (0, 6)), strict=True)]
+    sets = []
+    for part, (low, high) in zip(parts, CRON_FIELDS, strict=True):
+        bits = 0
+        for item in part.split(","):
+            m = CRON_ITEM.fullmatch(item)
+            if not m:
+                raise ValueError(f"cron field cannot be read: {item!r}")
+            first = low if m["all"] else int(m["first"])
+            last = high if m["all"] or (m["step"] and not m["last"]) else int(m["last"] or first)
+            step = int(m["step"] or 1)
+            if not (low <= first <= last <= high and step):
+                raise ValueError(f"cron field out of range: {item!r}")
+            bits |= sum(1 << value for value in range(first, last + 1, step))
+        sets.append(bits)
+    return sets
+
+
+def _either_day(days: int, weekdays: int) -> bool:
+    """Where both day fields are restricted either is enough."""
+    return days.bit_count() < 31 and weekdays.bit_count() < 7
 
 
 def cron_matches(ts: Column, expression: str) -> Column:
-    """Whether the minute is due; where both day fields are restricted either is enough."""
-    minutes, hours, dom, months, dow = parse_cron(expression)
-    day, weekday = F.dayofmonth(ts).isin(dom), (F.dayofweek(ts) - 1).isin(dow)
-    days = (day | weekday) if len(dom) < 31 and len(dow) < 7 else (day & weekday)
-    return F.minute(ts).isin(minutes) & F.hour(ts).isin(hours) & F.month(ts).isin(months) & days
+    """Whether the minute is due: a bit of each set."""
+    minutes, hours, days, months, weekdays = parse_cron(expression)
+    has = lambda bits, at: F.getbit(F.lit(bits).cast("long"), at) == 1
+    day, weekday = has(days, F.dayofmonth(ts)), has(weekdays, F.dayofweek(ts) - 1)
+    return has(minutes, F.minute(ts)) & has(hours, F.hour(ts)) & has(months, F.month(ts)) & ((day | weekday) if _either_day(days, weekdays) else (day & weekday))
 
 
 def next_due(expression: str, after: datetime, days: int = 4 * 366) -> datetime | None:
     """The next due minute, within four years: days first, then the minutes of the first that fits."""
-    minutes, hours, dom, months, dow = parse_cron(expression)
-    either = len(dom) < 31 and len(dow) < 7
+    minutes, hours, month_days, months, weekdays = parse_cron(expression)
+    combine = any if _either_day(month_days, weekdays) else all
     start = after.replace(second=0, microsecond=0) + timedelta(minutes=1)
+    clock = [hour * 60 + minute for hour in range(24) if hours >> hour & 1 for minute in range(60) if minutes >> minute & 1]
     for offset in range(days + 1):
-        day = (start + timedelta(days=offset)).date()
-        d, w = day.day in dom, day.isoweekday() % 7 in dow
-        if day.month not in months or not ((d or w) if either else (d and w)):
+        midnight = start.replace(hour=0, minute=0) + timedelta(days=offset)
+        if not months >> midnight.month & 1 or not combine((month_days >> midnight.day & 1, weekdays >> midnight.isoweekday() % 7 & 1)):
             continue
-        for hour in hours:
-            for minute in minutes:
-                at = datetime(day.year, day.month, day.day, hour, minute, tzinfo=start.tzinfo)
-                if at >= start:
-                    return at
+        at = bisect.bisect_left(clock, 0 if offset else start.hour * 60 + start.minute)
+        if at < len(clock):
+            return midnight + timedelta(minutes=clock[at])
     return None
 
 
-def _days(spec: str) -> Iterator[int]:
-    spec = spec.strip().lower()
-    if spec in ("*", "all"):
-        yield from range(7)
-        return
-    for part in spec.split(","):
-        ends = [e.strip() for e in part.split("-")]
-        if all(e in DAYS for e in ends[:2]):
-            first = last = DAYS.index(ends[0])
-            if len(ends) > 1:
-                last = DAYS.index(ends[1])
-            yield from ((first + k) % 7 for k in range((last - first) % 7 + 1))
+def schedule_ticks(schedules: DataFrame, first: datetime, last: datetime, key: str = "source_id", cron: str = "cron", zone: str | None = None) -> DataFrame:
+    """(key, tick): the due minutes of every schedule in [first, last), on a grid of minutes.
+
+    Schedules that share an expression are matched once: the grid meets the distinct expressions, of which a corpus has
+    few, and each its sources by an equality join. An expression that cannot be read is due at no minute.
+    """
+    spark = schedules.sparkSession
+    minutes = int((last - first).total_seconds() // 60)
+    grid = spark.range(minutes).select(F.timestamp_add("MINUTE", F.col("id").cast("int"), F.lit(first).cast("timestamp_ntz")).alias("tick"))
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("tick")) if zone else F.col("tick")
+    out = None
+    for row in schedules.filter(F.col(cron).isNotNull()).select(cron).distinct().orderBy(cron).limit(10_000).toLocalIterator():
+        try:
+            due = grid.filter(cron_matches(local, row[0])).select(F.lit(row[0]).alias("_cron"), "tick")
+        except ValueError:
+            continue
+        out = due if out is None else out.unionByName(due)
+    if out is None:
+        return schedules.select(key, F.lit(None).cast("timestamp_ntz").alias("tick")).limit(0)
+    return schedules.join(out, F.col(cron) == F.col("_cron")).select(key, "tick")
+
+
+def _clock(text: str) -> int | None:
+    m = CLOCK.fullmatch(text.strip())
+    return int(m[1]) * 60 + int(m[2]) if m else None
+
+
+def _week_days(spec: str) -> set[int]:
+    """Days that a comma list of names and spans names; spans may pass the end of the week, names that are none count for nothing."""
+    found: set[int] = set()
+    for part in spec.strip().lower().split(","):
+        if part.strip() in ("*", "all"):
+            return set(range(7))
+        ends = [DAY_NUMBER.get(name.strip()) for name in part.split("-")[:2]]
+        if None not in ends:
+            found |= {day % 7 for day in range(ends[0], ends[0] + (ends[-1] - ends[0]) % 7 + 1)}
+    return found
 
 
-def _minutes(text: str) -> int | None:
-    m = re.fullmatch(r"(\d{1,2}):(\d{2})", text.strip())
-    return int(m[1]) * 60 + int(m[2]) if m and int(m[1]) < 24 and int(m[2]) < 60 else None
+def week_minutes(window: dict) -> list[tuple[int, int]]:
+    """A window as half-open intervals of the week's minutes, from Sunday's midnight; empty if it cannot be read."""
+    first, last = _clock(window["from"]), _clock(window["to"])
+    if first is None or last is None:
+        return []
+    length = last - first if last >= first else last - first + DAY
+    spans = [(day * DAY + first, day * DAY + first + length) for day in sorted(_week_days(window["days"])) if length]
+    return [part for a, b in spans for part in ([(a, b)] if b <= WEEK else [(a, WEEK), (0, b - WEEK)])]
 
 
 def unreadable_windows(windows: Sequence[dict]) -> list[dict]:
-    return [w for w in windows if _minutes(w["from"]) is None or _minutes(w["to"]) is None]
+    return [w for w in windows if _clock(w["from"]) is None or _clock(w["to"]) is None]
 
 
-def in_blackout(ts: Column, windows: Sequence[dict]) -> Column:
-    """Whether a time in the session's zone lies in a window: days, from, to; windows may wrap midnight and the week.
+def in_blackout(ts: Column, windows: Sequence[dict], zone: str | None = None) -> Column:
+    """Whether a time lies in a window: days, from, to; windows may wrap midnight and the week.
 
-    A window that cannot be read excludes nothing.
+    The clock is that of the session, or, for times in UTC, of ``zone``. A window that cannot be read excludes nothing.
     """
-    day, minute, out = F.dayofweek(ts) - 1, F.hour(ts) * 60 + F.minute(ts), F.lit(False)
-    for window in windows:
-        first, last, days = _minutes(window["from"]), _minutes(window["to"]), list(_days(window["days"]))
-        if first is None or last is None or not days:
-            continue
-        if first <= last:
-            out = out | (day.isin(days) & (minute >= first) & (minute < last))
-        else:
-            out = out | (day.isin(days) & (minute >= first)) | (((day + 6) % 7).isin(days) & (minute < last))
-    return out
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz")) if zone else ts
+    at = (F.dayofweek(local) - 1) * DAY + F.hour(local) * 60 + F.minute(local)
+    spans = sorted({span for window in windows for span in week_minutes(window)})
+    return functools.reduce(lambda found, span: found | ((at >= span[0]) & (at < span[1])), spans, F.lit(False))
 
 
 def intersect_capability(asked: dict, granted: dict) -> dict:
@@ -232,3 +270,15 @@ def intersect_capability(asked: dict, granted: dict) -> dict:
         "robots": asked.get("robots", True) or granted.get("robots", True),
         "per_host": max(1, min(asked.get("per_host", 2), granted.get("per_host", 2), 10)),
     }
+
+
+def intersect_capabilities(asked: Column, granted: Column) -> Column:
+    """The same for two struct columns of hosts, per_minute, delay_ms, robots and per_host."""
+    smaller, larger = lambda c: F.least(asked[c], granted[c]), lambda c: F.greatest(asked[c], granted[c])
+    return F.struct(
+        F.sort_array(F.array_intersect(asked["hosts"], granted["hosts"])).alias("hosts"),
+        smaller("per_minute").alias("per_minute"),
+        F.greatest(larger("delay_ms"), F.lit(100)).alias("delay_ms"),
+        (asked["robots"] | granted["robots"]).alias("robots"),
+        F.greatest(F.lit(1), F.least(smaller("per_host"), F.lit(10))).alias("per_host"),
+    )

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusledger.functions.identity import CURSOR_PREFIX
@@ -96,3 +97,19 @@ def unverified_first(objects: DataFrame, limit: int, verified: str = "last_verif
 
 def failed_oldest_first(documents: DataFrame, limit: int, at: str, key: str, status: str = "status") -> DataFrame:
     return documents.filter(F.col(status) == "failed").orderBy(at, key).limit(limit)
+
+
+def sources_in_order(sources: DataFrame, limit: int, key: str = "source_id") -> DataFrame:
+    """The first ``limit`` sources by id, with their place: a top-k, so only those rows meet in one task."""
+    first = sources.orderBy(key).limit(limit)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(key)).cast("long"))
+
+
+def versions_in_order(versions: DataFrame, document: str = "document_id", number: str = "version_no") -> DataFrame:
+    """Each document's versions with their place, newest first."""
+    return versions.withColumn("place", F.row_number().over(Window.partitionBy(document).orderBy(F.desc(number))).cast("long"))
+
+
+def pending(documents: DataFrame, states: Sequence[str], status: str = "status") -> DataFrame:
+    """The part of the documents that a partial index on the status holds: the predicate reaches the scan."""
+    return documents.filter(F.col(status).isin(list(states)))

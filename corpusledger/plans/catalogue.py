@@ -327,10 +327,12 @@ def discovery_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered(f"""WITH {RUN_SQL} SELECT run_id, CASE WHEN status = 'running' AND started_at < TIMESTAMP '{AS_OF}' THEN 'failed' ELSE status END AS status,
-CASE WHEN status = 'running' AND started_at < TIMESTAMP '{AS_OF}' THEN 'execution interrompue' END AS error_summary FROM runs""")
+CASE WHEN status = 'running' AND started_at < TIMESTAMP '{AS_OF}' THEN 'execution interrompue' END AS error_summary,
+CASE WHEN status = 'running' AND started_at < TIMESTAMP '{AS_OF}' THEN '1998-08-02T06:00:00.000Z' END AS ended_at FROM runs""")
 def stale_runs(spark: SparkSession, d: str) -> DataFrame:
     rows = runs(spark, d).withColumn("error_summary", F.lit(None).cast("string")).withColumn("ended_at", F.lit(None).cast("timestamp_ntz"))
-    return ledger.fail_stale_runs(rows, F.lit(AS_OF).cast("timestamp_ntz")).select("run_id", "status", "error_summary")
+    found = ledger.fail_stale_runs(rows, F.lit(AS_OF).cast("timestamp_ntz"), F.lit("1998-08-02 06:00:00").cast("timestamp_ntz"))
+    return found.select("run_id", "status", "error_summary", identity.iso(F.col("ended_at")).alias("ended_at"))
 
 
 @registered("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
@@ -563,9 +565,14 @@ def adaptive_slowdown(spark: SparkSession, d: str) -> DataFrame:
     return found.select("host", "samples", F.round("fast", 6).alias("fast"), F.round("baseline", 6).alias("baseline"), F.round("factor", 6).alias("factor"))
 
 
-@registered()
+@registered("""WITH RECURSIVE e AS (SELECT user_id % 5 AS host, epoch_us(ts) // 1000 AS at_ms, event_type IN ('error', 'click') AS failed, event_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+r AS (SELECT host, n, event_id, at_ms, CAST('closed' AS VARCHAR) AS state, CASE WHEN failed THEN 1 ELSE 0 END AS bad, CAST(NULL AS BIGINT) AS opened FROM e WHERE n = 1
+UNION ALL SELECT x.host, x.n, x.event_id, x.at_ms, x.state, CASE WHEN x.state = 'open' THEN x.bad WHEN x.failed THEN x.bad + 1 ELSE 0 END,
+  CASE WHEN x.state = 'open' THEN x.opened WHEN x.failed AND x.bad + 1 >= 2 THEN x.at_ms END
+FROM (SELECT e.*, r.bad, r.opened, CASE WHEN r.opened IS NULL THEN 'closed' WHEN e.at_ms - r.opened < 3600000 THEN 'open' ELSE 'half-open' END AS state FROM r JOIN e ON e.host = r.host AND e.n = r.n + 1) x)
+SELECT host, at_ms, event_id, state, state <> 'open' AS allowed FROM r""")
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
-    """An ordered state machine: checked against a plain loop in the tests."""
+    """An ordered state machine."""
     rows = table(spark, d, "events").select(
         (F.col("user_id") % 5).alias("host"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_type").isin("error", "click").alias("failed"), "event_id"
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,11 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in a
-    single-machine test, a folder is made and the setting filled in.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset in a session on one machine, as
+    in a test, a folder is made and the setting filled in; on a cluster its executors would each write to a disk of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="corpusledger-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -56,11 +60,23 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{application_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.materialised_at = path
+    return made
 
 
-def drop_materialised(spark: SparkSession) -> None:
-    """Delete every table that this application has materialised."""
+def _delete(spark: SparkSession, folder: str) -> None:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(application_dir(spark))
+    path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialise` returned, once nothing reads it any more."""
+    if getattr(df, "materialised_at", None):
+        _delete(df.sparkSession, df.materialised_at)
+
+
+def drop_materialised(spark: SparkSession) -> None:
+    """Delete every table that this application has materialised."""
+    _delete(spark, application_dir(spark))

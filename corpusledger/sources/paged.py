@@ -6,12 +6,14 @@ The stream's offset is the page to go on from, so a restart resumes where the la
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+NAME = re.compile(r"page-(\d+)\.html")
 SCHEMA = "page int, url string, status int, html string"
 
 
@@ -20,15 +22,28 @@ class Page(InputPartition):
         self.page = page
 
 
+def _folder(options: dict) -> tuple:
+    """The filesystem of the path, any that Arrow opens, and the folder in it."""
+    from pyarrow import fs
+
+    path = options["path"]
+    return fs.FileSystem.from_uri(path if "://" in path else Path(path).absolute().as_uri())
+
+
 def _load(options: dict, page: int) -> Iterator[tuple]:
-    """One page of a folder of ``page-N.html`` files; a live transport would be another scheme."""
-    path = Path(options["path"]) / f"page-{page}.html"
-    if path.exists():
-        yield page, f"{options.get('base', 'http://localhost')}/?page={page}", 200, path.read_text(encoding="utf-8")
+    """One page of a folder of ``page-N.html`` files; a live transport would be another scheme. A page that is not there is an error."""
+    system, folder = _folder(options)
+    with system.open_input_file(f"{folder}/page-{page}.html") as file:
+        yield page, f"{options.get('base', 'http://localhost')}/?page={page}", 200, file.read().decode("utf-8")
 
 
 def _count(options: dict) -> int:
-    return sum(1 for _ in Path(options["path"]).glob("page-*.html"))
+    """One more than the highest page."""
+    from pyarrow import fs
+
+    system, folder = _folder(options)
+    found = [NAME.fullmatch(x.base_name) for x in system.get_file_info(fs.FileSelector(folder))]
+    return max((int(m[1]) + 1 for m in found if m), default=0)
 
 
 class PagedReader(DataSourceReader):
@@ -39,8 +54,8 @@ class PagedReader(DataSourceReader):
         first = int(self.options.get("resume", "page:0").removeprefix("page:"))
         return [Page(p) for p in range(first, min(_count(self.options), int(self.options.get("maxpages", 1000))))]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        return _load(self.options, partition.page)
+    def read(self, partition: Page | None) -> Iterator[tuple]:
+        return iter(()) if partition is None else _load(self.options, partition.page)  # none: no page at all
 
 
 class PagedStreamReader(DataSourceStreamReader):
@@ -57,8 +72,8 @@ class PagedStreamReader(DataSourceStreamReader):
         at = lambda o: int(o["cursor"].removeprefix("page:"))
         return [Page(p) for p in range(at(start), at(end))]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        return _load(self.options, partition.page)
+    def read(self, partition: Page | None) -> Iterator[tuple]:
+        return iter(()) if partition is None else _load(self.options, partition.page)  # none: no page at all
 
 
 class PagedIndex(DataSource):

@@ -7,6 +7,9 @@ import os
 import re
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 NAME = re.compile(r"^(\d{4})_([a-z0-9_]+)\.sql$")
 
 
@@ -39,3 +42,24 @@ def drift(applied: list[tuple[int, str]], files: list[tuple[int, str, str]]) ->
     """What differs between applied scripts (version, checksum) and the files."""
     now = {v: c for v, _, c in files}
     return [f"{v}: missing" if v not in now else f"{v}: changed" for v, c in applied if now.get(v) != c]
+
+
+def with_defaults(config: dict, defaults: dict) -> dict:
+    """A configuration over its defaults, merged key by key; lists and scalars replace."""
+    merged = dict(defaults)
+    for key, value in config.items():
+        merged[key] = with_defaults(value, defaults[key]) if isinstance(value, dict) and isinstance(defaults.get(key), dict) else value
+    return merged
+
+
+def schema_version(applied: DataFrame, column: str = "version") -> DataFrame:
+    """One row: the highest version applied, null if none."""
+    return applied.agg(F.max(column).alias("version"))
+
+
+def pending_scripts(applied: DataFrame, files: DataFrame) -> DataFrame:
+    """Scripts (version, checksum) against what is applied: applied, changed, missing or pending."""
+    before, now = applied.select("version", F.col("checksum").alias("before")), files.select("version", F.col("checksum").alias("now"))
+    met = before.join(now, "version", "full")
+    status = F.when(F.col("before").isNull(), "pending").when(F.col("now").isNull(), "missing").when(F.col("before") != F.col("now"), "changed").otherwise("applied")
+    return met.select("version", status.alias("status"))
