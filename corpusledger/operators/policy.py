@@ -44,23 +44,34 @@ def request_pressure(requests: DataFrame, host: str, at: str, key: str, quota: i
 def slowdown(samples: DataFrame, host: str, order: Sequence[str], latency: str) -> DataFrame:
     """Slowdown factor of each host after its samples: two moving averages, a recurrence in order.
 
-    A higher-order fold over one host's ordered latencies; a host's samples are an array in one row.
+    A host's samples stream past in order and only the two averages are kept, so a host of any length needs no memory.
+    Samples without a latency are passed over.
     """
-    listed = F.transform(F.sort_array(F.collect_list(F.struct(*order, latency))), lambda x: x[latency].cast("double"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("fast"), F.lit(0.0).alias("base"))
-
-    def step(s: Column, x: Column) -> Column:
-        first = s["n"] == 0
-        alpha = F.when(x < s["base"], FAST).otherwise(SLOW)
-        fast = F.when(first, x).otherwise(FAST * x + (1 - FAST) * s["fast"])
-        base = F.when(first, x).otherwise(alpha * x + (1 - alpha) * s["base"])
-        return F.struct((s["n"] + 1).alias("n"), fast.alias("fast"), base.alias("base"))
-
-    folded = samples.groupBy(host).agg(listed.alias("_all")).select(host, F.aggregate("_all", start, step).alias("s"))
-    ratio = F.col("s.fast") / F.col("s.base")
-    calm = (F.col("s.n") < WARM_UP) | (F.col("s.base") <= 0) | (ratio <= RATIO)
-    factor = F.when(calm, 1.0).otherwise(F.least(ratio, F.lit(MOST)))
-    return folded.select(host, F.col("s.n").alias("samples"), F.col("s.fast").alias("fast"), F.col("s.base").alias("baseline"), factor.alias("factor"))
+    rows = samples.filter(F.col(latency).isNotNull()).select(host, *order, F.col(latency).cast("double").alias("_latency"))
+    schema = f"{host} {dict(samples.dtypes)[host]}, samples int, fast double, baseline double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, n, fast, base, names, kept = None, 0, 0.0, 0.0, [host, "samples", "fast", "baseline"], []
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for name, x in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if n and name != current:
+                    kept.append((current, n, fast, base))
+                    n = 0
+                alpha = FAST if x < base else SLOW
+                fast, base = (FAST * x + (1 - FAST) * fast, alpha * x + (1 - alpha) * base) if n else (x, x)
+                current, n = name, n + 1
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), (kind, pa.int32(), pa.float64(), pa.float64()), strict=True)], names)
+                kept = []
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([current], kind), pa.array([n], pa.int32()), pa.array([fast]), pa.array([base])], names)
+
+    folded = rows.repartition(host).sortWithinPartitions(host, *order).mapInArrow(run, schema)
+    ratio = F.col("fast") / F.col("baseline")
+    calm = (F.col("samples") < WARM_UP) | (F.col("baseline") <= 0) | (ratio <= RATIO)
+    return folded.withColumn("factor", F.when(calm, 1.0).otherwise(F.least(ratio, F.lit(MOST))))
 
 
 def breaker(outcomes: DataFrame, host: str, at_ms: str, failed: str, key: str, threshold: int = 5, cooldown_ms: int = 60_000) -> DataFrame:
