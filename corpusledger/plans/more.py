@@ -12,7 +12,7 @@ from corpusledger.functions import decisions, identity, schema, text
 from corpusledger.operators import integrity, pages, policy, query, sweeps
 from corpusledger.plans.catalogue import ISO_SQL, REFS_SQL, registered
 from corpusledger.runtime import application_dir, materialise, table
-from corpusledger.sources import contract, registry, store
+from corpusledger.sources import contract, paged, registry, store
 
 STORE_SQL = REFS_SQL + """, held AS (SELECT content_hash, min(doc_id) AS first, any_value(byte_size) AS byte_size, count(*) AS n FROM refs GROUP BY 1)"""
 
@@ -244,3 +244,68 @@ def event_catalogue(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "x.run.started").when(F.col("event_type") == "click", "document.stored").when(F.col("event_type") == "purchase", "x.plugin.loaded").otherwise("x.run.other")
     rows = table(spark, d, "events").select("event_type", contract.event_visibility(kind).alias("visibility"))
     return rows.groupBy("event_type", "visibility").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _source(spark: SparkSession, d: str) -> contract.PagedSource:
+    """The rendered index pages as files of the shared folder, read through the paged source."""
+    root = f"{application_dir(spark)}/index-{uuid.uuid4().hex}"
+    made = _aside_pages(spark, d).select(F.concat(F.lit("page-"), F.col("page").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"), F.lit(True).alias("replace"))
+    materialise(store.put(made, root), "index-files")
+    paged.register(spark)
+    return contract.PagedSource("x.index", root, base_url="http://x")
+
+
+@registered("SELECT 'p' || p_partkey AS native_id, CAST(floor(p_partkey / 10) AS INT) AS page, 'http://x/doc/p' || p_partkey || '/' AS url, CAST(p_size * 1024 + 512 AS BIGINT) AS declared_bytes FROM part")
+def source_discover(spark: SparkSession, d: str) -> DataFrame:
+    return _source(spark, d).discover(spark).select("native_id", "page", "url", "declared_bytes")
+
+
+@registered("SELECT 'p' || p_partkey AS native_id, 'GET' AS method, 'http://x/doc/p' || p_partkey || '/' AS url, '*/*' AS accept FROM part")
+def source_resolve(spark: SparkSession, d: str) -> DataFrame:
+    source = _source(spark, d)
+    return source.resolve(source.discover(spark)).select("native_id", "method", "url", "accept")
+
+
+@registered("""SELECT 'p' || p_partkey AS native_id, p_name || ' & co' AS title, '2026-07-0' || (p_partkey % 9 + 1) AS published_at, 'aside.title aside.published_at' AS locators FROM part""")
+def source_describe(spark: SparkSession, d: str) -> DataFrame:
+    source = _source(spark, d)
+    found = source.describe(source.discover(spark))
+    common = F.col("metadata.common")
+    return found.select("native_id", common["title"].alias("title"), common["published_at"].alias("published_at"), F.array_join("metadata.provenance.locator", " ").alias("locators"))
+
+
+@registered("SELECT 'ok' AS status, CAST(NULL AS VARCHAR) AS detail")
+def source_health_report(spark: SparkSession, d: str) -> DataFrame:
+    return _source(spark, d).health(spark)
+
+
+@registered("SELECT 'describable' AS capability, TRUE AS held UNION ALL SELECT 'paged', TRUE UNION ALL SELECT 'incremental', TRUE UNION ALL SELECT 'health_reporting', TRUE UNION ALL SELECT 'browser_assisted', FALSE")
+def source_capabilities(spark: SparkSession, d: str) -> DataFrame:
+    found = contract.capabilities(contract.PagedSource("x.index", d))
+    return spark.createDataFrame(list(found.items()), "capability string, held boolean")
+
+
+@registered("""SELECT p_partkey AS version, CASE p_partkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'missing' WHEN 2 THEN 'changed' ELSE 'applied' END AS status FROM part""")
+def schema_drift(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("version"), F.md5(F.col("p_name").cast("binary")).alias("checksum"))
+    files = rows.filter("version % 4 != 1").withColumn("checksum", F.when(F.col("version") % 4 == 2, F.concat("checksum", F.lit("x"))).otherwise(F.col("checksum")))
+    return registry.pending_scripts(rows.filter("version % 4 != 0"), files)
+
+
+LINKS = ("../a/./b?x=..", "/r/../s/.", "//h/p", "?q=1", "c/../../d", "http://o/x/../y#z")
+
+
+@registered("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'http://e.org/a/b?x=..' WHEN 1 THEN 'http://e.org/s/' WHEN 2 THEN 'http://h/p' WHEN 3 THEN 'http://e.org/one/two?q=1' WHEN 4 THEN 'http://e.org/d' ELSE 'http://o/y#z' END AS url FROM pages""")
+def absolute_links(spark: SparkSession, d: str) -> DataFrame:
+    href = F.element_at(F.array(*map(F.lit, LINKS)), (F.col("page_id") % 6 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", text.absolute_url(href, F.lit("http://e.org/one/two?p=2")).alias("url"))
+
+
+@registered("""SELECT manifest, CASE manifest WHEN 0 THEN '' WHEN 1 THEN 'id version' ELSE 'capabilities.network.allowedHosts secrets.k' END AS problems FROM range(3) m(manifest)""")
+def manifest_report(spark: SparkSession, d: str) -> DataFrame:
+    good = {
+        "manifestVersion": 1, "id": "x.index", "name": "Index", "version": "1.0.0", "apiVersion": "^1.0", "entry": "index.py", "capabilities": {"network": {"allowedHosts": ["x"]}},
+        "configSchema": CONFIG, "integrity": {"maxDocumentBytes": 1 << 20},
+    }
+    all_ = [good, good | {"id": "", "version": "one"}, good | {"capabilities": {"network": {"allowedHosts": ["-"]}}, "secrets": [{"name": "k", "value": "v"}]}]
+    return spark.createDataFrame([(i, " ".join(schema.manifest_problems(m))) for i, m in enumerate(all_)], "manifest long, problems string")
