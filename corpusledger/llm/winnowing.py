@@ -88,7 +88,9 @@ def cuts(ids: DataFrame, per_block: int, most: int, drawn: int = 16) -> list[lis
     """
     blocks = max(1, min(most, ids.count() // per_block))
     sample = ids.filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(blocks * drawn).collect()
-    bounds = sorted({r[0] for r in sample})[drawn::drawn]
+    found = sorted({r[0] for r in sample})
+    step = max(1, len(found) // blocks)
+    bounds = found[step::step]
     width = max(1, round(len(bounds) ** 0.5))
     return [bounds[i : i + width] for i in range(0, len(bounds), width)]
 
