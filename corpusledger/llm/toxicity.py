@@ -176,6 +176,26 @@ def telling(ids: np.ndarray, bags: Bags, word: np.ndarray, y: np.ndarray) -> np.
     return np.where(ok, np.log((a + 0.5) / (b + 0.5) * n0 / n1), 0)
 
 
+def noisy_or(w, bias, compact, token, sentence, document, starts, n: int, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean cross-entropy of documents that are toxic if any of their sentences is, and its gradient by the weights and the bias.
+
+    ``compact``: buckets of each word, as places in ``w``; ``token`` and ``sentence``: the words of the ``n`` sentences;
+    ``document`` of each sentence, ``starts`` of each document.
+    """
+    s = w[compact].sum(1)
+    z = np.clip(np.bincount(sentence, s[token], n) + bias, -50, 50)
+    total = np.add.reduceat(np.logaddexp(0, z), starts)
+    loss = float(np.mean(np.where(y == 1, -np.log(np.maximum(-np.expm1(-total), 1e-300)), total)))
+    # d(-log p)/d(total) = -1 / (exp(total) - 1); for label 0 it is 1.
+    slope = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-4), 1.0) / len(y)
+    dz = slope[document] / (1 + np.exp(-z))
+    ds = np.bincount(token, dz[sentence], len(compact))
+    g = np.zeros(len(w))
+    for k in range(compact.shape[1]):
+        g += np.bincount(compact[:, k], ds, len(w))
+    return loss, np.append(g, dz.sum())
+
+
 def fit(texts: list[str], labels: list[int], steps: int = 200, rate: float = 0.05) -> Model:
     """Full-batch Adam on the cross-entropy of the noisy-or, over telling buckets, with weights of at least 0.
 
@@ -204,17 +224,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 200, rate: float = 0.0
     m, v = np.zeros(len(used) + 2), np.zeros(len(used) + 2)
     n, starts = len(bags.document), np.searchsorted(bags.document, np.arange(len(texts)))
     for step in range(1, steps + 1):
-        s = w[compact].sum(1)
-        z = np.clip(np.bincount(sentence, s[token], n) + bias, -50, 50)
-        total = np.add.reduceat(np.logaddexp(0, z), starts)
-        # d(-log p)/d(total) = -1 / (exp(total) - 1); for label 0 it is 1.
-        slope = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-4), 1.0) / len(y)
-        dz = slope[bags.document] / (1 + np.exp(-z))
-        ds = np.bincount(token, dz[sentence], len(touched))
-        g = np.zeros(len(used) + 1)
-        for k in range(compact.shape[1]):
-            g += np.bincount(compact[:, k], ds, len(used) + 1)
-        g = np.append(g, dz.sum())
+        _, g = noisy_or(w, bias, compact, token, sentence, bags.document, starts, n, y)
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
