@@ -90,7 +90,7 @@ def test_schema_issues(value, want):
 
 def test_manifests():
     good = {
-        "manifestVersion": 1, "id": "bj.x", "name": "n", "version": "1.2.3-a", "apiVersion": "^1.0", "entry": "index.py", "capabilities": {"network": {"allowedHosts": ["a.org:80"]}},
+        "manifestVersion": 1, "id": "ab.x", "name": "n", "version": "1.2.3-a", "apiVersion": "^1.0", "entry": "index.py", "capabilities": {"network": {"allowedHosts": ["a.org:80"]}},
         "configSchema": {"type": "object", "additionalProperties": False}, "integrity": {"maxDocumentBytes": 5},
     }
     assert schema.manifest_problems(good) == []
