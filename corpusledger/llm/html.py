@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusledger.llm import html_pages
+from corpusledger.llm.common import in_small_batches
 
 #: Their content is raw text: without an end tag they end with the page.
 RAW = ("script", "style", "textarea", "iframe", "title")
@@ -372,4 +373,4 @@ def extract(pages: DataFrame, model: Model | None = None, id_col: str = "page_id
             columns = [*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return in_small_batches(rows).mapInArrow(run, schema)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusledger.llm.common import in_small_batches
+
 WIDTH = 64
 HIDDEN = 8
 UNKNOWN = "und"
@@ -196,7 +198,7 @@ def classify(net: Network, texts: list[str | None], lockstep: int = 4096) -> lis
 
 def training_windows(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, per_language: int, windows: int, sample: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Labels, windows and targets of a sample of every language: ``per_language`` documents each, fewer where that makes more than ``sample`` in all."""
-    known = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = in_small_batches(docs).filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # A language is a row here and a column of the network: ``sample`` of them at most.
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
@@ -256,7 +258,7 @@ def predict(rows: DataFrame, net: Network | None, text_col: str = "text", names:
             columns = [*(batch.column(i) for i in order), pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return in_small_batches(rows).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:

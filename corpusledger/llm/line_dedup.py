@@ -9,7 +9,7 @@ most frequent words are broadcast with their rank (a bounded table), and all oth
 those, come before them by hash. Any order that all lines share keeps the filters exact. Then
 
 * prefix filter: sets with Jaccard t share one of the first n - ceil(t n) + 1 words of each, so a line is posted under those words only;
-* shared words: a word of one line alone makes no pair; a bitmap of ``2^bits`` bits of the words of two lines or more keeps most others from being posted;
+* shared words: a word that one set alone has makes no pair; a bitmap of ``2^bits`` bits of the words of two sets or more keeps most others from being posted;
 * length filter: sizes may differ by the factor t at most;
 * positional filter: what can still be shared after the two positions must suffice;
 * bitmap filter: a 128-bit parity sketch differs in at most as many bits as the sets differ in words.
@@ -32,14 +32,15 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusledger.llm.common import components, join_by_id, join_groups, row_key
+from corpusledger.llm.common import components, in_small_batches, join_by_id, join_groups, row_key
 from corpusledger.llm.words import M1, M2, Words, by_line, distinct, mix
 from corpusledger.runtime import materialise
 
@@ -51,15 +52,18 @@ LAST = 2**63 - 1
 TEXT_SEED = 42  # of Spark's xxhash64
 #: Tiles of one word's lines, and words of the sets that meet in one pair of tiles.
 MOST_TILES, TILE_WORDS = 1 << 12, 1 << 23
+#: Ranges of words that are counted apart.
+RANGE_BITS = 10
+RANGES = 1 << RANGE_BITS
 
 
 class Reader:
     """Texts to the distinct words of their lines, as numbers in the common order."""
 
-    def __init__(self, top: np.ndarray | None = None, shared: np.ndarray | None = None, seed: int = 0):
-        """``top``: hashes of the frequent words, rarest first; found by a table over the low bits of a hash. ``shared``: bitmap of words that two lines have."""
+    def __init__(self, top: np.ndarray | None = None, frequency: np.ndarray | None = None, shared: np.ndarray | None = None, seed: int = 0):
+        """``top``: hashes of the frequent words, rarest first; found by a table over the low bits of a hash. ``shared``: bitmap of words that two sets have."""
         self.top = np.empty(0, np.uint64) if top is None else top
-        self.shared, self.seed = shared, seed
+        self.frequency, self.shared, self.seed = frequency, shared, seed
         self.by_hash = np.argsort(self.top)
         self.ordered = self.top[self.by_hash]
         self.low = np.uint64((1 << max(1, (8 * len(self.top)).bit_length())) - 1)
@@ -82,13 +86,21 @@ class Reader:
             at[again] = self.by_hash[found]
         return np.where(hit, FREQUENT | at.astype(np.uint64) << RANK, plain)
 
+    def tiles(self, number: np.ndarray, tile: int) -> np.ndarray:
+        """Into how many tiles the lines of each word are cut."""
+        if not len(self.top):
+            return np.ones(len(number), np.int64)
+        frequent = number >= FREQUENT
+        most = np.minimum(-(-self.frequency // tile), MOST_TILES).astype(np.int64)
+        return np.where(frequent, most[np.where(frequent, (number ^ FREQUENT) >> RANK, 0).astype(np.int64)], 1)
+
     def is_shared(self, number: np.ndarray) -> np.ndarray:
-        """False only for words that no second line has."""
+        """False only for words that no second set has."""
         if self.shared is None:
             return np.ones(len(number), bool)
         bit = number & np.uint64(64 * len(self.shared) - 1)
         held = self.shared[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)
-        return (number >= FREQUENT) | (held == 1)
+        return (number >= FREQUENT) | (held == 1)  # a frequent word's number is its rank
 
     def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, line number) of each line; (line, hash) of each distinct word, sorted by both."""
@@ -112,11 +124,16 @@ def text_key(text: bytes | None) -> int:
     return TEXT_SEED if text is None else xxh64_intdigest(text, TEXT_SEED)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple[np.ndarray, list]]:
+def _batches(batches: Iterator[pa.RecordBatch], size: int = 256, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, list]]:
+    """Ids and texts, at most ``size`` rows and about ``most`` bytes at a time; a longer text comes alone."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, batch.num_rows, size):
-            yield ids[at : at + size], batch.column(1).slice(at, size).to_pylist()
+        bytes_ = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))]
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, min(at + size, int(np.searchsorted(bytes_, bytes_[at] + most, "right")) - 1))
+            yield ids[at:to], batch.column(1).slice(at, to - at).to_pylist()
+            at = to
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,42 +144,111 @@ def _rows(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names)
 
 
-def survey(rows: DataFrame, seed: int) -> DataFrame:
-    """One pass: a row per line (kind 0: doc_id, line_no, set, check, words, key of the text), and partial counts of words (kind 1: word, count)."""
+def _merged(words: np.ndarray, n: np.ndarray, only: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal words added up; ``only`` is the set that all occurrences are in, 0 if there are two."""
+    order = np.argsort(words, kind="stable")
+    words, n, only = words[order], n[order], only[order]
+    starts = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]) if len(words) else np.empty(0, np.int64)
+    if not len(starts):
+        return words, n, only
+    one = np.minimum.reduceat(only, starts)
+    return words[starts], np.add.reduceat(n, starts), np.where(one == np.maximum.reduceat(only, starts), one, np.uint64(0))
+
+
+def survey(rows: DataFrame, seed: int, bits: int) -> DataFrame:
+    """One pass: a row per line (kind -1: doc_id, line_no, set, check, words, key of the text), and what a task has counted, a row per range of words (kind, counts)."""
     names = ["kind", "a", "b", "c", "d", "n", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, held, size = Reader(seed=seed), [], 0
-
-        def counts() -> pa.RecordBatch:
-            words, n = np.unique(np.concatenate(held), return_counts=True)
-            zero = np.zeros(len(words), np.int64)
-            return _rows(names, zero + 1, words, n.astype(np.int64), zero, zero, zero, zero)
+        reader, fresh, size, held, kept = Reader(seed=seed), [], 0, [], 0
+
+        def pack() -> None:
+            """What was counted last, merged: most words of a task come again."""
+            nonlocal size, kept
+            words, n, only = _merged(*(np.concatenate(x) for x in zip(*fresh, strict=True)))
+            held.append((words, n.astype(np.uint32), only))
+            fresh.clear()
+            size, kept = 0, kept + len(words)
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            """A slice of the ranges after the other, so that little is held twice."""
+            nonlocal kept
+            parts = [_range(words, bits) for words, _, _ in held]
+            for first in range(0, RANGES, RANGES // 16):
+                chosen = [(part >= first) & (part < first + RANGES // 16) for part in parts]
+                words, n, only = _merged(*(np.concatenate([x[m] for x, m in zip(column, chosen, strict=True)]) for column in zip(*held, strict=True)))
+                part = _range(words, bits)
+                order = np.argsort(part, kind="stable")
+                words, n, only = words[order], n[order].astype(np.uint32), only[order]
+                kinds, starts = np.unique(part[order], return_index=True)
+                zero = np.zeros(len(kinds), np.int64)
+                blobs = [x.tobytes() + y.tobytes() + z.tobytes() for x, y, z in zip(*(np.split(c, starts[1:]) for c in (words, only, n)), strict=True)] if len(kinds) else []
+                yield _rows(names, kinds, zero, zero, zero, zero, zero, zero).append_column("counts", pa.array(blobs, pa.binary()))
+            held.clear()
+            kept = 0
 
         for ids, texts in _batches(batches):
             document, place, line, plain = reader.read(texts)
             one, two = reader.set_hashes(len(document), line, plain)
             n = np.bincount(line, minlength=len(document)).astype(np.int64)
             keys = np.array([text_key(t) for t in texts], np.uint64)[document]
-            yield _rows(names, np.zeros(len(document), np.int64), ids[document].astype(np.int64), place.astype(np.int64), one, two, n, keys)
-            held.append(plain)
+            made = _rows(names, np.full(len(document), -1), ids[document].astype(np.int64), place.astype(np.int64), one, two, n, keys)
+            yield made.append_column("counts", pa.nulls(len(document), pa.binary()))
+            fresh.append((plain, np.ones(len(plain), np.uint32), (one ^ two)[line] | np.uint64(1)))
             size += len(plain)
-            if size > 4_000_000:
-                yield counts()
-                held, size = [], 0
+            if size > 500_000:
+                pack()
+            if kept > 3_000_000:
+                yield from counts()
         if size:
-            yield counts()
+            pack()
+        if held:
+            yield from counts()
 
-    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", counts binary")
 
 
-def postings(rows: DataFrame, top: np.ndarray, frequency: np.ndarray, shared: np.ndarray | None, seed: int, tile: int, kind: type[Reader] = Reader) -> DataFrame:
-    """word, pair (of tiles), own (tile), set, place (words << 32 | position), s1, s2."""
-    names = ["word", "pair", "own", "set", "place", "s1", "s2"]
-    most = np.minimum(-(-frequency // tile), MOST_TILES).astype(np.int64)
+def _range(words: np.ndarray, bits: int) -> np.ndarray:
+    """Of ``RANGES`` ranges, each a stretch of the bitmap of ``2^bits`` bits."""
+    return ((words & np.uint64((1 << bits) - 1)) >> np.uint64(bits - RANGE_BITS)).astype(np.int64)
+
+
+def word_counts(seen: DataFrame, bits: int) -> DataFrame:
+    """Range by range: a row for every word of two sets or more (word, lines it is on), and one with the range's stretch of the bitmap (word: the range, df 0, stretch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, seen = kind(top, shared, seed), set()
+        kind, held = None, []
+
+        def settle() -> pa.RecordBatch:
+            words, n, only = _merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            bit = (words[only == 0] & np.uint64((1 << bits - RANGE_BITS) - 1)).astype(np.int64)
+            flags = np.zeros(1 << bits - RANGE_BITS, bool)
+            flags[bit] = True
+            often = only == 0
+            found = [pa.array(np.r_[words[often].view(np.int64), kind]), pa.array(np.r_[n[often], 0].astype(np.int64))]
+            stretch = pa.array([None] * int(often.sum()) + [np.packbits(flags, bitorder="little").tobytes()], pa.binary())
+            return pa.RecordBatch.from_arrays([*found, stretch], ["a", "df", "stretch"])
+
+        for batch in batches:
+            for this, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if this != kind and held:
+                    yield settle()
+                    held = []
+                kind, n = this, len(blob) // 20
+                held.append((np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint32, n, 16 * n).astype(np.int64), np.frombuffer(blob, np.uint64, n, 8 * n)))
+        if held:
+            yield settle()
+
+    dealt = seen.filter("kind >= 0").select("kind", "counts").repartition("kind").sortWithinPartitions("kind")
+    return dealt.mapInArrow(run, "a long, df long, stretch binary")
+
+
+def postings(rows: DataFrame, made: Callable[[], Reader], tile: int) -> DataFrame:
+    """word, pair (of tiles, twice its number, and 1 for the side with the higher one), set, place (words << 32 | position), s1, s2; each task makes its reader."""
+    names = ["word", "pair", "set", "place", "s1", "s2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, seen = made(), set()
         for _, texts in _batches(batches):
             document, _, line, plain = reader.read(texts)
             sets, checks = reader.set_hashes(len(document), line, plain)
@@ -187,17 +273,14 @@ def postings(rows: DataFrame, top: np.ndarray, frequency: np.ndarray, shared: np
             n = count[line]
             keep = (position < n + (-UP * n // DOWN) + 1) & reader.is_shared(number)
             line, number, position, n = line[keep], number[keep], position[keep], n[keep]
-            frequent = number >= FREQUENT
-            tiles = np.ones(len(line), np.int64)
-            if len(most):
-                tiles = np.where(frequent, most[np.where(frequent, (number ^ FREQUENT) >> RANK, 0).astype(np.int64)], 1)
+            tiles = reader.tiles(number, tile)
             own = (sets[line] % tiles.astype(np.uint64)).astype(np.int64)
             # A row goes to every pair of tiles that its own is in.
             row = np.repeat(np.arange(len(line)), tiles)
             other = np.arange(len(row)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
             own, line = own[row], line[row]
-            pair = np.minimum(own, other) * MOST_TILES + np.maximum(own, other)
-            yield _rows(names, number[row], pair, own, sets[line], (n << 32 | position).astype(np.int64)[row], s1[line], s2[line])
+            pair = 2 * (np.minimum(own, other) * MOST_TILES + np.maximum(own, other)) + (own > other)
+            yield _rows(names, number[row], pair, sets[line], (n << 32 | position).astype(np.int64)[row], s1[line], s2[line])
 
     return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
@@ -211,9 +294,10 @@ def _passes(n1, p1, n2, p2, differ) -> np.ndarray:
 
 def candidates(posted: DataFrame) -> DataFrame:
     """Edges (u, v) of sets that pass the filters: a spanning forest of what each task meets."""
-    dealt = posted.repartition("word", "pair").sortWithinPartitions("word", "pair", "place", "set")
+    group = F.shiftright("pair", 1)
+    dealt = posted.repartition(F.col("word"), group).sortWithinPartitions("word", group, "place", "set")
 
-    def near(word, pair, own, sets, place, s1, s2) -> tuple[np.ndarray, np.ndarray]:
+    def near(word, pair, side, sets, place, s1, s2) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that pass, in whole groups, sorted; rows are compared with the s-th after them until lengths part."""
         n, p = place >> 32, place & 0xFFFFFFFF
         at, s, heads, tails = np.arange(len(word)), 0, [], []
@@ -225,7 +309,7 @@ def candidates(posted: DataFrame) -> DataFrame:
             at, to = at[on], to[on]
             differ = (np.bitwise_count(s1[at] ^ s1[to]).astype(np.int64) + np.bitwise_count(s2[at] ^ s2[to])).astype(np.int64)
             split = pair[at] // MOST_TILES != pair[at] % MOST_TILES
-            ok = _passes(n[at], p[at], n[to], p[to], differ) & (sets[at] != sets[to]) & (~split | (own[at] != own[to]))
+            ok = _passes(n[at], p[at], n[to], p[to], differ) & (sets[at] != sets[to]) & (~split | (side[at] != side[to]))
             heads.append(at[ok])
             tails.append(to[ok])
         return np.concatenate(heads or [np.empty(0, np.int64)]), np.concatenate(tails or [np.empty(0, np.int64)])
@@ -235,7 +319,7 @@ def candidates(posted: DataFrame) -> DataFrame:
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            last = np.flatnonzero((rest[0] != rest[0][-1]) | (rest[1] != rest[1][-1]))
+            last = np.flatnonzero((rest[0] != rest[0][-1]) | (rest[1] >> 1 != rest[1][-1] >> 1))
             if len(last):
                 yield settle([x[: last[-1] + 1] for x in rest], parent)
                 rest = [x[last[-1] + 1 :] for x in rest]
@@ -243,13 +327,14 @@ def candidates(posted: DataFrame) -> DataFrame:
             yield settle(rest, parent)
 
     def settle(cols: list[np.ndarray], parent: dict[int, int]) -> pa.RecordBatch:
-        word, pair, own, sets, place, s1, s2 = cols
+        word, pair, sets, place, s1, s2 = cols
+        pair, side = pair >> 1, pair & 1
         same = (word[1:] == word[:-1]) & (pair[1:] == pair[:-1])
         again = np.r_[False, same & (sets[1:] == sets[:-1]) & (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])]
         group = np.cumsum(np.r_[True, ~same]) - 1
         keep = ~again & (np.bincount(group, ~again)[group] > 1)
         sets = sets[keep]
-        heads, tails = near(word[keep], pair[keep], own[keep], sets, place[keep], s1[keep].view(np.uint64), s2[keep].view(np.uint64))
+        heads, tails = near(word[keep], pair[keep], side[keep], sets, place[keep], s1[keep].view(np.uint64), s2[keep].view(np.uint64))
         if len(parent) > 500_000:
             parent.clear()  # only costs edges
 
@@ -285,16 +370,19 @@ def fetch(rows: DataFrame, sets: DataFrame, seed: int, most: int = 400_000) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, names = Reader(seed=seed), ["component", "tiles", "set", "check", "doc_id", "line_no", "key", "text"]
         for batch in batches:
-            for at in range(batch.num_rows):
-                doc, key, text, *arrays = (c[at] for c in batch.columns)
-                place, sets, checks, component, tiles = (x.values.to_numpy(zero_copy_only=False) for x in arrays)
-                lines = (text.as_py() or b"").split(b"\n")
-                lines = [lines[i] if i < len(lines) else b"" for i in place.tolist()]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                place, sets, checks, component, tiles = (c.flatten().to_numpy(zero_copy_only=False) for c in part.columns[3:])
+                held = part.column(3).value_lengths().to_numpy()
+                document = np.repeat(np.arange(part.num_rows), held)
+                split = [(t or b"").split(b"\n") for t in part.column(2).to_pylist()]
+                lines = [split[d][i] if i < len(split[d]) else b"" for d, i in zip(document.tolist(), place.tolist(), strict=True)]
                 _, _, line, plain = reader.read(lines)
                 one, two = reader.set_hashes(len(lines), line, plain)
                 # Should two texts of one id share a hash, each is asked for the lines of both.
                 real = np.flatnonzero((one.view(np.int64) == sets) & (two.view(np.int64) == checks))
-                known = [component, tiles, sets, checks, np.full(len(lines), doc.as_py()), place, np.full(len(lines), key.as_py())]
+                ids, keys = (part.column(c).to_numpy(zero_copy_only=False)[document] for c in (0, 1))
+                known = [component, tiles, sets, checks, ids, place, keys]
                 yield pa.RecordBatch.from_arrays([*[pa.array(x[real], pa.int64()) for x in known], pa.array([lines[i] for i in real], pa.binary())], names)
 
     return met.mapInArrow(run, schema)
@@ -391,21 +479,14 @@ def frequent_words(counts: DataFrame, ranked: int) -> list:
     return sorted(counts.filter(F.col("df") >= least).collect(), key=lambda r: (r["df"], r["a"]))
 
 
-def shared_words(counts: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of ``2^bits`` bits with that of each counted word set: 2^(bits - 3) bytes, whatever the corpus."""
-    bit = F.col("a").bitwiseAND(F.lit((1 << bits) - 1))
-    flag = F.expr("bit_or(shiftleft(1L, cast(a & 63 AS int)))")
-    found = counts.groupBy(F.shiftright(bit, 6).alias("slot")).agg(flag.alias("flag")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[found["slot"].to_numpy()] = found["flag"].to_numpy().view(np.uint64)
-    return out
-
-
 def word_table(seen: DataFrame, ranked: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the survey's counts: hashes and frequencies of the frequent words, and the bitmap of words that two lines have."""
-    counts = materialise(seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("df")).filter("df > 1"), "lines-words")
-    words = frequent_words(counts, ranked)
-    return np.array([w["a"] for w in words], np.int64).view(np.uint64), np.array([w["df"] for w in words], np.int64), shared_words(counts, bits)
+    """Hashes and frequencies of the frequent words, and the bitmap of words that two different sets have: 2^(bits - 3) bytes, whatever the corpus."""
+    counts = materialise(word_counts(seen, bits), "lines-words")
+    words = frequent_words(counts.filter("df > 0").select("a", "df"), ranked)
+    shared = np.zeros((RANGES, 1 << bits - RANGE_BITS - 3), np.uint8)
+    for row in counts.filter("df = 0").select("a", "stretch").toLocalIterator():
+        shared[row["a"]] = np.frombuffer(row["stretch"], np.uint8)
+    return np.array([w["a"] for w in words], np.int64).view(np.uint64), np.array([w["df"] for w in words], np.int64), shared.ravel().view(np.uint64)
 
 
 def match_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -420,9 +501,9 @@ def judged_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranked: int = 200_000, bits: int = 26, tile: int = 1024, verify_tile: int = 512, seed: int = 0
 ) -> DataFrame:
     """What :func:`match_lines` says, with ``key`` (xxhash64 of the text), which tells rows with one id apart."""
-    rows = _texts(docs, id_col, text_col)
-    seen = materialise(survey(rows, seed), "lines-survey")
-    lines = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("line_no"), F.col("c").alias("set"), F.col("d").alias("check"), "n", "key")
+    rows = _texts(in_small_batches(docs), id_col, text_col)
+    seen = materialise(survey(rows, seed, bits), "lines-survey")
+    lines = seen.filter("kind = -1").select(F.col("a").alias("doc_id"), F.col("b").alias("line_no"), F.col("c").alias("set"), F.col("d").alias("check"), "n", "key")
     top, frequency, shared = word_table(seen, ranked, bits)
 
     classes = lines.filter("n > 0").groupBy("set", "check").agg(
@@ -430,7 +511,7 @@ def judged_lines(
     )
     classes = materialise(classes, "lines-classes")
 
-    linked = components(candidates(postings(rows, top, frequency, shared, seed, tile)), "lines").withColumnRenamed("node", "set")
+    linked = components(candidates(postings(rows, lambda: Reader(top, frequency, shared, seed), tile)), "lines").withColumnRenamed("node", "set")
     sets = materialise(linked.join(classes, "set").select("set", "check", "first.*", "component", "n"), "lines-sets")
     held = sets.groupBy("component").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("words"))
     held = held.select("component", "held", F.greatest(F.ceil(2 * F.col("held") / verify_tile), F.ceil(2 * F.col("words") / TILE_WORDS)).cast("long").alias("tiles"))

@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusledger.llm.common import in_small_batches
+
 WINDOW = 2048
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, fill long"
@@ -44,12 +46,12 @@ class WordEncoder:
 
     The tokenizer lower-cases and never joins characters across ASCII white space, nor letters with
     what is no letter, so each run between white space is encoded once and remembered; ``memory``
-    bounds how many are kept. Unknown runs of lower-case letters are encoded in one call, past the
+    bounds how many are kept, none beyond 32 bytes: a Python worker holds them for its later tasks too. Unknown runs of lower-case letters are encoded in one call, past the
     normaliser and the splitting pattern, which leave them as they are; each ends with the only token
     of it that is marked as an end of word.
     """
 
-    def __init__(self, path: str, memory: int = 500_000):
+    def __init__(self, path: str, memory: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -97,7 +99,7 @@ class WordEncoder:
                 ids = [made[word] if x is None else x for word, x in zip(row, ids, strict=True)]
             yield b"".join(ids)
         if len(self.known) + len(made) <= self.memory:
-            self.known.update(made)
+            self.known.update((word, ids) for word, ids in made.items() if len(word) <= 32)
 
 
 class SumOfSquares:
@@ -242,4 +244,4 @@ def pack(
             yield drain()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return in_small_batches(rows).mapInArrow(run, schema)

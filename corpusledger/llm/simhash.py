@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corpusledger.llm.common import components, join_by_id, join_groups
+from corpusledger.llm.common import components, in_small_batches, join_by_id, join_groups
 from corpusledger.runtime import materialise
 
 SEED = 42
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return in_small_batches(rows).mapInArrow(run, "doc_id long, fp long")
 
 
 class Forest:
@@ -265,4 +265,4 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
             fps = np.array([simhash(x.encode() if x else b"") for x in batch.column(place).to_pylist()], np.uint64).view(np.int64)
             yield batch.append_column("_cl_fp", pa.array(fps))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_cl_fp", LongType())]))
+    return in_small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField("_cl_fp", LongType())]))

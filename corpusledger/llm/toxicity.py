@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusledger.llm.common import in_small_batches
+
 BUCKETS = 1 << 18
 LONGEST_WORD = 24
 THRESHOLD = 0.7
@@ -290,7 +292,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[Column], text_col:
             ]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return in_small_batches(rows).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1) -> DataFrame:
