@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusledger.llm import chat, exact_dedup, html, language, line_dedup, mixing, packing, simhash, toxicity, winnowing
+from corpusledger.llm import alignment, chat, exact_dedup, html, language, line_dedup, mixing, packing, prefix_free, simhash, spelling, toxicity, winnowing
 from corpusledger.runtime import table
 
 
@@ -57,6 +57,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_winnowing": op2_winnowing,
@@ -68,6 +80,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_html": op10_html,
+    "op11_alignment": op11_alignment,
+    "op12_prefix_free": op12_prefix_free,
+    "op13_spelling": op13_spelling,
 }
 ORACLES = {
     "op4_mixing": mixing.ORACLE_SQL,
