@@ -8,12 +8,12 @@ while a suffix dangles overlaps the token that the suffix is of: that is a link,
 
 Both tokenizers cut before a single space between words and around a single newline, so texts are read in
 spans between such places; what the transducer makes of a span, from empty suffix to empty suffix, is
-remembered too. :meth:`Pair.spans_hold` checks on the vocabularies that this is exact; where it is not,
+remembered too, by a Python worker for all its tasks. :meth:`Pair.spans_hold` checks on the vocabularies that this is exact; where it is not,
 whole texts go through the transducer.
 
-How many documents hold an id pair linked is counted over the corpus in one pass: a task adds its documents up, and
-the sums are shuffled, a row per pair and task. A second pass needs these counts for each document: the ``hot`` most
-frequent pairs, a table of that size at most, go to the tasks; all other pairs are written as rows,
+Texts are read once; a document's distinct links are written to the shared folder beside its row. How many documents hold an id
+pair linked is counted from there: a task adds its documents up, and the sums are shuffled, a row per pair and task. Then each
+document's links meet the counts: the ``hot`` most frequent pairs, a table of that size at most, go to the tasks; all other pairs are written as rows,
 joined by pair and added up by document. Beyond the ``hot`` most frequent, a pair holds at most one
 ``hot``-th of all rows, so no pair is large. The highest count of each id of the first tokenizer goes along; the vocabulary bounds it.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,14 +41,20 @@ from corpusledger.runtime import materialise
 
 #: White space as the first tokenizer's splitting pattern knows it (the Unicode property White_Space).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A word with the single space before it; a single newline; white space of any other kind with what follows it.
-SPAN = re.compile(f" ?[^{WHITE}]+(?:(?![ \n][^{WHITE}])[{WHITE}]+[^{WHITE}]*)*|\n(?=[^{WHITE}])|[{WHITE}]+[^{WHITE}]*(?:(?![ \n][^{WHITE}])[{WHITE}]+[^{WHITE}]*)*")
+#: White space of several kinds or several characters with what follows it: no place to cut.
+_WIDE = f"(?:(?![ \n][^{WHITE}])[{WHITE}]+[^{WHITE}]*)*"
+#: A word with the single space or newline before it and, at the beginning, any other white space.
+SPAN = re.compile(f"[ \n][^{WHITE}]+{_WIDE}|[{WHITE}]+[^{WHITE}]*{_WIDE}")
+#: Where a text has white space other than single spaces and newlines between words.
+OTHER = re.compile(f"[{WHITE.replace(' ', '').replace(chr(10), '')}]|[ \n][ \n]|^[ \n]|[ \n]\\Z")
+
+PLAIN = re.compile(r" [A-Za-z]+[.,]?\Z")
 
 #: How the pieces of the second tokenizer write a space.
 SPACE = "\u2581"
 
 #: Distinct pairs, or spans, that a task holds before it hands them on or forgets them.
-HELD, REMEMBERED = 1 << 20, 100_000
+HELD, REMEMBERED = 1 << 20, 400_000
 
 
 class Transducer:
@@ -124,6 +131,9 @@ class Transducer:
         return (ends, links) if j == m else None
 
 
+_PAIRS: dict[tuple[str, str], Pair] = {}
+
+
 class Pair:
     """Two tokenizers, their token bytes, and the remembered spans."""
 
@@ -144,8 +154,17 @@ class Pair:
         one = re.compile(r"<0x([0-9A-F]{2})>\Z")
         other = [bytes([int(m[1], 16)]) if (m := one.match(p)) else p.replace(SPACE, " ").encode() for p in self.pieces]
         self.transducer = Transducer(made, other)
+        #: Numbers of pairs fit 32 bits for vocabularies of usual size.
+        self.kind = "I" if len(made) * self.width < 1 << 32 else "Q"
         self.spans = self.spans_hold() if spans is None else spans
-        self.known: dict[str, tuple | None] = {}
+        self.known: dict[str, tuple] = {}
+
+    @classmethod
+    def of(cls, first: str, second: str) -> Pair:
+        """The pair of this Python worker, kept from task to task."""
+        if (first, second) not in _PAIRS:
+            _PAIRS[first, second] = cls(first, second)
+        return _PAIRS[first, second]
 
     @staticmethod
     def byte_letters() -> dict[int, str]:
@@ -166,18 +185,42 @@ class Pair:
         return bool(plain and words and newline)
 
     def encode(self, spans: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of spans of ``space + text``; one that does not begin with the space is put behind a newline, which is no part of any piece."""
-        a = [x.ids for x in self.first.encode_batch_fast(spans, add_special_tokens=False)]
-        b = self.second.encode([s[1:] if s[0] == " " else "\n" + s for s in spans], num_threads=1)
-        return a, [ids if s[0] == " " else ids[2:] for s, ids in zip(spans, b, strict=True)]
+        """Ids of spans of ``space + text``. The second tokenizer adds the space, a token of its own before a newline.
+
+        Plain words are encoded many at a time, and their tokens told apart by the space that only a first token has.
+        """
+        if not self.spans:
+            return [x.ids for x in self.first.encode_batch_fast(spans, add_special_tokens=False)], self.second.encode([s[1:] for s in spans], num_threads=1)
+        plain = [s for s in spans if PLAIN.match(s)]
+        made: dict[str, tuple[list[int], list[int]]] = {}
+        for at in range(0, len(plain), 512):
+            part = plain[at : at + 512]
+            text = "".join(part)
+            a, b = self.first.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.second.encode(text[1:], num_threads=1)
+            cuts = [[i for i, x in enumerate(ids) if table[x][:1] == b" "] + [len(ids)] for ids, table in zip((a, b), self.transducer.bytes, strict=True)]
+            if len(cuts[0]) == len(cuts[1]) == len(part) + 1:
+                made.update((s, (a[i:j], b[k:m])) for s, i, j, k, m in zip(part, cuts[0], cuts[0][1:], cuts[1], cuts[1][1:], strict=False))
+        rest = [s for s in spans if s not in made]
+        a = [x.ids for x in self.first.encode_batch_fast(rest, add_special_tokens=False)]
+        b = self.second.encode([s[1:] if s[0] == " " else s for s in rest], num_threads=1)
+        made.update((s, (x, y if s[0] == " " else y[1:])) for s, x, y in zip(rest, a, b, strict=True))
+        return [made[s][0] for s in spans], [made[s][1] for s in spans]
+
+    def cut(self, text: str) -> list[str]:
+        """The spans of ``space + text``, of which plain words go without their space."""
+        if not self.spans:
+            return [" " + text]
+        if not OTHER.search(text):
+            return text.replace("\n", " \n").split(" ")
+        return [s[1:] if s[0] == " " and len(s) > 1 and s[1] not in WHITE else s for s in SPAN.findall(" " + text)]
 
     def read(self, spans: list[str]) -> list[tuple | None]:
         """Tokens of either side, groups, the groups as text and the links as packed numbers, of each span; None if the bytes differ."""
-        out, tables = [], self.transducer.bytes
+        out, (first, second), align = [], self.transducer.bytes, self.transducer.align
         for span, a, b in zip(spans, *self.encode(spans), strict=True):
             raw = span.encode()
-            spelt = all(b"".join(map(table.__getitem__, ids)) == raw for table, ids in zip(tables, (a, b), strict=True))
-            made = self.transducer.align(a, b) if spelt else None
+            spelt = b"".join([first[i] for i in a]) == raw == b"".join([second[i] for i in b])
+            made = align(a, b) if spelt else None
             if made is None:
                 out.append(None)
                 continue
@@ -186,26 +229,27 @@ class Pair:
             for to, upto in ends:
                 text.append(f"{','.join(map(str, a[i:to]))}|{','.join(map(str, b[j:upto]))}")
                 i, j = to, upto
-            packed = np.array([x * self.width + y for x, y in links], np.int64).tobytes()
+            packed = array(self.kind, [x * self.width + y for x, y in links]).tobytes()
             out.append((len(a), len(b), len(ends), ";".join(text), packed))
         return out
 
     def __call__(self, texts: list[str]) -> Iterator[tuple | None]:
         """For each text its counts, digest, distinct links and how often it holds each; None for a text without tokens."""
-        found = [SPAN.findall(" " + t) if self.spans else [" " + t] for t in texts]
-        fresh = list({s for spans in found for s in spans if s not in self.known})
-        made = dict(zip(fresh, self.read(fresh), strict=True)) if fresh else {}
-        for spans in found:
-            parts = [self.known[s] if s in self.known else made[s] for s in spans]
+        found, known = [self.cut(t) for t in texts], self.known
+        parts_of = [list(map(known.get, spans)) for spans in found]
+        fresh = list({s for spans, parts in zip(found, parts_of, strict=True) if None in parts for s, x in zip(spans, parts, strict=True) if x is None})
+        made = dict(zip(fresh, self.read([s if s[0] in " \n" else " " + s for s in fresh]), strict=True)) if fresh else {}
+        for spans, parts in zip(found, parts_of, strict=True):
+            if None in parts:
+                parts = [made[s] if x is None else x for s, x in zip(spans, parts, strict=True)]
             if None in parts:
                 yield None
                 continue
             a, b, groups, text, packed = zip(*parts, strict=True)
-            links, times = np.unique(np.frombuffer(b"".join(packed), np.int64), return_counts=True)
+            links, times = np.unique(np.frombuffer(b"".join(packed), self.kind), return_counts=True)
             yield sum(a), sum(b), sum(groups), hashlib.sha256(";".join(text).encode()).hexdigest(), links, times
-        if len(self.known) + len(made) > REMEMBERED:
-            self.known = {}
-        self.known.update((s, x) for s, x in list(made.items())[:REMEMBERED] if len(s) <= 64)
+        if len(self.known) + len(made) <= REMEMBERED:
+            self.known.update((s, x) for s, x in made.items() if x is not None and len(s) <= 32)
 
 
 def _read(pair: Pair, batch: pa.RecordBatch, place: int) -> Iterator[tuple | None]:
@@ -222,85 +266,94 @@ def _read(pair: Pair, batch: pa.RecordBatch, place: int) -> Iterator[tuple | Non
         yield from [next(made) if t else None for t in texts[at : at + 64]]
 
 
-def pair_counts(rows: DataFrame, first: str, second: str, held: int = HELD) -> DataFrame:
+def alignments(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """row (a number of its own), doc_id, n_a, n_b, n_groups, n_links, groups_sha256, links and times of each row of (doc_id, text); links and how often each occurs are packed."""
+    names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, row = Pair.of(first, second), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            out, rest = [], []
+            for doc_id, made in zip(batch.column(0).to_pylist(), _read(pair, batch, 1), strict=True):
+                row += 1
+                n_a, n_b, groups, digest, links, times = made or (0, 0, 0, "", np.empty(0, pair.kind), np.empty(0, np.int64))
+                out.append((row, doc_id, n_a, n_b, groups, int(times.sum())))
+                rest.append((digest, links.tobytes(), times.astype("I").tobytes()))
+            columns = [pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))]
+            columns += [pa.array([r[i] for r in rest], kind) for i, kind in enumerate((pa.string(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "groups_sha256", "links", "times"])
+
+    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", groups_sha256 string, links binary, times binary")
+
+
+def pair_counts(links: DataFrame, kind: str, held: int = HELD) -> DataFrame:
     """pair, n: how many documents hold the pair linked. A pair is ``id of A * pieces of B + id of B``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, keys, sums, waiting = Pair(first, second), np.empty(0, np.int64), np.empty(0, np.int64), []
+        keys, sums, waiting, size = np.empty(0, kind), np.empty(0, np.int64), [], 0
 
         def merge() -> None:
-            nonlocal keys, sums
-            new, counts = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (keys[:0], sums[:0])
+            nonlocal keys, sums, size
+            new, counts = np.unique(np.frombuffer(b"".join(waiting), kind), return_counts=True)
             both, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            keys, sums = both, np.bincount(place, np.concatenate([sums, counts]), len(both)).astype(np.int64)
+            keys, sums, size = both, np.bincount(place, np.concatenate([sums, counts]), len(both)).astype(np.int64), 0
             waiting.clear()
 
-        size = 0
+        def settle() -> pa.RecordBatch:
+            nonlocal keys, sums
+            made = pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(sums)], ["pair", "n"])
+            keys, sums = keys[:0], sums[:0]
+            return made
+
         for batch in batches:
-            for made in _read(pair, batch, 1):
-                if made is not None:
-                    waiting.append(made[4])
-                    size += len(made[4])
-                if size > held:
+            for packed in batch.column(0).to_pylist():
+                waiting.append(packed)
+                size += len(packed)
+                if size > 8 * held:
                     merge()
-                    size = 0
                 if len(keys) > held:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["pair", "n"])
-                    keys, sums = keys[:0], sums[:0]
+                    yield settle()
         merge()
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["pair", "n"])
+        yield settle()
 
-    return rows.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return links.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text", hot: int = 1 << 17) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of ``docs``."""
     spark = docs.sparkSession
     rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    width = Pair(first, second, False).width
-    counts = materialise(pair_counts(rows, first, second), "align-counts")
+    pair = Pair(first, second, False)
+    width, kind = pair.width, pair.kind
+    read = materialise(alignments(rows, first, second), "align-rows")
+    counts = materialise(pair_counts(read.select("links"), kind), "align-counts")
     # At most as many rows as the first vocabulary has ids.
     highest = counts.groupBy(F.expr(f"pair div {width}").alias("a")).agg(F.max("n").alias("most"))
     judged = counts.join(F.broadcast(highest), F.expr(f"pair div {width}") == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    top = judged.orderBy(F.desc("n"), "pair").limit(hot)
-    table = top.toArrow().sort_by("pair")
-    sent = spark.sparkContext.broadcast(tuple(table[c].to_numpy().astype(kind) for c, kind in (("pair", np.int64), ("n", np.int64), ("best", np.int64))))
-
-    names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    table = judged.orderBy(F.desc("n"), "pair").limit(hot).toArrow().sort_by("pair")
+    sent = spark.sparkContext.broadcast((table["pair"].to_numpy().astype(kind), table["n"].to_numpy().astype(np.int64), table["best"].to_numpy().astype(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, (keys, number, best) = Pair(first, second), sent.value
-        row = TaskContext.get().partitionId() << 33
+        keys, number, best = sent.value
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out, digests, rare, often = [], [], [], []
-            for doc_id, made in zip(ids, _read(pair, batch, 1), strict=True):
-                row += 1
-                if made is None:
-                    out.append((row, doc_id, *[0] * 6))
-                    digests.append("")
-                    rare.append([])
-                    often.append([])
-                    continue
-                n_a, n_b, groups, digest, links, times = made
+            sums, rare, often = [], [], []
+            for links, times in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                links, times = np.frombuffer(links, kind), np.frombuffer(times, "I").astype(np.int64)
                 at = np.minimum(np.searchsorted(keys, links), max(len(keys) - 1, 0))
                 known = keys[at] == links if len(keys) else np.zeros(len(links), bool)
-                seen = times[known]
-                out.append((row, doc_id, n_a, n_b, groups, int(times.sum()), int((seen * best[at[known]]).sum()), int((seen * number[at[known]]).sum())))
-                digests.append(digest)
-                rare.append(links[~known])
+                at, seen = at[known], times[known]
+                sums.append((int((seen * best[at]).sum()), int((seen * number[at]).sum())))
+                rare.append(links[~known].astype(np.int64))
                 often.append(times[~known])
-            columns = [pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(names)
+            columns = [batch.column(0), *(pa.array([s[i] for s in sums], pa.int64()) for i in range(2))]
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (rare, often)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.string()), *lists], [*names, "groups_sha256", "rare", "times"])
-
-    schema = ", ".join(f"{x} long" for x in names) + ", groups_sha256 string, rare array<long>, times array<long>"
-    read = materialise(rows.mapInArrow(run, schema), "align-rows")
-    loose = read.filter("size(rare) > 0").select("row", F.explode(F.arrays_zip("rare", "times")).alias("at"))
-    loose = loose.select("row", F.col("at.rare").alias("pair"), F.col("at.times").alias("times"))
-    # The rest of the counts: what was handed to the tasks is the head of the same order.
-    met = loose.join(judged.withColumnRenamed("n", "held"), "pair")
-    added = met.groupBy("row").agg(F.sum(F.col("times") * F.col("best").cast("long")).alias("_best"), F.sum(F.col("times") * F.col("held")).alias("_sum"))
-    whole = read.drop("rare", "times").join(added, "row", "left")
-    whole = whole.withColumns({"n_best": F.col("n_best") + F.coalesce("_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("_sum", F.lit(0))})
-    return whole.select(*names[1:], "groups_sha256")
+            yield pa.RecordBatch.from_arrays([*columns, *lists], ["row", "n_best", "count_sum", "rare", "often"])
+
+    met = materialise(read.select("row", "links", "times").mapInArrow(run, "row long, n_best long, count_sum long, rare array<long>, often array<long>"), "align-met")
+    loose = met.filter("size(rare) > 0").select("row", F.explode(F.arrays_zip("rare", "often")).alias("at"))
+    loose = loose.select("row", F.col("at.rare").alias("pair"), F.col("at.often").alias("often"))
+    # What was handed to the tasks is the head of the same order, so these pairs are of the rest.
+    rest = loose.join(judged.withColumnRenamed("n", "held"), "pair")
+    rest = rest.select("row", (F.col("often") * F.col("best").cast("long")).alias("n_best"), (F.col("often") * F.col("held")).alias("count_sum"))
+    added = met.select("row", "n_best", "count_sum").unionByName(rest).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return read.drop("links", "times").join(added, "row").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -82,7 +82,7 @@ def test_spans_change_no_token(plain):
     spans = alignment.Pair(*PATHS)
     assert spans.spans
     texts = [t for t in (strange(i) for i in range(3000)) if t] + [r[1] for r in documents() if r[1]]
-    texts += ["a" * 5000, " " * 300, "\n" * 7, "x▁y", " lead", "trail ", "a\n b", "a \nb", "a \n"]
+    texts += ["a" * 5000, " " * 300, "\n" * 7, "x▁y", " lead", "trail ", "a\n b", "a \nb", "a \n", "Mr. A", "so, it. Is.\nNow,it.. Go., x don't. é. A. b"]
     one, other = list(plain(texts)), list(spans(texts))
     for text, x, y in zip(texts, one, other):
         assert (x is None) == (y is None), repr(text)
@@ -102,8 +102,9 @@ def test_alignment_equals_a_sweep(spark, plain, hot):
 
 def test_a_task_that_hands_on_early(spark):
     rows = frame(spark).select("doc_id", "text").selectExpr("doc_id", "cast(text as binary) text")
-    whole = {tuple(r) for r in alignment.pair_counts(rows, *PATHS).collect()}
-    assert whole == {tuple(r) for r in alignment.pair_counts(rows, *PATHS, held=20).collect()}
+    links = alignment.alignments(rows, *PATHS).select("links").cache()
+    whole = {tuple(r) for r in alignment.pair_counts(links, "I").collect()}
+    assert whole == {tuple(r) for r in alignment.pair_counts(links, "I", held=20).collect()}
 
 
 def test_empty_table(spark):
