@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusledger.runtime import materialise
+
 from corpusledger.functions.identity import CURSOR_PREFIX
 
 DEFAULT_LIMIT, MOST = 100, 1000
@@ -99,15 +103,23 @@ def failed_oldest_first(documents: DataFrame, limit: int, at: str, key: str, sta
     return documents.filter(F.col(status) == "failed").orderBy(at, key).limit(limit)
 
 
-def sources_in_order(sources: DataFrame, limit: int, key: str = "source_id") -> DataFrame:
-    """The first ``limit`` sources by id, with their place: a top-k, so only those rows meet in one task."""
-    first = sources.orderBy(key).limit(limit)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(key)).cast("long"))
+def sources_in_order(sources: DataFrame, key: str = "source_id") -> DataFrame:
+    """All sources by id, with their place. They are sorted in ranges; a range's rows are numbered on from the sizes of those before it.
+
+    What comes to the driver is a number a partition.
+    """
+    ranged = materialise(sources.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()), "ordered")
+    sizes = sorted(map(tuple, ranged.groupBy("_part").count().collect()))
+    before = dict(zip((part for part, _ in sizes), accumulate((n for _, n in sizes), initial=0), strict=False))
+    table = sources.sparkSession.createDataFrame(list(before.items()), "_at int, _before long")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    met = ranged.join(F.broadcast(table), F.col("_part") == F.col("_at"))
+    return met.select(*sources.columns, (F.col("_before") + nth).alias("place"))
 
 
 def versions_in_order(versions: DataFrame, document: str = "document_id", number: str = "version_no") -> DataFrame:
-    """Each document's versions with their place, newest first."""
-    return versions.withColumn("place", F.row_number().over(Window.partitionBy(document).orderBy(F.desc(number))).cast("long"))
+    """Each document's versions with their place, oldest first."""
+    return versions.withColumn("place", F.row_number().over(Window.partitionBy(document).orderBy(number)).cast("long"))
 
 
 def pending(documents: DataFrame, states: Sequence[str], status: str = "status") -> DataFrame:

@@ -181,13 +181,13 @@ def blackout_in_zone(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").filter(policy.in_blackout(F.col("ts"), night, "Africa/Lagos")).select("event_id")
 
 
-@registered("SELECT row_number() OVER (ORDER BY c_custkey) AS place, c_custkey AS source_id FROM customer QUALIFY place <= 100")
+@registered("SELECT row_number() OVER (ORDER BY c_custkey) AS place, c_custkey AS source_id FROM customer")
 def sources_in_order(spark: SparkSession, d: str) -> DataFrame:
-    found = query.sources_in_order(table(spark, d, "customer").select(F.col("c_custkey").alias("source_id")), 100)
+    found = query.sources_in_order(table(spark, d, "customer").select(F.col("c_custkey").alias("source_id")))
     return found.select("place", "source_id")
 
 
-@registered("SELECT conv_id AS document_id, CAST(turn + 1 AS BIGINT) AS version_no, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM conversations")
+@registered("SELECT conv_id AS document_id, CAST(turn + 1 AS BIGINT) AS version_no, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations")
 def versions_in_order(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), (F.col("turn") + 1).cast("long").alias("version_no"))
     return query.versions_in_order(rows)
@@ -199,7 +199,7 @@ def pending_by_source(spark: SparkSession, d: str) -> DataFrame:
     return query.pending(rows, ("O", "P")).groupBy("source_id").agg(F.count(F.lit(1)).alias("open_documents"))
 
 
-@registered("SELECT max(CAST(p_size AS INT)) AS version FROM part WHERE p_partkey % 3 = 0")
+@registered("SELECT coalesce(max(CAST(p_size AS INT)), 0) AS version FROM part WHERE p_partkey % 3 = 0")
 def schema_version(spark: SparkSession, d: str) -> DataFrame:
     return registry.schema_version(table(spark, d, "part").filter("p_partkey % 3 = 0").select(F.col("p_size").cast("int").alias("version")))
 

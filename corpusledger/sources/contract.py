@@ -6,6 +6,7 @@ methods it has. All of them take and return DataFrames, so a source is a logical
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
 
@@ -139,7 +140,7 @@ INTERNAL_EVENTS = ("document.unchanged", "discovery.budget_exceeded", "plugin.lo
 
 def event_visibility(kind: Column) -> Column:
     """public or internal; null for a type that the catalogue does not know. A prefix before the catalogue's names does not count."""
-    named = lambda names: F.lit(False) if not names else kind.rlike(rf"(?:^|^[^.]+\.)(?:{'|'.join(n.replace('.', chr(92) + '.') for n in names)})$")
+    named = lambda names: F.lit(False) if not names else kind.rlike(rf"(?:^|^[^.]+\.)(?:{'|'.join(map(re.escape, names))})$")
     return F.when(named(PUBLIC_EVENTS), "public").when(named(INTERNAL_EVENTS), "internal")
 
 

@@ -53,8 +53,8 @@ def with_defaults(config: dict, defaults: dict) -> dict:
 
 
 def schema_version(applied: DataFrame, column: str = "version") -> DataFrame:
-    """One row: the highest version applied, null if none."""
-    return applied.agg(F.max(column).alias("version"))
+    """One row: the highest version applied, 0 if none."""
+    return applied.agg(F.coalesce(F.max(column), F.lit(0)).alias("version"))
 
 
 def pending_scripts(applied: DataFrame, files: DataFrame) -> DataFrame:
