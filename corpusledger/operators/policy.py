@@ -236,7 +236,7 @@ def schedule_ticks(schedules: DataFrame, first: datetime, last: datetime, key: s
     distinct = schedules.filter(F.col(cron).isNotNull()).select(F.col(cron).alias("_cron")).distinct()
     parts = F.split(F.trim("_cron"), r"\s+")
     names = ["_minutes", "_hours", "_days", "_months", "_weekdays"]
-    bits = [cron_bits(parts[i], low, high).alias(name) for i, (name, (low, high)) in enumerate(zip(names, CRON_FIELDS, strict=True))]
+    bits = [cron_bits(F.get(parts, F.lit(i)), low, high).alias(name) for i, (name, (low, high)) in enumerate(zip(names, CRON_FIELDS, strict=True))]
     read = distinct.filter(F.size(parts) == len(CRON_FIELDS)).select("_cron", *bits).dropna()
     read = read.withColumn("_hour", F.explode(F.filter(F.sequence(F.lit(0), F.lit(23)), lambda h: F.getbit("_hours", h) == 1)))
 
