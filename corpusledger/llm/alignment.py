@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusledger.llm.common import in_small_batches
+from corpusledger.llm.common import in_small_batches, kept
 from corpusledger.runtime import materialise
 
 #: White space as the first tokenizer's splitting pattern knows it (the Unicode property White_Space).
@@ -131,9 +131,6 @@ class Transducer:
         return (ends, links) if j == m else None
 
 
-_PAIRS: dict[tuple[str, str], Pair] = {}
-
-
 class Pair:
     """Two tokenizers, their token bytes, and the remembered spans."""
 
@@ -162,9 +159,7 @@ class Pair:
     @classmethod
     def of(cls, first: str, second: str) -> Pair:
         """The pair of this Python worker, kept from task to task."""
-        if (first, second) not in _PAIRS:
-            _PAIRS[first, second] = cls(first, second)
-        return _PAIRS[first, second]
+        return kept(f"alignment {first} {second}", lambda: cls(first, second))
 
     @staticmethod
     def byte_letters() -> dict[int, str]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusledger.runtime import materialise
@@ -23,6 +25,23 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task, for one operator at a time: asking for another's drops it."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def plain_names(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """The table with its columns numbered, so that no name of ours meets one of the caller's, and the new names of ``columns``."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(c)] for c in columns]
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = 1000, most_hot: int = 10_000) -> DataFrame:
     """Left join of ``rows`` to ``groups``, unique by ``key``, that no large group can make uneven.
 
@@ -95,8 +114,3 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         before = after
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def first_of(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The first row of each group."""
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_nth = 1").drop("_nth")

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusledger.llm.common import join_by_id, join_groups
+from corpusledger.llm.common import join_by_id, join_groups, plain_names
 from corpusledger.runtime import materialise
 
 WHITE_SPACE = " \t\n\x0b\f\r"
@@ -109,6 +109,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     An id that is on several rows is judged text by text: of each text that it keeps one row stays, that
     with the most code points, then the last by text and by the row's hash.
     """
+    names = docs.columns
+    docs, (id_col, text_col) = plain_names(docs, id_col, text_col)
     made = exact_dedup(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).filter("doc_id is not null")
     made = materialise(made.select("doc_id", "kept", "text_sha256"), "exact-decisions")
     rows = made.groupBy(F.col("doc_id").alias("_cl_id")).agg(F.max("kept").alias("_cl_kept"), (F.count(F.lit(1)) > 1).alias("_cl_many"))
@@ -116,13 +118,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = marked.filter("_cl_many is null").select(*docs.columns)
     many = rows.filter("_cl_many").select(F.col("_cl_id").alias("doc_id"))
     if many.isEmpty():
-        return stay
+        return stay.toDF(*names)
     key = F.struct(F.col(id_col).cast("long").alias("doc_id"), sha256(normalised(F.col(text_col))).alias("sha"))
     kept = made.filter("kept").join(many, "doc_id").select(F.struct("doc_id", F.col("text_sha256").alias("sha")).alias("_cl_id"), F.lit(True).alias("_cl_stays"))
     met = join_by_id(marked.filter("_cl_many").drop("_cl_many").withColumn("_cl_key", key), kept, "_cl_key").filter("_cl_stays")
     size = F.length(F.coalesce(F.col(text_col), F.lit("")))
     first = F.max_by(F.struct(*docs.columns), F.struct(size, F.col(text_col), F.xxhash64(*docs.columns))).alias("_cl_row")
-    return stay.unionByName(met.groupBy("_cl_key").agg(first).select("_cl_row.*"))
+    return stay.unionByName(met.groupBy("_cl_key").agg(first).select("_cl_row.*")).toDF(*names)
 
 
 ORACLE_SQL = r"""

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusledger.llm.common import in_small_batches
+from corpusledger.runtime import materialise
 
 WIDTH = 64
 HIDDEN = 8
@@ -205,13 +206,18 @@ def training_windows(docs: DataFrame, learn: Column, id_col: str, text_col: str,
     if not counts:
         return [], np.empty((0, WIDTH), np.uint8), np.empty(0, np.int64)
     per_language = max(1, min(per_language, sample // len(counts)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # A hash slice of about four times the sample first: no task ranks all rows of a language.
+    # A hash slice of about four times the sample first: no task ranks all rows of a language, and only the slice's texts are shuffled.
+    row = F.xxhash64("doc_id", "text")
     shares = docs.sparkSession.createDataFrame([(r[0], min(1.0, 4 * per_language / r[1])) for r in counts], "_lang string, _share double")
-    sliced = F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(1 << 30)) / (1 << 30) < F.col("_share")
-    ids = known.select("doc_id", "lang").join(F.broadcast(shares), F.col("lang") == F.col("_lang")).filter(sliced).drop("_lang", "_share")
-    ids = ids.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).select(F.col("doc_id").alias("_id"))
-    picked = known.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    sliced = F.pmod(F.xxhash64("doc_id", "text", F.lit("slice")), F.lit(1 << 30)) / (1 << 30) < F.col("_share")
+    met = known.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).filter(sliced).select("lang", "text", row.alias("row"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("row", "text"))
+    picked = materialise(met.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("lang", "text"), "language-sample")
+    # A language whose few different rows all miss the slice is learnt from the first of them.
+    found = {r[0] for r in picked.select("lang").distinct().collect()}
+    missed = [r[0] for r in counts if r[0] not in found]
+    if missed:
+        picked = picked.unionByName(known.filter(F.col("lang").isin(missed)).groupBy("lang").agg(F.min_by("text", row).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusledger.llm.common import join_by_id
+from corpusledger.llm.common import join_by_id, plain_names
 from corpusledger.runtime import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -179,12 +179,14 @@ def take(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_i
     Rows carry their columns through the plan, so that texts that share an id are each taken by themselves; only
     the bucket in which a source's budget ends is shuffled.
     """
+    names = docs.columns
+    docs, (id_col, text_col, source_col) = plain_names(docs, id_col, text_col, source_col)
     keyed = _keyed(docs, quality, id_col, text_col, source_col)
     narrow = keyed.select(F.col("_mx_source").alias("source"), F.col("_mx_size").alias("size"), F.col("_mx_key").alias("key"))
     placed, filled = _plan(materialise(narrow, "mix-rows"), WEIGHTS, 1.5, 2.0, 4096, 100_000)
     copies = (F.col("_mx_epochs") + F.col("_mx_pass")).cast("int")
     met = filled(placed(keyed), cut_last=False).withColumn("_mx_copies", copies).filter("_mx_copies > 0")
-    return met.withColumn("_mx_copy", F.explode(F.sequence(F.lit(1), F.col("_mx_copies")))).select(*docs.columns)
+    return met.withColumn("_mx_copy", F.explode(F.sequence(F.lit(1), F.col("_mx_copies")))).select(*docs.columns).toDF(*names)
 
 
 ORACLE_SQL = r"""

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusledger.llm.common import in_small_batches
+from corpusledger.llm.common import in_small_batches, kept
 
 WINDOW = 2048
 END_ID = 1
@@ -38,9 +38,6 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _END = re.compile(rb"([.,])(?:(?<=[a-z0-9].)|(?<=\xc3[\xa0-\xb6\xb8-\xbf].))(?=[ \t\n\x0b\f\r])")
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 class WordEncoder:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
@@ -65,9 +62,7 @@ class WordEncoder:
     @classmethod
     def of(cls, path: str) -> WordEncoder:
         """The encoder of this Python worker, kept from task to task."""
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
+        return kept(f"packing {path}", lambda: cls(path))
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         made: dict[bytes, bytes] = {}

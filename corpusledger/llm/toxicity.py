@@ -114,6 +114,10 @@ class Bags:
         self.document = np.repeat(np.arange(len(doc_sizes)), doc_sizes)
 
 
+#: The log-odds of one in a hundred: a sentence below says next to nothing, however often a long text repeats it.
+FLOOR = float(np.log(0.01 / 0.99))
+
+
 class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), bias
@@ -141,7 +145,9 @@ class Model:
         logits = np.bincount(bags.sentence, self.word_weights(bags.words), n) + self.bias
         soft = np.logaddexp(0, logits)
         starts = np.searchsorted(bags.document, np.arange(len(texts)))
-        scores = -np.expm1(-np.add.reduceat(soft, starts))
+        # Sentences that say next to nothing do not add up: the strongest of them counts, and only where no other sentence does.
+        total = np.add.reduceat(np.where(logits > FLOOR, soft, 0), starts)
+        scores = -np.expm1(-np.where(total > 0, total, np.maximum.reduceat(soft, starts)))
         worst = [int(np.argmax(part)) for part in np.split(logits, starts[1:])]
         tops = np.maximum.reduceat(logits, starts)
         return np.clip(scores, 0, 1), 1 / (1 + np.exp(-np.clip(tops, -60, 60))), worst
