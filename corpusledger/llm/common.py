@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusledger.runtime import materialise
@@ -36,6 +37,12 @@ def kept(name: str, make: Callable[[], object]) -> object:
     return _KEPT[name]
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that are written and no longer referred to; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def plain_names(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
     """The table with its columns numbered, so that no name of ours meets one of the caller's, and the new names of ``columns``."""
     names = [f"c{i}" for i in range(len(docs.columns))]

@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusledger.llm.common import in_small_batches, join_by_id
+from corpusledger.llm.common import forget_shuffles, in_small_batches, join_by_id
 from corpusledger.llm.words import M1, M2, mix
-from corpusledger.runtime import drop_table, materialise
+from corpusledger.runtime import materialise
 
 LENGTH, GRAM = 100, 48
 STEP = 1 << 18
@@ -306,8 +306,14 @@ def remove_repeats(
     text, number = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), F.col(id_col).cast("long")
     rows = in_small_batches(docs).select(F.isnull(number).cast("long").alias("lost"), F.coalesce(number, F.lit(0)).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
+    # The hash of the text only tells documents with one id apart. Where no id has two texts it is not carried along.
+    among = rows.groupBy("lost", "doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    if among.filter("low != high").isEmpty():
+        rows = rows.withColumn("key", F.lit(0).cast("long"))
+
     twice = spark.sparkContext.broadcast(bit_map(triggers(rows, parser), bits))
     phrases = materialise(judged(dictionary(rows, parser, twice, bits)), "repeat-phrases")
+    forget_shuffles(spark)
 
     extremes: list[Column] = [f(c).alias(f"{name}_{c}") for c in ("one", "two") for name, f in (("low", F.min), ("high", F.max))]
     shared = phrases.filter("first").groupBy("trigger").agg(*extremes).filter("low_one != high_one or low_two != high_two")
@@ -321,9 +327,10 @@ def remove_repeats(
     names = [*ORDER, "n"]
     wanted = phrases.filter("first").select(*names, "trigger").mapInArrow(shares, ", ".join(f"{x} long" for x in names))
     windows = _with_spans(rows, spans(wanted), most).filter("spans is not null")
-    windows = materialise(judged(suffixes(windows, length)), "repeat-windows")
+    windows = materialise(judged(suffixes(windows, length)).filter("not first").select(*names), "repeat-windows")
+    forget_shuffles(spark)
 
-    gone = phrases.filter("not first").select(*names).unionByName(windows.filter("not first").select(*names))
+    gone = phrases.filter("not first").select(*names).unionByName(windows)
     met = _with_spans(rows, spans(gone), most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
