@@ -105,7 +105,8 @@ class Parser:
         piece = np.searchsorted(ends, first, "right")
         number, start = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
         begins = ends - np.array([len(p[2]) for p in pieces])
-        return number[piece], first - begins[piece] + start[piece], np.diff(np.r_[heads, len(windows)]), hashed[trigger[heads]]
+        # Triggers are the small hashes; mixed again, they spread over all slots and ranges.
+        return number[piece], first - begins[piece] + start[piece], np.diff(np.r_[heads, len(windows)]), mix(hashed[trigger[heads]], M2)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], pa.RecordBatch]]:
