@@ -13,7 +13,8 @@ joined by one space in page order. Inline elements join without a space; a line
 
 Defined cases: a null page is empty; a page without content gives the empty text. Unclosed elements
 end with their parent, stray end tags are ignored, markup that is cut off ends with the page. Quotes count only where the value of an
-attribute begins.
+attribute begins. A form control goes whole, blocks inside it too; one that is never closed ends where a block starts. A label is one of
+a control, and goes, if it names or holds one or stands in a form; else it is inline text. A page may be a lone paragraph or plain words.
 Repeated rows get equal texts. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -35,12 +36,16 @@ from corpusledger.llm.common import in_small_batches
 
 #: Their content is raw text: without an end tag they end with the page.
 RAW = ("script", "style", "textarea", "iframe", "title")
-#: Never text, whatever is in them; they end with their parent, or where a block starts.
-DROPPED = frozenset("template svg select datalist button option optgroup label".split())
+#: Never text, whatever is in them; without an end tag they end with their parent, or where a block starts.
+DROPPED = frozenset("template svg select datalist button option optgroup".split())
+#: A new one ends the open one.
+ALONE = frozenset("select button option optgroup label".split())
+CONTROLS = frozenset("input select textarea button meter progress output".split())
+FORMS = ("form", "fieldset")
 #: May close themselves.
 FOREIGN = ("svg", "math")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp".split())
 #: A start tag of the first ends an open element of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset(
@@ -55,6 +60,7 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
+FOR = re.compile(r"(?:^|\s)for\s*=", re.I)
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 TAGS = "html body div section article main header footer nav aside form p h1 h2 h3 h4 ul ol li a table tr td blockquote pre figure figcaption dl dd span b".split()
@@ -63,6 +69,47 @@ NAME_BUCKETS = 256
 KINDS = 4
 
 
+def dropped_until(tokens: list[re.Match]) -> tuple[dict[int, int], set[int]]:
+    """Where each dropped element that is closed ends, by the number of its start tag, and the labels that hold a control."""
+    ends: dict[int, int] = {}
+    labels: set[int] = set()
+    around: list[int] = []  # labels on the stack
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+
+    def pop() -> tuple[str, int]:
+        last = stack.pop()
+        opened[last[0]] -= 1
+        if last[0] == "label":
+            around.pop()
+        return last
+
+    for number, m in enumerate(tokens):
+        raw = (m[1] or "").lower()
+        if raw not in CONTROLS and m[3] is None:
+            continue
+        tag = raw or m[3].lower()
+        if tag in CONTROLS and not m[2] and around:
+            labels.add(around[-1])
+        if raw or tag in VOID or m[4].endswith("/") and not m[2]:
+            continue
+        if m[2]:
+            if opened[tag]:
+                while (last := pop())[0] != tag:
+                    pass
+                if tag in DROPPED or tag == "label":
+                    ends[last[1]] = number
+        else:
+            if tag in ALONE and opened[tag]:
+                while pop()[0] != tag:
+                    pass
+            if tag == "label":
+                around.append(number)
+            stack.append((tag, number))
+            opened[tag] += 1
+    return ends, labels
+
+
 class Tree:
     """Elements in page order: parent, tag, words of their names, own text pieces by position."""
 
@@ -89,7 +136,12 @@ class Tree:
                 buried[last] -= 1
             buried[tag] -= 1
 
-        for m in TOKEN.finditer(page):
+        tokens = list(TOKEN.finditer(page))
+        ends, held = dropped_until(tokens)
+        until = -1  # the end tag of the dropped element that is open
+        for number, m in enumerate(tokens):
+            if number <= until:
+                continue
             text = m[5]
             if text is not None:
                 if lost:
@@ -130,7 +182,10 @@ class Tree:
                 continue
             if closed and tag in FOREIGN:
                 continue
-            if tag in DROPPED:
+            if tag in DROPPED or tag == "label" and (number in held or any(opened[f] for f in FORMS) or FOR.search(m[4])):
+                if number in ends:
+                    until = ends[number]
+                    continue
                 lost.append(tag)
                 buried[tag] += 1
                 continue
@@ -179,7 +234,9 @@ _TAG, _UP = 0, len(TAGS) + 1
 _NAME = _UP + len(TAGS) + 1
 _UPNAME = _NAME + NAME_BUCKETS
 _STEP = _UPNAME + NAME_BUCKETS
-FEATURES = _STEP + 60
+FEATURES = _STEP + 61
+#: A page of nothing else, all of it unnamed, has no structure to tell its main text by.
+BARE = INLINE | {"#root", "p", "pre", "div", "section"}
 
 
 def _kind(tag: str) -> int:
@@ -202,6 +259,7 @@ def describe(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
         count[p] += count[i]
         blocks[p] += blocks[i]
     whole = max(total[0], 1)
+    bare = not any(tree.names) and BARE.issuperset(tree.tags)
     nodes, found, before = [], [], 0
     for i in range(n):
         p = parent[i]
@@ -223,6 +281,8 @@ def describe(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
         ]
         if tree.hidden[i]:
             own.append(_STEP + 59)
+        if bare:
+            own.append(_STEP + 60)
         own += [_NAME + _bucket(w) for w in set(tree.names[i])]
         if p >= 0:
             own += [_UPNAME + _bucket(w) for w in set(tree.names[p])]

@@ -19,6 +19,8 @@ CHROME = {
     "comments": ["comments", "comment", "comment-list", "discussion", "replies", "disqus", "reader-comments", "responses"],
     "form": ["search", "login", "subscribe", "signup", "contact-form"],
 }
+#: One page in so many has no structure.
+PLAIN_EVERY = 16
 SYLLABLES = "an ber con de el fi ga hu in jo ka lo mi no or pa que ra si to ur va wi xe yo zu th er on st re".split()
 
 
@@ -106,8 +108,18 @@ def _article(r: random.Random) -> list[tuple[str, bool]]:
     return out
 
 
+def _plain(r: random.Random) -> list[tuple[str, bool]]:
+    """A fragment without structure: words, or a few paragraphs, and nothing around them."""
+    if r.random() < 0.4:
+        return [(_inline(r, _sentences(r)), True)]
+    tag = r.choice(["p", "p", "p", "div", "span", "pre", "section"])
+    return [(f"<{tag}>{_inline(r, _sentences(r))}{r.choice(['', f'</{tag}>'])}", True) for _ in range(r.choice([1, 1, 1, 2, 4]))]
+
+
 def page(seed: int) -> list[tuple[str, bool]]:
     r = random.Random(seed)
+    if seed % PLAIN_EVERY == PLAIN_EVERY - 1:
+        return _plain(r)
     script = f"<script>var t=\"</p>\";f({_words(r, 2, 5)!r})</script>"
     out = [(f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{_words(r, 2, 8)}</title><style>p{{margin:0}}</style>{script}</head><body>", False)]
     before = [k for k in ("header", "nav", "notice", "ad", "form", "aside") if r.random() < 0.45]

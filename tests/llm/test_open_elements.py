@@ -20,8 +20,27 @@ WANT = "Title here One and more words. Two and more words."
         ("<form><select><option>a<option selected>b</select></form>" + BODY, WANT),
         ("<p>Let <math><mi>x</mi></math> be <object>shown</object> here</p>", "Let x be shown here"),
         ("<p>a<button>no</button>b</p><template><p>no</p></template><p>c</p>", "ab c"),
+        ("<article><p>One</p><button><div>Subscribe now</div><p>free</p></button><p>Two</p></article>", "One Two"),
+        ("<article><p>One</p><select><option><div>a</div></select><p>Two</p></article>", "One Two"),
+        ("<p>One</p><svg><foreignObject><div>no</div></foreignObject></svg><p>Two</p>", "One Two"),
+        ("<p>Set the <label>big knob</label> to three</p>", "Set the big knob to three"),
+        ("<p>One</p><label for=x><div>Mail</div></label><p>Two</p>", "One Two"),
+        ("<p>One</p><label>Tick <input type=checkbox></label><p>Two</p>", "One Two"),
+        ("<button>Go<button>Stay</button><p>One</p>", "One"),
     ],
 )
 def test_open_elements_do_not_take_the_page(page, want):
     tree = html.Tree(page)
     assert tree.text(np.ones(len(tree.tags), bool)) == want
+
+
+@pytest.mark.parametrize("page", ["<p>Only one paragraph of plain words here.</p>", "Plain words without any tag.", "<p>One of three.<p>Two of three.<p>Three of three."])
+def test_pages_without_structure_are_their_text(page):
+    model = html.fit()
+    tree = html.Tree(page)
+    assert tree.text(model.keep(tree)) == tree.text(np.ones(len(tree.tags), bool)) != ""
+
+
+def test_many_labels_and_controls_are_read_in_linear_time():
+    tree = html.Tree("<label>" * 30_000 + "<div><label><input>" * 30_000)
+    assert len(tree.tags) > 1
