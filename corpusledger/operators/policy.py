@@ -225,6 +225,62 @@ def cron_bits(field: Column, low: int, high: int) -> Column:
     return F.aggregate(F.transform(F.split(field, ","), item), F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(x))
 
 
+def next_due_at(cron: Column, after: Column) -> Column:
+    """The next due minute after a time, as a column of local times; null within 1,464 days of none, or for an expression that cannot be read.
+
+    A successor search on bit sets, no grid of minutes: the lowest bit from the minute on, else from the next hour on, else
+    the first minute of the next due day. The due days of a month are one bit set, the pattern of the weekdays turned to the
+    month's first day and laid out over it, so at most fifty months are looked at.
+    """
+    let = lambda value, use: F.transform(F.array(value), use)[0]
+    long = lambda n: F.lit(n).cast("long")
+    has = lambda bits, at: F.getbit(bits, at) == 1
+    lowest = lambda bits: F.bit_count(bits.bitwiseAND(-bits) - 1)
+    above = lambda bits, at: bits.bitwiseAND(F.call_function("shiftleft", long(-1), at))
+    parts = F.split(F.trim(cron), r"\s+")
+    names = ("minutes", "hours", "days", "months", "weekdays")
+    sets = [cron_bits(F.get(parts, F.lit(i)), low, high).alias(name) for i, (name, (low, high)) in enumerate(zip(names, CRON_FIELDS, strict=True))]
+    local = after.cast("timestamp_ntz")
+    minute = F.hour(local) * 60 + F.minute(local) + 1
+    begin = F.struct(F.date_add(F.to_date(local), (minute == DAY).cast("int")).alias("day"), (minute % DAY).alias("clock"), *sets)
+
+    def due_days(s: Column, month: Column) -> Column:
+        """The due days of a month that begins with ``month``, day k at bit k."""
+        first = F.dayofweek(month) - 1
+        turned = F.call_function("shiftright", s["weekdays"], first).bitwiseOR(F.call_function("shiftleft", s["weekdays"], 7 - first)).bitwiseAND(long(127))
+        weekdays = turned * long(sum(2 << 7 * week for week in range(5)))
+        either = (F.bit_count(s["days"]) < 31) & (F.bit_count(s["weekdays"]) < 7)
+        both = F.when(either, s["days"].bitwiseOR(weekdays)).otherwise(s["days"].bitwiseAND(weekdays))
+        inside = F.call_function("shiftleft", long(2), F.dayofmonth(F.last_day(month))) - 2
+        return F.when(has(s["months"], F.month(month)), both.bitwiseAND(inside)).otherwise(long(0))
+
+    def later_day(s: Column) -> Column:
+        """The first due day after the one that the search begins with."""
+        start = F.trunc(s["day"], "MM")
+
+        def look(found: Column, ahead: Column) -> Column:
+            month = F.add_months(start, ahead)
+            days = above(due_days(s, month), F.when(ahead == 0, F.dayofmonth(s["day"]) + 1).otherwise(0))
+            return F.when(found.isNotNull(), found).otherwise(let(days, lambda bits: F.when(bits != 0, F.date_add(month, (lowest(bits) - 1).cast("int")))))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(49)), F.lit(None).cast("date"), look)
+
+    def search(s: Column) -> Column:
+        hour, minutes, hours = F.floor(s["clock"] / 60).cast("int"), s["minutes"], s["hours"]
+        now, rest = above(minutes, s["clock"] % 60), above(hours, hour + 1)
+        clock = F.when(has(hours, hour) & (now != 0), hour * 60 + lowest(now)).when(rest != 0, lowest(rest) * 60 + lowest(minutes))
+        today = F.when(has(due_days(s, F.trunc(s["day"], "MM")), F.dayofmonth(s["day"])), clock)
+        day = F.when(today.isNotNull(), s["day"]).otherwise(later_day(s))
+        return let(F.struct(day.alias("day"), F.coalesce(today, lowest(hours) * 60 + lowest(minutes)).cast("int").alias("clock")), lambda found: stamp(s, found))
+
+    def stamp(s: Column, found: Column) -> Column:
+        soon = F.datediff(found["day"], s["day"]) * DAY + found["clock"] - s["clock"] < 4 * 366 * DAY
+        return F.when(soon, F.timestamp_add("MINUTE", found["clock"], found["day"].cast("timestamp_ntz")))
+
+    readable = F.size(parts) == len(CRON_FIELDS)
+    return F.when(readable, let(begin, lambda s: F.when(functools.reduce(lambda a, b: a & b, [s[n].isNotNull() for n in names]), search(s))))
+
+
 def schedule_ticks(schedules: DataFrame, first: datetime, last: datetime, key: str = "source_id", cron: str = "cron", zone: str | None = None, most: int = 1_000_000) -> DataFrame:
     """(key, tick): the due minutes of every schedule in [first, last). An expression that cannot be read is due at no minute.
 

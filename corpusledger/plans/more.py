@@ -175,6 +175,21 @@ def scheduler_ticks(spark: SparkSession, d: str) -> DataFrame:
     return found.select("source_id", identity.iso(F.col("tick")).alias("tick"))
 
 
+DUE_CRONS = ("*/15 6-20 1,15 * 1-5", "30 2 31 * *", "0 0 29 2 *", "59 23 * * 6", "never")
+
+
+@registered(f"""WITH g AS (SELECT CAST(t AS TIMESTAMP) AS tick FROM range((SELECT date_trunc('minute', min(ts)) FROM events), (SELECT max(ts) + INTERVAL 4 YEAR FROM events), INTERVAL 1 MINUTE) r(t)),
+due AS (SELECT 0 AS k, tick FROM g WHERE minute(tick) % 15 = 0 AND hour(tick) BETWEEN 6 AND 20 AND (day(tick) IN (1, 15) OR dayofweek(tick) BETWEEN 1 AND 5)
+UNION ALL SELECT 1, tick FROM g WHERE minute(tick) = 30 AND hour(tick) = 2 AND day(tick) = 31
+UNION ALL SELECT 2, tick FROM g WHERE minute(tick) = 0 AND hour(tick) = 0 AND day(tick) = 29 AND month(tick) = 2
+UNION ALL SELECT 3, tick FROM g WHERE minute(tick) = 59 AND hour(tick) = 23 AND dayofweek(tick) = 6),
+e AS (SELECT event_id, event_id % 5 AS k, ts FROM events)
+SELECT event_id, {ISO_SQL.format("tick")} AS due_at FROM e ASOF LEFT JOIN due ON e.k = due.k AND e.ts < due.tick""")
+def next_due(spark: SparkSession, d: str) -> DataFrame:
+    cron = F.element_at(F.array(*map(F.lit, DUE_CRONS)), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", identity.iso(policy.next_due_at(cron, F.col("ts"))).alias("due_at"))
+
+
 @registered("""SELECT event_id FROM events WHERE hour(ts + INTERVAL 1 HOUR) >= 22 OR hour(ts + INTERVAL 1 HOUR) < 6""")
 def blackout_in_zone(spark: SparkSession, d: str) -> DataFrame:
     night = [{"days": "*", "from": "22:00", "to": "06:00"}]

@@ -31,6 +31,28 @@ def test_store_writes_once_and_merges_references(spark, tmp_path):
     assert store.store(incoming(spark, [("f", 1, b"too long")]), root, most_bytes=3).first().path is None
 
 
+def test_files_of_a_first_attempt_are_not_taken_for_older_contents(spark, tmp_path):
+    """A job that was lost after the bytes and before the descriptors leaves files; the next one reports their contents as new."""
+    root = str(tmp_path / "store")
+    rows = incoming(spark, [("a", 1, b"x"), ("b", 1, b"y")])
+    store.store(rows, root).collect()
+    for note in (tmp_path / "store").rglob("*.json"):
+        if b"a" in note.read_bytes().split(b'"documentId":"')[1][:1]:
+            note.unlink()
+    again = {r.content_hash: r.deduplicated for r in store.store(rows, root).collect()}
+    assert sorted(again.values()) == [False, True]
+    assert {r.result for r in store.verify_store(spark, root).collect()} == {"ok"}
+    assert sorted(r.references[0].documentId for r in store.descriptors(spark, root).collect()) == ["a", "b"]
+
+
+def test_a_store_reads_the_descriptors_of_what_comes_in_only(spark, tmp_path):
+    root = str(tmp_path / "store")
+    store.store(incoming(spark, [("a", 1, b"x")]), root).collect()
+    (tmp_path / "store/objects/zz").mkdir()
+    (tmp_path / "store/objects/zz/broken.json").write_text("{no json")
+    assert [r.deduplicated for r in store.store(incoming(spark, [("b", 1, b"y"), ("c", 1, b"x")]), root).orderBy("content_hash").collect()].count(True) == 1
+
+
 ENTRY = "<aside class='doc loi'><a href='/doc/{0}/' class='doc-title'>T{0}</a><b class='semibold'>Loi</b> <b class='semibold'>5 articles</b><b class='semibold'>430 Ko</b> Publié le 0{1}.07.2026</aside>"
 
 

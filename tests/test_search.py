@@ -86,6 +86,27 @@ def test_ticks_equal_the_minute_scan(spark, zone):
     assert {tuple(r) for r in made.collect()} == wanted and made.count() == len(wanted)
 
 
+def test_next_due_equals_the_day_scan(spark):
+    rng = random.Random(11)
+
+    def field(low, high):
+        a, b = sorted(rng.choices(range(low, high + 1), k=2))
+        return rng.choice(["*", "*", str(a), f"{a}-{b}", f"*/{rng.randint(1, 7)}", f"{a},{b}", f"{a}/{rng.randint(1, 9)}"])
+
+    begin = datetime(2019, 12, 30)
+    rows = [(" ".join(field(*f) for f in policy.CRON_FIELDS), begin + timedelta(seconds=rng.randrange(9 * 366 * 86_400))) for _ in range(3000)]
+    leap = "0 0 29 2 *"
+    rows += [(leap, datetime(2020, 2, 28, 23, 59, 59)), (leap, datetime(2020, 2, 29)), (leap, datetime(2096, 3, 1)), ("0 0 30 2 *", begin), ("* * * * *", datetime(2023, 12, 31, 23, 59))]
+    rows += [("0 0 31 12 *", datetime(2023, 12, 31, 0, 0)), ("59 23 * * 0", datetime(2024, 2, 29, 23, 59)), ("bad", begin), ("61 * * * *", begin), ("* * * *", begin), ("", begin), (None, begin), ("* * * * *", None)]
+    made = spark.createDataFrame(rows, "cron string, at timestamp_ntz").select("cron", "at", policy.next_due_at(policy.F.col("cron"), policy.F.col("at")).alias("due"))
+    for cron, at, due in made.collect():
+        try:
+            wanted = policy.next_due(cron or "", at) if at else None
+        except ValueError:
+            wanted = None
+        assert due == wanted, (cron, at)
+
+
 def test_twenty_thousand_expressions_are_one_plan(spark):
     rows = spark.range(20_000).selectExpr("id AS source_id", "concat(id % 60, ' ', id % 24, ' ', id % 28 + 1, ' * ', id % 7) AS cron")
     began = time.time()
