@@ -54,7 +54,7 @@ PLAIN = re.compile(r" [A-Za-z]+[.,]?\Z")
 SPACE = "\u2581"
 
 #: Distinct pairs, or spans, that a task holds before it hands them on or forgets them.
-HELD, REMEMBERED = 1 << 20, 400_000
+HELD, REMEMBERED = 1 << 20, 700_000
 
 
 class Transducer:
@@ -151,6 +151,9 @@ class Pair:
         one = re.compile(r"<0x([0-9A-F]{2})>\Z")
         other = [bytes([int(m[1], 16)]) if (m := one.match(p)) else p.replace(SPACE, " ").encode() for p in self.pieces]
         self.transducer = Transducer(made, other)
+        #: Of either side's ids: whether the token begins with a space, and the id as text.
+        self.opens = [[x[:1] == b" " for x in table] for table in (made, other)]
+        self.digits = list(map(str, range(max(len(made), len(other)))))
         #: Numbers of pairs fit 32 bits for vocabularies of usual size.
         self.kind = "I" if len(made) * self.width < 1 << 32 else "Q"
         self.spans = self.spans_hold() if spans is None else spans
@@ -192,7 +195,7 @@ class Pair:
             part = plain[at : at + 512]
             text = "".join(part)
             a, b = self.first.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.second.encode(text[1:], num_threads=1)
-            cuts = [[i for i, x in enumerate(ids) if table[x][:1] == b" "] + [len(ids)] for ids, table in zip((a, b), self.transducer.bytes, strict=True)]
+            cuts = [[i for i, x in enumerate(ids) if opens[x]] + [len(ids)] for ids, opens in zip((a, b), self.opens, strict=True)]
             if len(cuts[0]) == len(cuts[1]) == len(part) + 1:
                 made.update((s, (a[i:j], b[k:m])) for s, i, j, k, m in zip(part, cuts[0], cuts[0][1:], cuts[1], cuts[1][1:], strict=False))
         rest = [s for s in spans if s not in made]
@@ -211,22 +214,29 @@ class Pair:
 
     def read(self, spans: list[str]) -> list[tuple | None]:
         """Tokens of either side, groups, the groups as text and the links as packed numbers, of each span; None if the bytes differ."""
-        out, (first, second), align = [], self.transducer.bytes, self.transducer.align
+        out, flat, first, align, width, digits = [], [], self.transducer.bytes[0], self.transducer.align, self.width, self.digits
         for span, a, b in zip(spans, *self.encode(spans), strict=True):
-            raw = span.encode()
-            spelt = b"".join([first[i] for i in a]) == raw == b"".join([second[i] for i in b])
-            made = align(a, b) if spelt else None
+            # That the second side spells the same bytes as the first is what the transducer finds out.
+            made = align(a, b) if b"".join([first[i] for i in a]) == span.encode() else None
             if made is None:
                 out.append(None)
                 continue
             ends, links = made
-            text, i, j = [], 0, 0
-            for to, upto in ends:
-                text.append(f"{','.join(map(str, a[i:to]))}|{','.join(map(str, b[j:upto]))}")
-                i, j = to, upto
-            packed = array(self.kind, [x * self.width + y for x, y in links]).tobytes()
-            out.append((len(a), len(b), len(ends), ";".join(text), packed))
-        return out
+            n, m = [digits[x] for x in a], [digits[y] for y in b]
+            if len(ends) == 1:
+                text = f"{','.join(n)}|{','.join(m)}"
+            else:
+                parts, i, j = [], 0, 0
+                for to, upto in ends:
+                    # Most groups are of one token a side.
+                    parts.append(f"{n[i]}|{m[j]}" if to - i == upto - j == 1 else f"{','.join(n[i:to])}|{','.join(m[j:upto])}")
+                    i, j = to, upto
+                text = ";".join(parts)
+            begin = len(flat)
+            flat += [x * width + y for x, y in links]
+            out.append((len(n), len(m), len(ends), text, begin, len(flat)))
+        packed, size = array(self.kind, flat).tobytes(), array(self.kind).itemsize
+        return [x and (*x[:4], packed[x[4] * size : x[5] * size]) for x in out]
 
     def __call__(self, texts: list[str]) -> Iterator[tuple | None]:
         """For each text its counts, digest, distinct links and how often it holds each; None for a text without tokens."""
