@@ -238,9 +238,9 @@ class Pair:
         packed, size = array(self.kind, flat).tobytes(), array(self.kind).itemsize
         return [x and (*x[:4], packed[x[4] * size : x[5] * size]) for x in out]
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple | None]:
+    def __call__(self, texts: list[str]) -> list[tuple | None]:
         """For each text its counts, digest, distinct links and how often it holds each; None for a text without tokens."""
-        found, known = [self.cut(t) for t in texts], self.known
+        found, known, out = [self.cut(t) for t in texts], self.known, []
         parts_of = [list(map(known.get, spans)) for spans in found]
         fresh = list({s for spans, parts in zip(found, parts_of, strict=True) if None in parts for s, x in zip(spans, parts, strict=True) if x is None})
         made = dict(zip(fresh, self.read([s if s[0] in " \n" else " " + s for s in fresh]), strict=True)) if fresh else {}
@@ -248,13 +248,14 @@ class Pair:
             if None in parts:
                 parts = [made[s] if x is None else x for s, x in zip(spans, parts, strict=True)]
             if None in parts:
-                yield None
+                out.append(None)
                 continue
             a, b, groups, text, packed = zip(*parts, strict=True)
             links, times = np.unique(np.frombuffer(b"".join(packed), self.kind), return_counts=True)
-            yield sum(a), sum(b), sum(groups), hashlib.sha256(";".join(text).encode()).hexdigest(), links, times
+            out.append((sum(a), sum(b), sum(groups), hashlib.sha256(";".join(text).encode()).hexdigest(), links, times))
         if len(self.known) + len(made) <= REMEMBERED:
             self.known.update((s, x) for s, x in made.items() if x is not None and len(s) <= 32)
+        return out
 
 
 def _read(pair: Pair, batch: pa.RecordBatch, place: int) -> Iterator[tuple | None]:
@@ -267,7 +268,7 @@ def _read(pair: Pair, batch: pa.RecordBatch, place: int) -> Iterator[tuple | Non
             texts.append("")
     for at in range(0, len(texts), 64):
         part = [t for t in texts[at : at + 64] if t]
-        made = pair(part)
+        made = iter(pair(part))
         yield from [next(made) if t else None for t in texts[at : at + 64]]
 
 

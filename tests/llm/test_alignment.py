@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from corpusledger.llm import alignment
@@ -117,3 +118,14 @@ def test_transducer_refuses_other_bytes():
     assert made.align([0, 1], [0, 2]) is None
     assert made.align([0], [0, 1]) is None
     assert made.align([0, 1], [0]) is None
+
+
+def test_spans_are_remembered_between_batches():
+    """Reading a batch by the operator's own loop leaves its short spans known, so that the next one encodes nothing."""
+    pair = alignment.Pair(*PATHS)
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([b"some words of a text", None])], ["doc_id", "text"])
+    once = list(alignment._read(pair, batch, 1))
+    assert len(pair.known) == 5
+    pair.read = None
+    again = list(alignment._read(pair, batch, 1))
+    assert once[1] is again[1] is None and once[0][:4] == again[0][:4]
