@@ -37,10 +37,13 @@ def median(sketch: Column) -> Column:
 def window_medians(days: DataFrame, as_of: Column, recent: int = 30, before: int = 365) -> DataFrame:
     """source_id, recent_median, earlier_median: sizes of the last ``recent`` days, and of the ``before`` days ahead of them."""
     age = F.datediff(as_of, F.col("day"))
-    part = F.when(age.between(0, recent - 1), "recent").when(age.between(recent, recent + before - 1), "earlier").alias("part")
-    merged = days.select("source_id", "sizes", part).filter("part is not null").groupBy("source_id", "part").agg(F.kll_merge_agg_bigint("sizes").alias("sizes"))
-    value = median(F.col("sizes"))
-    return merged.groupBy("source_id").agg(*[F.max(F.when(F.col("part") == p, value)).alias(f"{p}_median") for p in ("recent", "earlier")])
+    inside = days.filter(age.between(0, recent + before - 1))
+    return inside.groupBy("source_id").agg(*_medians(age, recent, before))
+
+
+def _medians(age: Column, recent: int, before: int) -> list[Column]:
+    parts = {"recent_median": age.between(0, recent - 1), "earlier_median": age.between(recent, recent + before - 1)}
+    return [median(F.kll_merge_agg_bigint(F.when(inside, F.col("sizes")))).alias(name) for name, inside in parts.items()]
 
 
 def alerts(expected: DataFrame, days: DataFrame, as_of: Column, recent: int = 30, before: int = 365) -> DataFrame:
@@ -56,10 +59,13 @@ def alerts(expected: DataFrame, days: DataFrame, as_of: Column, recent: int = 30
     * ``size_collapse``: earlier median over the recent one, ten or more
     """
     seen = days.filter(F.col("day") <= as_of)
-    last = seen.groupBy("source_id").agg(
-        F.max("day").alias("ran"), F.max(F.when(F.col("found") > 0, F.col("day"))).alias("got"), F.max_by(F.struct("found", "failures"), "day").alias("run")
+    state = seen.groupBy("source_id").agg(
+        F.max("day").alias("ran"),
+        F.max(F.when(F.col("found") > 0, F.col("day"))).alias("got"),
+        F.max_by(F.struct("found", "failures"), "day").alias("run"),
+        *_medians(F.datediff(as_of, F.col("day")), recent, before),
     )
-    met = expected.join(last, "source_id", "left").join(window_medians(seen, as_of, recent, before), "source_id", "left")
+    met = expected.join(state, "source_id", "left")
     idle, barren = F.datediff(as_of, F.col("ran")), F.datediff(as_of, F.col("got"))
     found, share = F.col("run.found"), F.col("run.failures") / (F.col("run.found") + F.col("run.failures"))
     off = (found > F.col("most_found") * VOLUME_FACTOR) | (found * VOLUME_FACTOR < F.col("least_found"))

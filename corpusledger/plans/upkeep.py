@@ -10,7 +10,7 @@ from corpusledger.plans.catalogue import AS_OF, registered
 from corpusledger.runtime import table
 
 #: Suppliers are sources, line items what their runs found; returned ones failed. The day stands amid the data.
-TODAY = "1994-06-01"
+TODAY = "1998-06-01"
 FOUND_SQL = f"""f AS (SELECT l_suppkey AS source_id, CAST(l_shipdate AS DATE) AS day, CAST(floor(l_extendedprice) AS BIGINT) AS size, l_returnflag = 'R' AS bad,
   date_diff('day', CAST(l_shipdate AS DATE), DATE '{TODAY}') AS age FROM lineitem WHERE CAST(l_shipdate AS DATE) <= DATE '{TODAY}'),
 m AS (SELECT source_id, quantile_disc(size, 0.5) FILTER (NOT bad AND age < 30) AS recent_median, quantile_disc(size, 0.5) FILTER (NOT bad AND age BETWEEN 30 AND 394) AS earlier_median
