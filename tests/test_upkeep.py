@@ -103,7 +103,10 @@ def test_ulids_equal_a_sequential_generator(spark):
     rows = [(i, 1000 if draw.random() < 0.4 else 1000 + draw.randrange(-40, 40)) for i in range(4000)]
     draw.shuffle(rows)
     frame = spark.createDataFrame([*rows, (9_999_999, None)], "id long, ms long")
-    got = {r["id"]: r["ulid"] for r in ulids.monotone_ulids(frame, "ms", "id", parts=16).collect()}
+    frame = frame.withColumns({"part": F.lit("mine"), "rank": F.lit(7)})
+    made = ulids.monotone_ulids(frame, "ms", "id", parts=16).collect()
+    assert {(r["part"], r["rank"]) for r in made} == {("mine", 7)}
+    got = {r["id"]: r["ulid"] for r in made}
     assert got.pop(9_999_999) is None
     ordered = [got[i] for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
     assert ordered == sorted(set(ordered)) and all(len(u) == 26 for u in ordered)
