@@ -136,24 +136,29 @@ def parse_robots(text: str) -> list[Rule]:
     return sorted([*rules, *bare], key=lambda r: r.group)
 
 
-def path_pattern(pattern: str) -> str:
-    """A pattern of a robots file as a regular expression: pieces between stars are found from left to right and not sought again."""
+def path_pattern(pattern: str, to_end: bool = False) -> str:
+    """A pattern of a robots file as a regular expression: pieces between stars are found from left to right and not sought again.
+
+    ``to_end``: the piece before a closing ``$`` is sought at the end of the path, as RFC 9309 has it, not at its first place.
+    """
     body, end = (pattern[:-1], r"\z") if pattern.endswith("$") else (pattern, "")
     first, *others = (re.escape(piece) for piece in body.split("*"))
+    if to_end and end and others:
+        end = f".*{others.pop()}{end}"
     return f"(?s)^{first}{''.join(f'(?>.*?{piece})' for piece in others if piece)}{end}"
 
 
-def robots_allowed(path: Column, rules: Sequence[Rule], agent: str) -> Column:
+def robots_allowed(path: Column, rules: Sequence[Rule], agent: str, to_end: bool = False) -> Column:
     """The longest rule that matches decides, an Allow among equals: one maximum over the rules of the agent's group.
 
-    The group is the first that names a part of the agent, else the first for all; an empty Disallow allows all.
+    The group is the first that names a part of the agent, else the first for all; an empty Disallow allows all. ``to_end`` as in :func:`path_pattern`.
     """
     agent = agent.lower()
     named = [r.group for r in rules if any(a != "*" and a in agent for a in r.agents)] or [r.group for r in rules if "*" in r.agents]
     own = [r for r in rules if named and r.group == named[0]]
     if any(not r.allows and not r.pattern for r in own):
         return F.lit(True)
-    matched = [F.when(path.rlike(path_pattern(r.pattern)), F.struct(F.lit(len(r.pattern)), F.lit(r.allows).alias("allows"))) for r in own if r.pattern]
+    matched = [F.when(path.rlike(path_pattern(r.pattern, to_end)), F.struct(F.lit(len(r.pattern)), F.lit(r.allows).alias("allows"))) for r in own if r.pattern]
     return F.coalesce(F.array_max(F.array(*matched))["allows"], F.lit(True)) if matched else F.lit(True)
 
 

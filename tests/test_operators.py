@@ -3,10 +3,13 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from corpusledger.operators import integrity, ledger, pages, policy, query, sweeps, views
+from corpusledger.plans import catalogue
+from tests.oracle import same
 
 T0 = datetime(2026, 8, 31)
 
@@ -188,6 +191,22 @@ def test_robots(spark):
     assert allowed("User-agent: *\nDisallow: /*.pdf$\nAllow: /autre.pdf") == [False, False, True]
 
 
+def test_robots_piece_before_the_end_is_sought_at_the_end(spark):
+    df = spark.createDataFrame([("/fr/8515",), ("/fr/85",), ("/fr/8",), ("/fr/85x",), ("/fr/8x5y55",)], "path string")
+    matches = lambda pattern: [r[0] for r in df.select(F.col("path").rlike(policy.path_pattern(pattern, to_end=True))).collect()]
+    assert matches("/fr/8*5$") == [True, True, False, False, True]
+    assert matches("/fr/8*5*5$") == [True, False, False, False, True]
+    assert matches("/fr/8*$") == [True] * 5 and matches("/fr/8$") == [False, False, True, False, False]
+
+
+def test_robots_decision_matches_its_sql_where_the_last_piece_repeats(spark, tmp_path):
+    paths = ["/fr/8515#top", "/fr/85", "/fr/8", "/fr/82455", "/en/65", "/fr/8515?ref=5"]
+    spark.createDataFrame([(i, f"http://e.org{x}") for i, x in enumerate(paths)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    same(catalogue.robots_decision(spark, str(tmp_path)), db, catalogue.ORACLES["robots_decision"])
+
+
 def at(days, hour, minute=0):
     return T0 + timedelta(days=days, hours=hour, minutes=minute)  # T0 is a Monday
 
