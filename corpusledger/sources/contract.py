@@ -89,9 +89,10 @@ class PagedSource:
     api_version: str = "1.0"
     state: dict = field(default_factory=dict)
 
-    def pages(self, spark: SparkSession, first: int = 0, most: int = 1000) -> DataFrame:
-        reader = spark.read.format("paged_index").option("path", self.path).option("base", self.base_url)
-        return reader.option("resume", f"page:{first}").option("maxPages", most).load()
+    def pages(self, spark: SparkSession, first: int = 0, most: int | None = None) -> DataFrame:
+        """Pages from ``first``, to before ``most`` if there is such a bound."""
+        reader = spark.read.format("paged_index").option("path", self.path).option("base", self.base_url).option("resume", f"page:{first}")
+        return (reader if most is None else reader.option("maxPages", most)).load()
 
     def parse(self, found: DataFrame) -> DataFrame:
         return pages.aside_entries(found, self.base_url) if self.layout == "aside" else pages.article_entries(found)

@@ -17,9 +17,20 @@ NAME = re.compile(r"page-(\d+)\.html")
 SCHEMA = "page int, url string, status int, html string"
 
 
-class Page(InputPartition):
-    def __init__(self, page: int):
-        self.page = page
+#: Pages that a task reads at least, and tasks that read a whole index at most.
+RUN, MOST_RUNS = 16, 1024
+
+
+class Run(InputPartition):
+    """Pages from ``first`` to before ``end``."""
+
+    def __init__(self, first: int, end: int):
+        self.first, self.end = first, end
+
+
+def _runs(first: int, end: int) -> list[InputPartition]:
+    size = max(RUN, -(-(end - first) // MOST_RUNS))
+    return [Run(at, min(at + size, end)) for at in range(first, end, size)]
 
 
 def _folder(options: dict) -> tuple:
@@ -30,11 +41,14 @@ def _folder(options: dict) -> tuple:
     return fs.FileSystem.from_uri(path if "://" in path else Path(path).absolute().as_uri())
 
 
-def _load(options: dict, page: int) -> Iterator[tuple]:
-    """One page of a folder of ``page-N.html`` files; a live transport would be another scheme. A page that is not there is an error."""
+def _load(options: dict, run: Run | None) -> Iterator[tuple]:
+    """Pages of a folder of ``page-N.html`` files, one by one; a live transport would be another scheme. A page that is not there is an error."""
+    if run is None:  # no page at all
+        return
     system, folder = _folder(options)
-    with system.open_input_file(f"{folder}/page-{page}.html") as file:
-        yield page, f"{options.get('base', 'http://localhost')}/?page={page}", 200, file.read().decode("utf-8")
+    for page in range(run.first, run.end):
+        with system.open_input_file(f"{folder}/page-{page}.html") as file:
+            yield page, f"{options.get('base', 'http://localhost')}/?page={page}", 200, file.read().decode("utf-8")
 
 
 def _count(options: dict) -> int:
@@ -52,10 +66,11 @@ class PagedReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         first = int(self.options.get("resume", "page:0").removeprefix("page:"))
-        return [Page(p) for p in range(first, min(_count(self.options), int(self.options.get("maxpages", 1000))))]
+        end, most = _count(self.options), self.options.get("maxpages")
+        return _runs(first, end if most is None else min(end, int(most)))
 
-    def read(self, partition: Page | None) -> Iterator[tuple]:
-        return iter(()) if partition is None else _load(self.options, partition.page)  # none: no page at all
+    def read(self, partition: Run | None) -> Iterator[tuple]:
+        return _load(self.options, partition)
 
 
 class PagedStreamReader(DataSourceStreamReader):
@@ -70,14 +85,14 @@ class PagedStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         at = lambda o: int(o["cursor"].removeprefix("page:"))
-        return [Page(p) for p in range(at(start), at(end))]
+        return _runs(at(start), at(end))
 
-    def read(self, partition: Page | None) -> Iterator[tuple]:
-        return iter(()) if partition is None else _load(self.options, partition.page)  # none: no page at all
+    def read(self, partition: Run | None) -> Iterator[tuple]:
+        return _load(self.options, partition)
 
 
 class PagedIndex(DataSource):
-    """``spark.read.format("paged_index").option("path", folder)``; also base, resume (``page:N``) and maxPages. Keys come lower-cased."""
+    """``spark.read.format("paged_index").option("path", folder)``; also base, resume (``page:N``) and maxPages, without which all pages are read. Keys come lower-cased."""
 
     @classmethod
     def name(cls) -> str:
