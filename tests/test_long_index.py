@@ -20,3 +20,8 @@ def test_every_page_is_discovered(spark, source):
     got = source.discover(spark)
     assert sorted(r.page for r in got.select("page").collect()) == list(range(PAGES))
     assert got.rdd.getNumPartitions() <= PAGES // paged.RUN + 1
+
+
+def test_every_reference_is_described(source, spark):
+    got = source.describe(source.discover(spark))
+    assert sorted(r[0] for r in got.select("metadata.common.title").collect()) == sorted(f"t{i}" for i in range(PAGES))
