@@ -25,3 +25,8 @@ def test_every_page_is_discovered(spark, source):
 def test_every_reference_is_described(source, spark):
     got = source.describe(source.discover(spark))
     assert sorted(r[0] for r in got.select("metadata.common.title").collect()) == sorted(f"t{i}" for i in range(PAGES))
+
+
+def test_every_reference_is_resolved(source, spark):
+    got = source.resolve(source.discover(spark))
+    assert sorted(r.url for r in got.select("url").collect()) == sorted(f"http://localhost/doc/p{i}/" for i in range(PAGES))
