@@ -6,17 +6,20 @@ more than half of the hashes. Texts with fewer words have one shingle, texts wit
 fingerprint zero, which links like any other.
 
 Two fingerprints link when they differ in at most ``radius`` = 3 bits. The 64 bits are cut into
-``blocks`` = 2; each has its own tree over the Hamming distance within the block, a pseudo-metric. Of
-two linked fingerprints at least one block differs in at most rho = radius // blocks = 1 bit, so a ball of
+``blocks`` = 4; each has its own tree over the Hamming distance within the block, a pseudo-metric. Of
+two linked fingerprints at least one block differs in at most rho = radius // blocks = 0 bits, so a ball of
 that radius in the tree of that block meets the other one. A node keeps one vantage point, drawn
 from a bounded sample of ``pool`` fingerprints, and one branch per distance to it. By the triangle
-bound a ball reaches only the branches from d - rho to d + rho, three of 33: the others are pruned. A fingerprint
-lives in one leaf, that is shard, and is sent as a query to the shards across each boundary that its ball overlaps.
-Of two linked fingerprints in different shards one query is enough, so only shards after the own one, in the order of
-their distances, are queried: (3^depth - 1) / 2 queries a tree. The depth follows the number of fingerprints, a level for
+bound a ball reaches only the branches from d - rho to d + rho, here one of 17: the others are pruned. A fingerprint
+lives in one leaf, that is shard, and is sent as a query to the shards across each boundary that its ball overlaps; a
+ball of radius 0 overlaps none, so a fingerprint is a row a tree, whatever the depth. ``FULL_DEPTH`` levels part
+nearly all values of a block.
+
+With fewer blocks rho is larger: two blocks have rho = 1, a ball reaches three of 33 branches, and of two linked
+fingerprints in different shards one query is enough, so only shards after the own one, in the order of
+their distances, are queried, (3^depth - 1) / 2 a tree; the depth then follows the number of fingerprints, a level for
 each factor of about ten beyond ``tile``. One block is the plain tree over whole fingerprints with rho = 3, which prunes
-less, as distances of unrelated fingerprints crowd around 32; with four blocks rho is 0 and no ball overlaps a
-boundary. All choices give the same pairs.
+less, as distances of unrelated fingerprints crowd around 32. All choices give the same pairs.
 
 Inside a leaf all pairs are compared on whole fingerprints; only a spanning forest of the links is
 emitted. A leaf of more than ``tile`` fingerprints is cut into tiles, and pairs of tiles are dealt
@@ -42,6 +45,7 @@ from corpusledger.runtime import materialise
 
 SEED = 42
 SHINGLE = 3
+FULL_DEPTH = 10
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -156,10 +160,11 @@ def levels(fingerprints: int, tile: int) -> int:
     return depth
 
 
-def links(distinct: DataFrame, radius: int = 3, blocks: int = 2, depth: int | None = None, pool: int = 1024, tile: int = 4096) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 3, blocks: int = 4, depth: int | None = None, pool: int = 1024, tile: int = 4096) -> DataFrame:
     """Edges (u, v) between the ``rep`` ids of linked fingerprints: a forest per leaf, none lost."""
     sample = [r[0] for r in distinct.orderBy(F.xxhash64("fp")).limit(pool).select("fp").collect()]
-    forest = Forest(sample, blocks, radius, depth or levels(distinct.count(), tile))
+    # A ball of radius 0 is in one branch: levels cost no rows, and so many tell nearly all values of a short block apart.
+    forest = Forest(sample, blocks, radius, depth or (levels(distinct.count(), tile) if radius // blocks else FULL_DEPTH))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,13 +217,13 @@ def links(distinct: DataFrame, radius: int = 3, blocks: int = 2, depth: int | No
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, blocks: int = 2, depth: int | None = None, tile: int = 4096
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, blocks: int = 4, depth: int | None = None, tile: int = 4096
 ) -> DataFrame:
     """doc_id, fingerprint, component_id for every row."""
     return _judged(docs, id_col, text_col, radius, blocks, depth, tile).drop("component_fingerprint")
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, radius: int = 3, blocks: int = 2, depth: int | None = None, tile: int = 4096) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, radius: int = 3, blocks: int = 4, depth: int | None = None, tile: int = 4096) -> DataFrame:
     """With the smallest fingerprint that the component's document has."""
     fps = materialise(fingerprints(docs, id_col, text_col), "simhash-fps")
     groups = fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members"))
