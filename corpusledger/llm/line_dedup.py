@@ -297,22 +297,32 @@ def candidates(posted: DataFrame) -> DataFrame:
     group = F.shiftright("pair", 1)
     dealt = posted.repartition(F.col("word"), group).sortWithinPartitions("word", group, "place", "set")
 
-    def near(word, pair, side, sets, place, s1, s2) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs that pass, in whole groups, sorted; rows are compared with the s-th after them until lengths part."""
+    def near(word, pair, side, sets, place, s1, s2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs that pass, in whole groups, sorted; rows are compared with the s-th after them until lengths part, a step at a time: at most a pair a row is held."""
         n, p = place >> 32, place & 0xFFFFFFFF
-        at, s, heads, tails = np.arange(len(word)), 0, [], []
+        _, own = np.unique(sets, return_inverse=True)
+        root = np.arange(int(own.max()) + 1 if len(own) else 0)
+        at, s = np.arange(len(word)), 0
         while len(at):
             s += 1
             at = at[at + s < len(word)]
             to = at + s
             on = (word[at] == word[to]) & (pair[at] == pair[to]) & (UP * n[to] <= DOWN * n[at])
             at, to = at[on], to[on]
-            differ = (np.bitwise_count(s1[at] ^ s1[to]).astype(np.int64) + np.bitwise_count(s2[at] ^ s2[to])).astype(np.int64)
-            split = pair[at] // MOST_TILES != pair[at] % MOST_TILES
-            ok = _passes(n[at], p[at], n[to], p[to], differ) & (sets[at] != sets[to]) & (~split | (side[at] != side[to]))
-            heads.append(at[ok])
-            tails.append(to[ok])
-        return np.concatenate(heads or [np.empty(0, np.int64)]), np.concatenate(tails or [np.empty(0, np.int64)])
+            apart = root[own[at]] != root[own[to]]  # what is linked already needs no other edge
+            heads, tails = at[apart], to[apart]
+            differ = (np.bitwise_count(s1[heads] ^ s1[tails]).astype(np.int64) + np.bitwise_count(s2[heads] ^ s2[tails])).astype(np.int64)
+            split = pair[heads] // MOST_TILES != pair[heads] % MOST_TILES
+            ok = _passes(n[heads], p[heads], n[tails], p[tails], differ) & (~split | (side[heads] != side[tails]))
+            heads, tails = heads[ok], tails[ok]
+            if len(heads):
+                yield heads, tails
+                # Labels only shrink to smaller ones of the same group: a link that they miss costs an edge, no pair is lost.
+                low = np.minimum(root[own[heads]], root[own[tails]])
+                np.minimum.at(root, root[own[heads]], low)
+                np.minimum.at(root, root[own[tails]], low)
+                while (root[root] != root).any():
+                    root = root[root]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, parent = None, {}
@@ -334,7 +344,7 @@ def candidates(posted: DataFrame) -> DataFrame:
         group = np.cumsum(np.r_[True, ~same]) - 1
         keep = ~again & (np.bincount(group, ~again)[group] > 1)
         sets = sets[keep]
-        heads, tails = near(word[keep], pair[keep], side[keep], sets, place[keep], s1[keep].view(np.uint64), s2[keep].view(np.uint64))
+        steps = near(word[keep], pair[keep], side[keep], sets, place[keep], s1[keep].view(np.uint64), s2[keep].view(np.uint64))
         if len(parent) > 500_000:
             parent.clear()  # only costs edges
 
@@ -344,11 +354,12 @@ def candidates(posted: DataFrame) -> DataFrame:
             return x
 
         kept = []
-        for edge in zip(sets[heads].tolist(), sets[tails].tolist(), strict=True):
-            x, y = find(edge[0]), find(edge[1])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                kept.append(edge)
+        for heads, tails in steps:
+            for edge in zip(sets[heads].tolist(), sets[tails].tolist(), strict=True):
+                x, y = find(edge[0]), find(edge[1])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    kept.append(edge)
         ends = np.array(kept, np.int64).reshape(-1, 2)
         return _rows(["u", "v"], ends[:, 0], ends[:, 1])
 
