@@ -4,7 +4,8 @@ import inspect
 
 import numpy as np
 
-from corpusledger.llm import simhash
+from corpusledger.llm import line_dedup, near_dedup, simhash
+from corpusledger.llm.common import components
 
 
 def test_a_tree_gets_a_row_a_fingerprint_and_compares_few_pairs():
@@ -18,3 +19,27 @@ def test_a_tree_gets_a_row_a_fingerprint_and_compares_few_pairs():
         assert len(rows) == len(fps) and home.all()
         pairs += (np.unique(leaves, return_counts=True)[1].astype(np.int64) ** 2).sum() // 2
     assert pairs < len(fps) ** 2 / 2 / 1000
+
+
+def test_candidates_of_one_group_are_a_forest(spark):
+    """A thousand lines that all match: each is linked, and no task holds or sends all their pairs."""
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{words} own{i}") for i in range(1000)], "doc_id long, text string")
+    rows = line_dedup._texts(docs, "doc_id", "text").coalesce(1)
+    reader = lambda: line_dedup.Reader()
+    made = line_dedup.candidates(line_dedup.postings(rows, reader, 4096))
+    found = components(made, "forest")
+    assert found.count() == 1000 and found.select("component").distinct().count() == 1
+
+
+def test_the_trees_of_the_near_stage_find_candidates(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, "nothing of the kind"), (4, "none at all of it here")]
+    docs = spark.createDataFrame([(d, t.encode()) for d, t in rows], "doc_id long, text binary")
+    seen = near_dedup.survey(docs, 0).filter("kind = -1").toDF("kind", "doc_id", "set", "check", "key", "n", "fp", "counts")
+    fps = {r.doc_id: r.fp for r in seen.collect()}
+    assert {d: f & (1 << 64) - 1 for d, f in fps.items()} == {d: simhash.simhash(t.encode()) for d, t in rows}
+    near = {frozenset((a, b)) for a in fps for b in fps if a < b and ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 3}
+    by_set = {r.set: r.doc_id for r in seen.collect()}
+    got = {frozenset((by_set[r.u], by_set[r.v])) for r in near_dedup.similar(seen).collect()}
+    assert got == near == {frozenset((1, 2))}
