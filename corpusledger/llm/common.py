@@ -8,23 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusledger.runtime import materialise
-
-
-#: Spark's own bound on the bytes of a batch that goes to Python, and ours.
-WIDE_BATCH, BATCH = "67108864b", 4 << 20
-
-
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """The rows, whose session from now on hands Python batches of at most ``BATCH`` bytes, unless it has a bound of its own.
-
-    A batch of texts is held in the JVM, in Python and again in what Python returns, for each task of an executor.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key) == WIDE_BATCH:
-        conf.set(key, str(BATCH))
-    return df
-
+from corpusledger.runtime import in_small_batches, materialise  # noqa: F401  (operators take the first from here)
 
 _KEPT: dict[str, object] = {}
 
