@@ -52,6 +52,8 @@ LAST = 2**63 - 1
 TEXT_SEED = 42  # of Spark's xxhash64
 #: Tiles of one word's lines, and words of the sets that meet in one pair of tiles.
 MOST_TILES, TILE_WORDS = 1 << 12, 1 << 23
+#: Lines that are read together where their groups are verified.
+READ = 512
 #: Ranges of words that are counted apart.
 RANGE_BITS = 10
 RANGES = 1 << RANGE_BITS
@@ -146,7 +148,7 @@ def _rows(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
 
 def _merged(words: np.ndarray, n: np.ndarray, only: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of equal words added up; ``only`` is the set that all occurrences are in, 0 if there are two."""
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
     words, n, only = words[order], n[order], only[order]
     starts = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]) if len(words) else np.empty(0, np.int64)
     if not len(starts):
@@ -244,8 +246,12 @@ def word_counts(seen: DataFrame, bits: int) -> DataFrame:
 
 
 def postings(rows: DataFrame, made: Callable[[], Reader], tile: int) -> DataFrame:
-    """word, pair (of tiles, twice its number, and 1 for the side with the higher one), set, place (words << 32 | position), s1, s2; each task makes its reader."""
-    names = ["word", "pair", "set", "place", "s1", "s2"]
+    """group, set, place, s1, s2; each task makes its reader.
+
+    A group is a word and a pair of its tiles, as one hash: two that share it only add pairs to verify. ``place`` is words << 32 | position << 2, and
+    in its last bits whether the pair is of two tiles, and on the side of which.
+    """
+    names = ["group", "set", "place", "s1", "s2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen = made(), set()
@@ -279,8 +285,9 @@ def postings(rows: DataFrame, made: Callable[[], Reader], tile: int) -> DataFram
             row = np.repeat(np.arange(len(line)), tiles)
             other = np.arange(len(row)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
             own, line = own[row], line[row]
-            pair = 2 * (np.minimum(own, other) * MOST_TILES + np.maximum(own, other)) + (own > other)
-            yield _rows(names, number[row], pair, sets[line], (n << 32 | position).astype(np.int64)[row], s1[line], s2[line])
+            pair = np.minimum(own, other) * MOST_TILES + np.maximum(own, other)
+            place = (n << 32 | position << 2).astype(np.int64)[row] | (own != other) << 1 | (own > other)
+            yield _rows(names, mix(number[row] ^ mix(pair.astype(np.uint64), M1), M2), sets[line], place, s1[line], s2[line])
 
     return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
@@ -292,28 +299,34 @@ def _passes(n1, p1, n2, p2, differ) -> np.ndarray:
     return (DOWN * np.minimum(n1, n2) >= UP * np.maximum(n1, n2)) & (shared >= least) & (differ <= n1 + n2 - 2 * least)
 
 
+def _in_groups(group: np.ndarray, place: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """The order by group and number of words, copies of a set beside each other. One sort while the numbers are small; copies may lie apart then where sets agree in 24 bits."""
+    n = place >> 32
+    if not len(group) or (group[-1] < 1 << 24 and n.max() < 1 << 16):
+        return np.argsort(group.astype(np.uint64) << np.uint64(40) | n.astype(np.uint64) << np.uint64(24) | sets.view(np.uint64) >> np.uint64(40))
+    return np.lexsort((sets, place, group))
+
+
 def candidates(posted: DataFrame) -> DataFrame:
     """Edges (u, v) of sets that pass the filters: a spanning forest of what each task meets."""
-    group = F.shiftright("pair", 1)
-    dealt = posted.repartition(F.col("word"), group).sortWithinPartitions("word", group, "place", "set")
+    dealt = posted.repartition("group").sortWithinPartitions("group")  # by one number, which Spark sorts by its digits; the rest is sorted below
 
-    def near(word, pair, side, sets, place, s1, s2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def near(group, sets, place, s1, s2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs that pass, in whole groups, sorted; rows are compared with the s-th after them until lengths part, a step at a time: at most a pair a row is held."""
-        n, p = place >> 32, place & 0xFFFFFFFF
+        n, p, split, side = place >> 32, (place & 0xFFFFFFFF) >> 2, place >> 1 & 1, place & 1
         _, own = np.unique(sets, return_inverse=True)
         root = np.arange(int(own.max()) + 1 if len(own) else 0)
-        at, s = np.arange(len(word)), 0
+        at, s = np.arange(len(group)), 0
         while len(at):
             s += 1
-            at = at[at + s < len(word)]
+            at = at[at + s < len(group)]
             to = at + s
-            on = (word[at] == word[to]) & (pair[at] == pair[to]) & (UP * n[to] <= DOWN * n[at])
+            on = (group[at] == group[to]) & (UP * n[to] <= DOWN * n[at])
             at, to = at[on], to[on]
             apart = root[own[at]] != root[own[to]]  # what is linked already needs no other edge
             heads, tails = at[apart], to[apart]
             differ = (np.bitwise_count(s1[heads] ^ s1[tails]).astype(np.int64) + np.bitwise_count(s2[heads] ^ s2[tails])).astype(np.int64)
-            split = pair[heads] // MOST_TILES != pair[heads] % MOST_TILES
-            ok = _passes(n[heads], p[heads], n[tails], p[tails], differ) & (~split | (side[heads] != side[tails]))
+            ok = _passes(n[heads], p[heads], n[tails], p[tails], differ) & ((split[heads] == 0) | (side[heads] != side[tails]))
             heads, tails = heads[ok], tails[ok]
             if len(heads):
                 yield heads, tails
@@ -329,22 +342,23 @@ def candidates(posted: DataFrame) -> DataFrame:
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            last = np.flatnonzero((rest[0] != rest[0][-1]) | (rest[1] >> 1 != rest[1][-1] >> 1))
-            if len(last):
-                yield settle([x[: last[-1] + 1] for x in rest], parent)
-                rest = [x[last[-1] + 1 :] for x in rest]
+            last = int(np.searchsorted(rest[0], rest[0][-1]))
+            if last:
+                yield settle([x[:last] for x in rest], parent)
+                rest = [x[last:] for x in rest]
         if rest is not None and len(rest[0]):
             yield settle(rest, parent)
 
     def settle(cols: list[np.ndarray], parent: dict[int, int]) -> pa.RecordBatch:
-        word, pair, sets, place, s1, s2 = cols
-        pair, side = pair >> 1, pair & 1
-        same = (word[1:] == word[:-1]) & (pair[1:] == pair[:-1])
-        again = np.r_[False, same & (sets[1:] == sets[:-1]) & (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])]
-        group = np.cumsum(np.r_[True, ~same]) - 1
-        keep = ~again & (np.bincount(group, ~again)[group] > 1)
+        same = cols[0][1:] == cols[0][:-1]
+        cols = [c[np.r_[False, same] | np.r_[same, False]] for c in cols]  # most groups are of one row
+        group = np.cumsum(np.r_[True, cols[0][1:] != cols[0][:-1]]) - 1 if len(cols[0]) else cols[0]
+        order = _in_groups(group, cols[2], cols[1])
+        group, sets, place, s1, s2 = group[order], *(c[order] for c in cols[1:])
+        again = np.r_[False, (group[1:] == group[:-1]) & (sets[1:] == sets[:-1]) & (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])][: len(group)]
+        keep = ~again & (np.bincount(group, ~again)[group] > 1) if len(group) else again
         sets = sets[keep]
-        steps = near(word[keep], pair[keep], side[keep], sets, place[keep], s1[keep].view(np.uint64), s2[keep].view(np.uint64))
+        steps = near(group[keep], sets, place[keep], s1[keep].view(np.uint64), s2[keep].view(np.uint64))
         if len(parent) > 500_000:
             parent.clear()  # only costs edges
 
@@ -427,10 +441,9 @@ def verify(rows: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
     dealt = dealt.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "set", "check")
     names = ["set", "check", "links", "before_doc", "before_line", "before_key"]
 
-    def pairs(cols: list[np.ndarray], reader: Reader) -> list[tuple]:
-        _, low, high, own, sets, check, doc, place, key, text = cols
+    def pairs(cols: list[np.ndarray], line: np.ndarray, number: np.ndarray) -> list[tuple]:
+        _, low, high, own, sets, check, doc, place, key = cols
         out, m = [], len(sets)
-        _, _, line, number = reader.read([t.replace(b"\n", b" ") for t in text])
         n = np.bincount(line, minlength=m)
         # Sets of other tiles wait for the pair of tiles that brings both together.
         mine = np.ones(m, bool) if low[0] == high[0] else own == low[0]
@@ -457,7 +470,18 @@ def verify(rows: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
             once = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in (*cols[:3], *cols[4:6])])]  # a repeated row brings its lines twice
             cols = [c[once] for c in cols]
             cuts = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]]), True])
-            found = [row for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for row in pairs([c[a:b] for c in cols], reader)]
+            found = []
+            at, last = 0, len(cuts) - 1
+            while at < last:  # groups are read together, as many as make about a tile
+                to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + READ, "right")) - 1)
+                first = cuts[at]
+                _, _, line, number = reader.read([t.replace(b"\n", b" ") for t in cols[9][first : cuts[to]]])
+                ends = np.searchsorted(line, cuts[at : to + 1] - first)
+                for k in range(at, to):
+                    a, b, low, high = cuts[k], cuts[k + 1], *ends[k - at : k - at + 2]
+                    if b - a > 1:
+                        found += pairs([c[a:b] for c in cols[:9]], line[low:high] - (a - first), number[low:high])
+                at = to
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(len(names))], names)
 
         for batch in batches:
@@ -523,16 +547,20 @@ def judged_lines(
     classes = materialise(classes, "lines-classes")
 
     linked = components(candidates(postings(rows, lambda: Reader(top, frequency, shared, seed), tile)), "lines").withColumnRenamed("node", "set")
-    sets = materialise(linked.join(classes, "set").select("set", "check", "first.*", "component", "n"), "lines-sets")
+    sets = materialise(linked.join(classes, "set").select("set", "check", "first.*", "component", "members", "n"), "lines-sets")
     held = sets.groupBy("component").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("words"))
     held = held.select("component", "held", F.greatest(F.ceil(2 * F.col("held") / verify_tile), F.ceil(2 * F.col("words") / TILE_WORDS)).cast("long").alias("tiles"))
     sets = materialise(join_groups(sets.drop("n"), materialise(held, "lines-held"), "component", "held"), "lines-grouped")
-    known = classes.join(verify(rows, sets, seed), ["set", "check"], "left").select("set", "check", "first", "members", F.coalesce("links", F.lit(0)).alias("links"), "before")
-    known = materialise(known.withColumn("set", F.struct("set", "check")).drop("check"), "lines-known")
+    # A class of one line that matches no other says nothing that the line does not know, and stays out of the join.
+    known = sets.filter("members = 1").select("set", "check", F.struct("doc_id", "line_no", "key").alias("first"), "members")
+    known = known.unionByName(classes.filter("members > 1").select("set", "check", "first", "members"))
+    known = known.join(verify(rows, sets, seed), ["set", "check"], "left").filter("members > 1 or links is not null").select(F.struct("set", "check").alias("set"), "first", "members", F.coalesce("links", F.lit(0)).alias("links"), "before")
+    known = materialise(known, "lines-known")
 
     met = join_groups(lines.select("doc_id", "line_no", "key", "n", F.struct("set", "check").alias("set")), known, "set", "members")
-    here, first = F.struct("doc_id", "line_no", "key"), F.col("first")
-    kept = first.isNull() | ((here == first) & (F.col("before").isNull() | (F.col("before") > first)))
+    here, known_first = F.struct("doc_id", "line_no", "key"), F.col("first")
+    kept = known_first.isNull() | ((here == known_first) & (F.col("before").isNull() | (F.col("before") > known_first)))
+    first = F.coalesce(known_first, here)
     known_id = lambda c: F.when(c != LAST, c)
     return met.select(
         known_id(F.col("doc_id")).alias("doc_id"),
@@ -541,8 +569,8 @@ def judged_lines(
         F.col("n").alias("n_words"),
         known_id(F.when(F.col("n") > 0, first["doc_id"])).alias("class_doc_id"),
         F.when(F.col("n") > 0, first["line_no"]).alias("class_line_no"),
-        F.when(F.col("n") > 0, F.col("members")).otherwise(F.lit(1)).alias("members"),
-        F.when(F.col("n") > 0, F.col("links")).otherwise(F.lit(0)).alias("links"),
+        F.coalesce("members", F.lit(1)).alias("members"),
+        F.coalesce("links", F.lit(0)).alias("links"),
         (kept | (F.col("n") == 0)).alias("kept"),
     )
 

@@ -43,3 +43,23 @@ def test_the_trees_of_the_near_stage_find_candidates(spark):
     by_set = {r.set: r.doc_id for r in seen.collect()}
     got = {frozenset((by_set[r.u], by_set[r.v])) for r in near_dedup.similar(seen).collect()}
     assert got == near == {frozenset((1, 2))}
+
+
+def test_a_posting_is_sorted_by_one_number(spark):
+    """Spark sorts a single number by its digits; the shuffled rows carry five numbers, and lone classes stay out of the last join."""
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i{i} j") for i in range(9)], "doc_id long, text string")
+    posted = line_dedup.postings(line_dedup._texts(docs, "doc_id", "text"), lambda: line_dedup.Reader(), 4096)
+    assert posted.columns == ["group", "set", "place", "s1", "s2"]
+    plan = line_dedup.candidates(posted)._jdf.queryExecution().executedPlan().toString()
+    sorts = [x for x in plan.splitlines() if "Sort [" in x]
+    assert len(sorts) == 1 and sorts[0].count(" ASC ") == 1
+
+
+def test_rows_of_a_group_stand_by_length_however_large_the_numbers():
+    rng = np.random.default_rng(3)
+    for most, groups in ((60_000, 50), (1 << 20, 50), (60_000, 1 << 25)):
+        group = np.sort(rng.integers(0, groups, 2000))
+        n, sets = rng.integers(4, most, 2000), rng.integers(-(2**63), 2**63 - 1, 2000)
+        order = line_dedup._in_groups(group, n << 32 | 5, sets)
+        both = list(zip(group[order].tolist(), n[order].tolist(), strict=True))
+        assert both == sorted(both) and sorted(order.tolist()) == list(range(2000))
