@@ -33,12 +33,13 @@ def plain_names(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
     return docs.toDF(*names), [names[docs.columns.index(c)] for c in columns]
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = 1000, most_hot: int = 10_000) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = 1000, most_hot: int = 10_000, hashed: bool = False) -> DataFrame:
     """Left join of ``rows`` to ``groups``, unique by ``key``, that no large group can make uneven.
 
     The ``most_hot`` largest groups of at least ``hot_rows`` rows are broadcast, a table of at most
     that many rows; all other rows are shuffled by key, where no group holds more than a
     ``most_hot``-th part of them. Rows found in the broadcast are dealt evenly meanwhile.
+    ``hashed``: groups are looked up in a hash table of each partition, where there are far fewer groups than rows, and neither is sorted.
     """
     columns = [c for c in groups.columns if c != key]
     hot = groups.filter(F.col(size) >= hot_rows).orderBy(F.desc(size), key).limit(most_hot)
@@ -49,7 +50,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_row
     met = met.withColumn("_at", F.when(~apart, F.col(key)))
     met = met.withColumn("_deal", F.when(apart, F.xxhash64(*rows.columns)).otherwise(F.lit(0)))
     cold = cold.withColumn("_zero", F.lit(0).cast("long"))
-    met = met.join(cold, (F.col("_at") == F.col("_cold")) & (F.col("_deal") == F.col("_zero")), "left")
+    met = met.join(cold.hint("shuffle_hash") if hashed else cold, (F.col("_at") == F.col("_cold")) & (F.col("_deal") == F.col("_zero")), "left")
     return met.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in columns])
 
 

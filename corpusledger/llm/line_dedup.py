@@ -54,9 +54,13 @@ TEXT_SEED = 42  # of Spark's xxhash64
 MOST_TILES, TILE_WORDS = 1 << 12, 1 << 23
 #: Lines that are read together where their groups are verified.
 READ = 512
+#: Sets of a group that is verified with others at once, and cells of their table of words.
+SMALL, HOLDS = 32, 1 << 24
 #: Ranges of words that are counted apart.
 RANGE_BITS = 10
 RANGES = 1 << RANGE_BITS
+#: Ranges of groups that are dealt out, each as a whole, and postings that a task collects before it sends them.
+DEALT_BITS, COLLECTED = 12, 1 << 18
 
 
 class Reader:
@@ -167,22 +171,20 @@ def survey(rows: DataFrame, seed: int, bits: int) -> DataFrame:
         def pack() -> None:
             """What was counted last, merged: most words of a task come again."""
             nonlocal size, kept
-            words, n, only = _merged(*(np.concatenate(x) for x in zip(*fresh, strict=True)))
+            words, n, only = _merged(*(np.concatenate(x) for x in zip(*fresh, strict=True)))  # by range
             held.append((words, n.astype(np.uint32), only))
             fresh.clear()
             size, kept = 0, kept + len(words)
 
         def counts() -> Iterator[pa.RecordBatch]:
-            """A slice of the ranges after the other, so that little is held twice."""
+            """A slice of the ranges after the other, so that little is held twice. Words are held with their ``bits`` lower bits first, and so lie by range."""
             nonlocal kept
-            parts = [_range(words, bits) for words, _, _ in held]
-            for first in range(0, RANGES, RANGES // 16):
-                chosen = [(part >= first) & (part < first + RANGES // 16) for part in parts]
-                words, n, only = _merged(*(np.concatenate([x[m] for x, m in zip(column, chosen, strict=True)]) for column in zip(*held, strict=True)))
-                part = _range(words, bits)
-                order = np.argsort(part, kind="stable")
-                words, n, only = words[order], n[order].astype(np.uint32), only[order]
-                kinds, starts = np.unique(part[order], return_index=True)
+            edges = [np.searchsorted(words, np.arange(16, dtype=np.uint64) << np.uint64(60)).tolist() + [len(words)] for words, _, _ in held]
+            for k in range(16):
+                words, n, only = _merged(*(np.concatenate([x[e[k] : e[k + 1]] for x, e in zip(column, edges, strict=True)]) for column in zip(*held, strict=True)))
+                n = n.astype(np.uint32)
+                kinds, starts = np.unique((words >> np.uint64(64 - RANGE_BITS)).astype(np.int64), return_index=True)
+                words = words >> np.uint64(64 - bits) | words << np.uint64(bits)
                 zero = np.zeros(len(kinds), np.int64)
                 blobs = [x.tobytes() + y.tobytes() + z.tobytes() for x, y, z in zip(*(np.split(c, starts[1:]) for c in (words, only, n)), strict=True)] if len(kinds) else []
                 yield _rows(names, kinds, zero, zero, zero, zero, zero, zero).append_column("counts", pa.array(blobs, pa.binary()))
@@ -196,7 +198,7 @@ def survey(rows: DataFrame, seed: int, bits: int) -> DataFrame:
             keys = np.array([text_key(t) for t in texts], np.uint64)[document]
             made = _rows(names, np.full(len(document), -1), ids[document].astype(np.int64), place.astype(np.int64), one, two, n, keys)
             yield made.append_column("counts", pa.nulls(len(document), pa.binary()))
-            fresh.append((plain, np.ones(len(plain), np.uint32), (one ^ two)[line] | np.uint64(1)))
+            fresh.append((plain << np.uint64(64 - bits) | plain >> np.uint64(bits), np.ones(len(plain), np.uint32), (one ^ two)[line] | np.uint64(1)))
             size += len(plain)
             if size > 500_000:
                 pack()
@@ -210,11 +212,6 @@ def survey(rows: DataFrame, seed: int, bits: int) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", counts binary")
 
 
-def _range(words: np.ndarray, bits: int) -> np.ndarray:
-    """Of ``RANGES`` ranges, each a stretch of the bitmap of ``2^bits`` bits."""
-    return ((words & np.uint64((1 << bits) - 1)) >> np.uint64(bits - RANGE_BITS)).astype(np.int64)
-
-
 def word_counts(seen: DataFrame, bits: int) -> DataFrame:
     """Range by range: a row for every word of two sets or more (word, lines it is on), and one with the range's stretch of the bitmap (word: the range, df 0, stretch)."""
 
@@ -245,16 +242,44 @@ def word_counts(seen: DataFrame, bits: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, df long, stretch binary")
 
 
+def _packed(columns: list[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Postings (group, set, place, s1, s2) as a row for each range of groups, in which every column is the bytes of its numbers; a set has its group before it."""
+    made = [np.concatenate(x) for x in zip(*columns, strict=True)]
+    for at in range(0, len(made[0]), 4 * COLLECTED):
+        group, sets, *rest = (x[at : at + 4 * COLLECTED] for x in made)
+        part = (group >> np.uint64(64 - DEALT_BITS)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        n = np.bincount(part)
+        kinds = np.flatnonzero(n)
+        ends = np.r_[0, np.cumsum(n[kinds])]
+        blobs = []
+        for column, width in ((np.stack([group[order], sets[order]], 1), 16), *((x[order], 8) for x in rest)):
+            blobs.append(pa.Array.from_buffers(pa.binary(), len(kinds), [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(column)]))
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), *blobs], names)
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """range, group, set, place, s1, s2 of every posting."""
+    columns = []
+    for column in batch.columns[1:]:
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        columns.append(np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.int64))
+        n = np.diff(offsets) // 8  # of the last column, with one number a posting
+    groups, rest = columns[0].reshape(-1, 2), columns[1:]
+    return [np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n), groups[:, 0].view(np.uint64), groups[:, 1], *rest]
+
+
 def postings(rows: DataFrame, made: Callable[[], Reader], tile: int) -> DataFrame:
     """group, set, place, s1, s2; each task makes its reader.
 
     A group is a word and a pair of its tiles, as one hash: two that share it only add pairs to verify. ``place`` is words << 32 | position << 2, and
-    in its last bits whether the pair is of two tiles, and on the side of which.
+    in its last bits whether the pair is of two tiles, and on the side of which. They are sent as numbers beside each other, a row for the postings of
+    a task in one of ``2^DEALT_BITS`` ranges of groups: ``group`` is the range, and the others are read by :func:`_unpacked`.
     """
     names = ["group", "set", "place", "s1", "s2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, seen = made(), set()
+        reader, seen, held, size = made(), set(), [], 0
         for _, texts in _batches(batches):
             document, _, line, plain = reader.read(texts)
             sets, checks = reader.set_hashes(len(document), line, plain)
@@ -287,9 +312,15 @@ def postings(rows: DataFrame, made: Callable[[], Reader], tile: int) -> DataFram
             own, line = own[row], line[row]
             pair = np.minimum(own, other) * MOST_TILES + np.maximum(own, other)
             place = (n << 32 | position << 2).astype(np.int64)[row] | (own != other) << 1 | (own > other)
-            yield _rows(names, mix(number[row] ^ mix(pair.astype(np.uint64), M1), M2), sets[line], place, s1[line], s2[line])
+            held.append((mix(number[row] ^ mix(pair.astype(np.uint64), M1), M2), sets[line], place, s1[line], s2[line]))
+            size += len(row)
+            if size > COLLECTED:
+                yield from _packed(held, names)
+                held, size = [], 0
+        if size:
+            yield from _packed(held, names)
 
-    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return rows.mapInArrow(run, "group long, set binary, place binary, s1 binary, s2 binary")
 
 
 def _passes(n1, p1, n2, p2, differ) -> np.ndarray:
@@ -309,7 +340,7 @@ def _in_groups(group: np.ndarray, place: np.ndarray, sets: np.ndarray) -> np.nda
 
 def candidates(posted: DataFrame) -> DataFrame:
     """Edges (u, v) of sets that pass the filters: a spanning forest of what each task meets."""
-    dealt = posted.repartition("group").sortWithinPartitions("group")  # by one number, which Spark sorts by its digits; the rest is sorted below
+    dealt = posted.repartition("group").sortWithinPartitions("group")  # ranges, which hold whole groups; their postings are sorted below
 
     def near(group, sets, place, s1, s2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs that pass, in whole groups, sorted; rows are compared with the s-th after them until lengths part, a step at a time: at most a pair a row is held."""
@@ -338,21 +369,24 @@ def candidates(posted: DataFrame) -> DataFrame:
                     root = root[root]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, parent = None, {}
+        held, parent = [], {}
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            last = int(np.searchsorted(rest[0], rest[0][-1]))
-            if last:
-                yield settle([x[:last] for x in rest], parent)
-                rest = [x[last:] for x in rest]
-        if rest is not None and len(rest[0]):
-            yield settle(rest, parent)
-
-    def settle(cols: list[np.ndarray], parent: dict[int, int]) -> pa.RecordBatch:
-        same = cols[0][1:] == cols[0][:-1]
-        cols = [c[np.r_[False, same] | np.r_[same, False]] for c in cols]  # most groups are of one row
-        group = np.cumsum(np.r_[True, cols[0][1:] != cols[0][:-1]]) - 1 if len(cols[0]) else cols[0]
+            cols = _unpacked(batch)
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last or held and held[-1][0][-1] != cols[0][0]:
+                yield settle([*held, [x[:last] for x in cols]], parent)
+                held = []
+            held.append([x[last:].copy() for x in cols])
+        if held:
+            yield settle(held, parent)
+
+    def settle(parts: list[list[np.ndarray]], parent: dict[int, int]) -> pa.RecordBatch:
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)][1:]
+        order = np.argsort(cols[0])
+        same = cols[0][order[1:]] == cols[0][order[:-1]]
+        order = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order  # most groups are of one row
+        cols = [c[order] for c in cols]
+        group = np.cumsum(np.r_[True, cols[0][1:] != cols[0][:-1]]) - 1 if len(order) else cols[0].view(np.int64)
         order = _in_groups(group, cols[2], cols[1])
         group, sets, place, s1, s2 = group[order], *(c[order] for c in cols[1:])
         again = np.r_[False, (group[1:] == group[:-1]) & (sets[1:] == sets[:-1]) & (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])][: len(group)]
@@ -430,6 +464,42 @@ def shared_counts(line: np.ndarray, word: np.ndarray, m: int, a: np.ndarray, b:
     return out
 
 
+def small_groups(cols: list[np.ndarray], group: np.ndarray, line: np.ndarray, number: np.ndarray) -> list[np.ndarray] | None:
+    """What :func:`verify` says of groups of a few sets, all at once: each set is held against the s-th after it, a step at a time. None if the table of who holds which word would be large."""
+    sets, check, doc, place, key = cols
+    m, n = len(sets), np.bincount(line, minlength=len(sets))
+    _, word, often = np.unique(number, return_inverse=True, return_counts=True)
+    common = often[word] > 1
+    _, word = np.unique(word[common], return_inverse=True)
+    line, width = line[common], int(word.max()) + 1 if len(word) else 1
+    if m * width > HOLDS:
+        return None
+    at, holds = line * width + word, np.zeros(m * width, bool)
+    holds[at] = True
+    rank = np.empty(m, np.int64)
+    by_rank = np.lexsort((key, place, doc))
+    rank[by_rank] = np.arange(m)
+    links, best = np.zeros(m, np.int64), np.full(m, m)
+    x, s = np.arange(m), 0
+    while True:
+        s += 1
+        x = x[x + s < m]
+        x = x[group[x] == group[x + s]]
+        if not len(x):
+            break
+        on = np.zeros(m, bool)
+        on[x] = True
+        at, line = at[on[line]], line[on[line]]
+        shared = np.bincount(line[holds[at + s * width]], minlength=m)[x]
+        ok = (DOWN * shared >= UP * (n[x] + n[x + s] - shared)) & ((sets[x] != sets[x + s]) | (check[x] != check[x + s]))
+        for a, b in ((x[ok], x[ok] + s), (x[ok] + s, x[ok])):
+            links[a] += 1
+            best[a] = np.minimum(best[a], rank[b])
+    found = np.flatnonzero(links)
+    first = by_rank[best[found]]
+    return [sets[found], check[found], links[found], doc[first], place[first], key[first]]
+
+
 def verify(rows: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
     """set, check, links, before (struct doc_id, line_no, key of the earliest match) of every set that matches another; ``sets`` as in :func:`fetch`."""
     lines = fetch(rows, sets, seed)
@@ -470,19 +540,28 @@ def verify(rows: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
             once = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in (*cols[:3], *cols[4:6])])]  # a repeated row brings its lines twice
             cols = [c[once] for c in cols]
             cuts = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]]), True])
-            found = []
+            found, columns = [], []
+            size = np.diff(cuts)
+            small = (size <= SMALL) & (cols[1][cuts[:-1]] == cols[2][cuts[:-1]])
             at, last = 0, len(cuts) - 1
             while at < last:  # groups are read together, as many as make about a tile
                 to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + READ, "right")) - 1)
                 first = cuts[at]
                 _, _, line, number = reader.read([t.replace(b"\n", b" ") for t in cols[9][first : cuts[to]]])
+                few = np.repeat(small[at:to], size[at:to])
+                mine = few[line]
+                own = [c[first : cuts[to]][few] for c in cols[4:9]]
+                made = small_groups(own, np.repeat(np.arange(at, to), size[at:to])[few], (np.cumsum(few) - 1)[line[mine]], number[mine]) if mine.any() else None
+                if made:
+                    columns.append(made)
                 ends = np.searchsorted(line, cuts[at : to + 1] - first)
-                for k in range(at, to):
+                for k in range(at, to) if not made else at + np.flatnonzero(~small[at:to]):
                     a, b, low, high = cuts[k], cuts[k + 1], *ends[k - at : k - at + 2]
                     if b - a > 1:
                         found += pairs([c[a:b] for c in cols[:9]], line[low:high] - (a - first), number[low:high])
                 at = to
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(len(names))], names)
+            columns.append([np.array([r[i] for r in found], np.int64) for i in range(len(names))])
+            return _rows(names, *[np.concatenate(x) for x in zip(*columns, strict=True)])
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -557,7 +636,7 @@ def judged_lines(
     known = known.join(verify(rows, sets, seed), ["set", "check"], "left").filter("members > 1 or links is not null").select(F.struct("set", "check").alias("set"), "first", "members", F.coalesce("links", F.lit(0)).alias("links"), "before")
     known = materialise(known, "lines-known")
 
-    met = join_groups(lines.select("doc_id", "line_no", "key", "n", F.struct("set", "check").alias("set")), known, "set", "members")
+    met = join_groups(lines.select("doc_id", "line_no", "key", "n", F.struct("set", "check").alias("set")), known, "set", "members", hashed=True)
     here, known_first = F.struct("doc_id", "line_no", "key"), F.col("first")
     kept = known_first.isNull() | ((here == known_first) & (F.col("before").isNull() | (F.col("before") > known_first)))
     first = F.coalesce(known_first, here)
